@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from loomframe.llm import exact_dedup, mixing, simhash
+from loomframe.llm import bfd, exact_dedup, mixing, packing, simhash, warc
 
 
 def queries():
     return {
+        "op1_packing": packing.query,
+        "op2_warc": warc.query,
         "op4_exact_dedup": exact_dedup.query,
         "op8_mixing": mixing.query,
         "op9_simhash_near_dedup": simhash.query,
+        "op10_bfd_packing": bfd.query,
     }
 
 
 def oracle_sql():
-    return {"op4_exact_dedup": exact_dedup.SQL, "op8_mixing": mixing.SQL}
+    return {"op2_warc": warc.SQL, "op4_exact_dedup": exact_dedup.SQL, "op8_mixing": mixing.SQL}
