@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from loomframe.llm import bfd, exact_dedup, mixing, packing, simhash, warc
+from loomframe.llm import bfd, chunk_dedup, exact_dedup, mixing, packing, quality, simhash, warc
 
 
 def queries():
     return {
         "op1_packing": packing.query,
         "op2_warc": warc.query,
+        "op3_quality_rules": quality.query,
         "op4_exact_dedup": exact_dedup.query,
+        "op5_substring_dedup": chunk_dedup.query,
         "op8_mixing": mixing.query,
         "op9_simhash_near_dedup": simhash.query,
         "op10_bfd_packing": bfd.query,
