@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomframe.llm import bfd, chunk_dedup, exact_dedup, mixing, packing, quality, simhash, warc
+from loomframe.llm import bfd, chunk_dedup, exact_dedup, html_text, mixing, packing, privacy, quality, simhash, warc
 
 
 def queries():
@@ -12,6 +12,8 @@ def queries():
         "op3_quality_rules": quality.query,
         "op4_exact_dedup": exact_dedup.query,
         "op5_substring_dedup": chunk_dedup.query,
+        "op6_html_extraction": html_text.query,
+        "op7_privacy": privacy.query,
         "op8_mixing": mixing.query,
         "op9_simhash_near_dedup": simhash.query,
         "op10_bfd_packing": bfd.query,
