@@ -1,18 +1,21 @@
-"""Sending this package to the executors, whose Python may not see the driver's source folder."""
+"""Session helpers: sending this package to the executors, and the folder that all of them share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 _sent: set[str] = set()
+_own_folders: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
-    """Add the package to the session's Python files, once for each application."""
+    """Add the package to the session's Python files, once for each application: the executors' Python may not see the
+    driver's source folder."""
     app = spark.sparkContext.applicationId
     if app in _sent:
         return
@@ -23,3 +26,11 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(home.parent))
     spark.sparkContext.addPyFile(str(target))
     _sent.add(app)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder under ``spark.checkpoint.dir``; where that is unset (local tests), under a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = _own_folders.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="loomframe-"))
+    return f"{base.rstrip('/')}/loomframe/{name}-{uuid.uuid4().hex}"
