@@ -228,15 +228,14 @@ def lr_boost_events(df: DataFrame, most: float, cooldown: int = 1000, jump: floa
 
 def weight_guard_audit(df: DataFrame, move: float = 0.01, slack: float = 1e-6) -> DataFrame:
     """Violations over (run_id, step, l1, ms, grad, perceptual), one row each: rule and value."""
-    w = by_run()
+    parts = ("l1", "ms", "grad", "perceptual")
+    rows = df.withColumns({f"{c}_move": F.abs(F.col(c) - F.lag(c).over(by_run())) for c in parts})
     rules = [("ms_floor", F.col("ms"), F.col("ms") < 0.05 - slack), ("grad_floor", F.col("grad"), F.col("grad") < 0.05 - slack), ("l1_range", F.col("l1"), ~F.col("l1").between(0.1 - slack, 0.9 + slack))]
     total = F.col("l1") + F.col("ms") + F.col("grad")
     rules += [("sum", total, F.abs(total - 1) > slack), ("perceptual_range", F.col("perceptual"), ~F.col("perceptual").between(0.05 - slack, 0.25 + slack))]
-    for c in ("l1", "ms", "grad", "perceptual"):
-        change = F.abs(F.col(c) - F.lag(c).over(w))
-        rules.append((f"{c}_change", change, F.coalesce(change > move + slack, F.lit(False))))
+    rules += [(f"{c}_change", F.col(f"{c}_move"), F.coalesce(F.col(f"{c}_move") > move + slack, F.lit(False))) for c in parts]
     found = F.array(*[F.struct(F.lit(n).alias("rule"), v.alias("value"), bad.alias("bad")) for n, v, bad in rules])
-    return df.select("run_id", "step", F.explode(found).alias("f")).where("f.bad").select("run_id", "step", "f.rule", "f.value")
+    return rows.select("run_id", "step", F.explode(found).alias("f")).where("f.bad").select("run_id", "step", "f.rule", "f.value")
 
 
 def mode_intervals(df: DataFrame, warm: int = 1000, settle: int = 100) -> DataFrame:

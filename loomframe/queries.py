@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from loomframe.plans import planning
+from loomframe.plans import monitoring, planning
 
 
 def registered() -> dict[str, tuple[Callable, str | None]]:
-    return planning.QUERIES
+    return planning.QUERIES | monitoring.QUERIES
 
 
 def queries() -> dict[str, Callable]:
