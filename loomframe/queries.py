@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from loomframe.plans import monitoring, planning
+from loomframe.plans import monitoring, planning, storage
 
 
 def registered() -> dict[str, tuple[Callable, str | None]]:
-    return planning.QUERIES | monitoring.QUERIES
+    return planning.QUERIES | monitoring.QUERIES | storage.QUERIES
 
 
 def queries() -> dict[str, Callable]:

@@ -23,9 +23,9 @@ def number_or(field: str):
     return lambda c: F.coalesce(F.get_json_object(c, f"$.{field}"), c).try_cast("double")
 
 
-def read_generator_config(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+def read_generator_config(spark: SparkSession, path: str, multiline: bool = True) -> dict[str, DataFrame]:
     """A generator configuration as tables: settings, videos, formats, targets, paths."""
-    doc = spark.read.schema(schemas.CONFIG).option("multiLine", True).json(path)
+    doc = spark.read.schema(schemas.CONFIG).option("multiLine", multiline).json(path)
     formats = doc.select(F.explode("format_config").alias("category", "f")).select("category", F.explode("f").alias("format", "w"))
     targets = doc.select(F.explode("category_targets").alias("category", "t"))
     return {

@@ -6,15 +6,23 @@ state of every key, for tests and for batch use. State lives in RocksDB where it
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StructField, StructType
 
+from loomframe.operators import folds
 from loomframe.operators.folds import Plateau
-from loomframe.session import shared_folder, ship
+from loomframe.session import shared_folder
+
+#: The state machines' Python also starts beside the driver, where added files are not seen: their code travels along.
+cloudpickle.register_pickle_by_value(folds)
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -39,7 +47,7 @@ def settled(stream: DataFrame, keys: list[str] | None = None, mode: str = "updat
             spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
         else:
             spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
-    schema = stream.schema.add("batch", "bigint")
+    schema = StructType([*stream.schema.fields, StructField("batch", LongType())])
     spark.createDataFrame([], schema).write.parquet(f"{path}/part=-1")
     rows = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
     if not keys:
@@ -100,7 +108,6 @@ def with_patience(n: int) -> type:
 
 def stream_plateau(stream: DataFrame, patience: int = 250) -> DataFrame:
     """Changes of the plateau state over (run_id, step, loss, quality): run_id, step, state, counter, late."""
-    ship(stream.sparkSession)
     return stream.groupBy("run_id").transformWithStateInPandas(with_patience(patience)(), "run_id string, step bigint, state string, counter double, late bigint", "Update", "None")
 
 
@@ -130,7 +137,6 @@ class AlertState(StatefulProcessor):
 
 def stream_rate_limited_alert(stream: DataFrame, gap: int = 1000) -> DataFrame:
     """Alerts of steps on a plateau (run_id, step), each more than ``gap`` steps after the one before."""
-    ship(stream.sparkSession)
     state = type("AlertState", (AlertState,), {"gap": lambda self: gap})
     return stream.groupBy("run_id").transformWithStateInPandas(state(), "run_id string, step bigint", "Update", "None")
 
