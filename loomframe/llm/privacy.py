@@ -1,9 +1,10 @@
 """Personal data: patterns, and information-theoretic sanitisation of the terms that give protected entities away.
 
 Emails, IP addresses, card and phone numbers are found by pattern with their places. Each value is a protected entity.
-The words around an entity are candidate terms; how strongly a term discloses an entity is estimated by co-occurrence
-over the whole corpus, as the share of the texts with the term that also hold the entity, P(entity | term). Pairs need
-``support`` distinct surroundings, so copies of one text prove nothing. A term whose strongest share reaches
+All words of the texts that hold an entity, but those of entities, are candidate terms; how strongly a term discloses an
+entity is estimated by co-occurrence over the whole corpus, as the share of the distinct texts with the term that also
+hold the entity. The estimate of P(entity | term) is smoothed towards the entity's share of all texts, which counts as
+``weight`` further texts: (together + weight * P(entity)) / (texts + weight). A term whose strongest share reaches
 ``generalise`` is a span of its own everywhere in the corpus; from ``remove`` on it is cut out rather than replaced.
 
 Built-in functions only. Matches are located through the gaps between them: ``split`` gives the gaps, so a place is a
@@ -34,7 +35,7 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9][0-9]?)"
 
-AROUND, SUPPORT, GENERALISE, REMOVE = 120, 3, 0.5, 0.9
+WEIGHT, GENERALISE, REMOVE = 2.0, 0.5, 0.9
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
@@ -108,34 +109,62 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
-def disclosing_terms(found: DataFrame, docs: DataFrame, support: int = SUPPORT, threshold: float = GENERALISE, around: int = AROUND) -> DataFrame:
+def terms_of(text: Column) -> Column:
+    """The distinct terms of a text, without those too short to tell."""
+    return F.filter(F.array_distinct(F.transform(words(text), term)), lambda t: F.length(t) >= 3)
+
+
+def without_spans(text: Column, spans: Column) -> Column:
+    """``text`` with a space for each of its entities."""
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+
+    def step(acc: Column, s: Column) -> Column:
+        more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.lit(" "))
+        return F.struct(more.alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+
+    return let(F.aggregate(spans, start, step), lambda w: F.concat(w["out"], F.substring(text, w["at"] + 1, F.length(text))))
+
+
+def disclosing_terms(found: DataFrame, docs: DataFrame, weight: float = WEIGHT, threshold: float = GENERALISE) -> DataFrame:
     """Stored (term, strength): the terms that disclose an entity.
 
-    ``found`` is stored (text, spans) of the texts with spans; ``docs`` has all texts as ``text``.
+    ``found`` is stored (text, spans) of the distinct texts with spans; ``docs`` has all texts as ``text``. Both counts
+    are of distinct whole texts. An entity or pair is passed over only where its strength cannot reach ``threshold``
+    even if no other text has the term.
     """
-    one = found.select("text", F.explode("spans").alias("s"))
-    left = F.greatest(F.col("s.start") - around, F.lit(0))
-    before, after = F.substring(F.col("text"), left + 1, F.col("s.start") - left), F.substring(F.col("text"), F.col("s.end") + 1, F.lit(around))
-    near = one.select(F.xxhash64("text").alias("text"), F.concat_ws(":", F.col("s.kind").cast("string"), "s.value").alias("entity"), before.alias("b"), after.alias("a"))
-    pairs = near.select("text", "entity", F.xxhash64("b", "a").alias("place"), F.explode(F.array_distinct(F.transform(F.concat(words(F.col("b")), words(F.col("a"))), term))).alias("term"))
-    counted = pairs.where(F.length("term") >= 3).groupBy("entity", "term").agg(F.count_distinct("place").alias("places"), F.count_distinct("text").alias("together"))
-    candidates = stored(counted.where(F.col("places") >= support).groupBy("term").agg(F.max("together").alias("together")), "candidate-terms")
+    keyed = docs.select("text", F.xxhash64("text").alias("key"))
+    copies = keyed.groupBy("key").count()
+    total = copies.count()
+    again = bounded(stored(copies.where("count > 1").select("key"), "repeated-texts"))
+    entities = F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"].cast("string"), s["value"])))
+    held = stored(found.select(F.xxhash64("text").alias("key"), entities.alias("entities"), terms_of(without_spans(F.col("text"), F.col("spans"))).alias("terms")), "entity-texts")
+    prior = lambda n: weight * n / F.lit(float(max(total, 1)))
+    reach = lambda together, n: (together + prior(n)) / (together + weight) >= threshold
+    one = held.select("key", F.explode("entities").alias("entity"))
+    able = stored(one.groupBy("entity").agg(F.count("*").alias("n")).where(reach(F.col("n"), F.col("n"))), "entities")
+    pairs = one.join(bounded(able), "entity").join(held.select("key", "terms"), "key").select("entity", "n", F.explode("terms").alias("term"))
+    counted = pairs.groupBy("entity", "term").agg(F.first("n").alias("n"), F.count("*").alias("together")).where(reach(F.col("together"), F.col("n")))
+    candidates = stored(counted.groupBy("term").agg(F.max(F.col("together") + prior(F.col("n"))).alias("most")), "candidate-terms")
     if candidates.isEmpty():
         return candidates.select("term", F.lit(0.0).alias("strength"))
     small = bounded(candidates.select("term"))
-    everywhere = docs.select(F.xxhash64("text").alias("text"), F.explode(F.array_distinct(F.transform(words(F.col("text")), term))).alias("term")).join(small, "term", "left_semi")
-    texts = everywhere.groupBy("term", "text").agg(F.lit(1)).groupBy("term").agg(F.count("*").alias("texts"))
-    strength = (F.col("together") / F.col("texts")).alias("strength")
+    plain = keyed.join(again, "key", "left_anti")
+    bare = F.when(F.regexp_like("text", F.lit("[0-9@]")), without_spans(F.col("text"), base_spans(F.col("text")))).otherwise(F.col("text"))
+    twice = keyed.join(again, "key", "left_semi")
+    once = plain.select(F.explode(terms_of(bare)).alias("term")).join(small, "term", "left_semi").groupBy("term").agg(F.count("*").alias("texts"))
+    more = twice.select("key", F.explode(terms_of(bare)).alias("term")).join(small, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("texts"))
+    texts = once.unionByName(more).groupBy("term").agg(F.sum("texts").alias("texts"))
+    strength = (F.col("most") / (F.col("texts") + weight)).alias("strength")
     return stored(candidates.join(texts, "term").select("term", strength).where(F.col("strength") >= threshold), "terms")
 
 
-def marked(docs: DataFrame, support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:
+def marked(docs: DataFrame, weight: float = WEIGHT, threshold: float = GENERALISE) -> DataFrame:
     """``docs`` with ``base`` and ``added``: spans of the patterns and of disclosing terms (value: the term), and the
     terms of each text with their strength as ``terms``."""
     text = F.coalesce("text", F.lit(""))
     texts = docs.select(text.alias("text"))
     found = stored(texts.select("text", base_spans(F.col("text")).alias("spans")).where(F.size("spans") > 0).dropDuplicates(["text"]), "texts-with-spans")
-    terms = disclosing_terms(found, texts, support, threshold)
+    terms = disclosing_terms(found, texts, weight, threshold)
     none = F.array().cast(SPAN)
     if terms.isEmpty():
         empty = F.create_map().cast("map<string,double>")
@@ -155,11 +184,11 @@ def _trim(s: Column) -> Column:
     return F.struct((s["start"] + lead).alias("start"), s["kind"].alias("kind"), (s["start"] + lead + F.length(F.regexp_replace(s["value"], r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))).alias("end"), bare.alias("value"))
 
 
-def sanitise(docs: DataFrame, support: int = SUPPORT, threshold: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def sanitise(docs: DataFrame, weight: float = WEIGHT, threshold: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """``docs`` with personal data replaced by its kind in brackets, and strongly disclosing terms removed."""
     k = "p" + uuid.uuid4().hex
     inner = docs.withColumn(k, F.struct(*[F.col(c) for c in docs.columns])).select(k, F.col("text"))
-    spans = marked(inner, support, threshold)
+    spans = marked(inner, weight, threshold)
     text = F.coalesce("text", F.lit(""))
     names = F.array(*[F.lit(f"<{n.upper()}>") for n in KINDS])
     stand_in = lambda s: F.when((s["kind"] == KINDS.index("term")) & (F.col("terms")[s["value"]] >= remove), "").otherwise(names[s["kind"]])
