@@ -185,30 +185,50 @@ def common_prefix(a: Column, b: Column) -> Column:
     return F.when(first == 0, F.size(equal)).otherwise(first - 1).cast("int")
 
 
-def suffix_array(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
+def _apart(a, b) -> bool:
+    """Whether one of two suffixes has a page that the other has not."""
+    return a.low != a.high or (a.host, a.low, a.high) != (b.host, b.low, b.high)
+
+
+def _nearest(rows: DataFrame, edge: Column) -> DataFrame:
+    """``rows`` (part, host, suffix, low, high) with ``before`` and ``after``: in its part, the nearest suffixes that have
+    a page which the suffix has not."""
+    up, down = (Window.partitionBy("part").orderBy(*o) for o in (("host", "suffix"), (F.desc("host"), F.desc("suffix"))))
+    for name, order in (("before", up), ("after", down)):
+        o = F.col("beside")
+        same = (F.col("low") == F.col("high")) & (o["host"] == F.col("host")) & (o["low"] == F.col("low")) & (o["high"] == F.col("high"))
+        rows = rows.withColumn("beside", F.lag(edge).over(order)).withColumn(name, F.last(F.when(~F.coalesce(same, F.lit(False)), o), True).over(order)).drop("beside")
+    return rows
+
+
+def suffix_array(rows: DataFrame) -> DataFrame:
     """For each distinct (host, suffix) of ``rows`` (page, host, suffix as words): ``shared``, the longest start it has
     in common with another page of the host.
 
-    Suffixes are sorted by range partitioning. Each range is compared inside, together with the last suffix of the
-    range before and the first of the range after, of which there is one for each range.
+    Suffixes are sorted by range partitioning. Each is compared with the nearest suffix of another page in each
+    direction. Of every range its ends and what is nearest to them are carried on to the others, four rows for each.
     """
     many = F.min("page").alias("low"), F.max("page").alias("high")
     once = rows.groupBy("host", "suffix").agg(*many)
     parts = stored(once.repartitionByRange("host", "suffix").withColumn("part", F.spark_partition_id()), "suffixes")
     edge = F.struct("host", "suffix", "low", "high")
-    ends = parts.groupBy("part").agg(F.min(edge).alias("first"), F.max(edge).alias("last"))
-    order = Window.orderBy("part")  # one row for each range
-    beside = ends.select("part", F.array(F.lag("last").over(order), F.lead("first").over(order)).alias("near"))
-    near = beside.select("part", F.explode("near").alias("e")).where("e is not null").select("e.host", "e.suffix", "e.low", "e.high", "part")
-    all_ = parts.withColumn("own", F.lit(True)).unionByName(near.withColumn("own", F.lit(False)))
-    sorted_ = Window.partitionBy("part").orderBy("host", "suffix")
+    ends = _nearest(parts, edge).groupBy("part").agg(F.max(F.struct(edge.alias("e"), "before")).alias("last"), F.min(F.struct(edge.alias("e"), "after")).alias("first"))
+    ranges = sorted(ends.collect(), key=lambda r: r.part)  # a row for each range
+    near = []
+    for order, end, other in ((ranges, "last", "before"), (ranges[::-1], "first", "after")):
+        carried: list = []
+        for r in order:
+            near += [(*e, r.part) for e in carried]
+            e, beside = r[end].e, r[end][other]
+            carried = [e, *([beside] if beside else [c for c in carried if _apart(c, e)][:1])]
+    kinds = parts.select("host", "suffix", "low", "high", "part")
+    extra = rows.sparkSession.createDataFrame(near, kinds.schema)
+    all_ = _nearest(kinds.withColumn("own", F.lit(True)).unionByName(extra.withColumn("own", F.lit(False))), edge)
     best = F.when(F.col("low") != F.col("high"), F.size("suffix")).otherwise(0)
-    for step in (1, 2):
-        for other in (F.lag, F.lead):
-            o = other(edge, step).over(sorted_)
-            apart = (o["host"] == F.col("host")) & (F.least("low", o["low"]) != F.greatest("high", o["high"]))
-            best = F.greatest(best, F.coalesce(F.when(apart, common_prefix(F.col("suffix"), o["suffix"])), F.lit(0)))
-    return all_.withColumn("shared", best).where("own").select("host", "suffix", "shared")
+    for name in ("before", "after"):
+        o = F.col(name)
+        best = F.greatest(best, F.coalesce(F.when(o["host"] == F.col("host"), common_prefix(F.col("suffix"), o["suffix"])), F.lit(0)))
+    return all_.where("own").select("host", "suffix", best.alias("shared"))
 
 
 def without_repeats(rows: DataFrame, long: int = LONG, depth: int = DEPTH) -> DataFrame:
@@ -218,7 +238,7 @@ def without_repeats(rows: DataFrame, long: int = LONG, depth: int = DEPTH) -> Da
     numbered = streams.select("page", "host", "words", F.posexplode("sizes").alias("k", "size"), F.col("sizes"))
     start = F.aggregate(F.slice("sizes", 1, F.col("k")), F.lit(0), lambda a, x: a + x)
     suffixes = stored(numbered.select("page", "host", "k", "size", start.alias("start"), F.slice("words", start + 1, depth).alias("suffix")), "block-suffixes")
-    shared = suffix_array(suffixes, depth)
+    shared = suffix_array(suffixes)
     reached = suffixes.join(shared, ["host", "suffix"]).withColumn("reach", F.when(F.col("shared") >= long, F.col("start") + F.col("shared")).otherwise(0))
     upto = Window.partitionBy("page").orderBy("k")
     covered = reached.withColumn("reach", F.max("reach").over(upto)).where(F.col("reach") >= F.col("start") + F.col("size"))
