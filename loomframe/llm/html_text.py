@@ -5,9 +5,9 @@ or identifier are menus, headers, footers, side bars, notices, adverts, forms or
 article (``article``, ``main``), the blocks inside are its text; the marked article with most text counts.
 
 Pages without such a mark are told by their host: the word streams of their blocks are concatenated by host, and the
-suffixes that start at blocks are sorted, range-partitioned over the cluster, into a suffix array. The common prefix of
-neighbours from distinct pages gives the long substrings that pages of the host repeat; blocks inside them are removed,
-unique runs stay. A page that would lose every block is a copy rather than boilerplate, and keeps them.
+suffixes are sorted, range-partitioned over the cluster, into a suffix array. The common prefix of neighbours from
+distinct pages gives the long substrings that pages of the host repeat; blocks whose every word lies in them are removed,
+blocks with words of their own stay whole. A page that would lose every block is a copy rather than boilerplate, and keeps them.
 
 The repeats are not held against blocks inside a marked article: passages that many articles quote belong to them.
 
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from loomframe.llm.common import stored, table
 from loomframe.session import ship
 
-#: A repeated substring counts from so many words on; suffixes are compared over so many words.
-LONG, DEPTH = 8, 64
+#: A repeated substring counts from so many words on.
+LONG = 8
 
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split()
@@ -231,17 +231,27 @@ def suffix_array(rows: DataFrame) -> DataFrame:
     return all_.where("own").select("host", "suffix", best.alias("shared"))
 
 
-def without_repeats(rows: DataFrame, long: int = LONG, depth: int = DEPTH) -> DataFrame:
-    """Stored ``rows`` (page, url, blocks) with the blocks that no long repeated substring covers."""
+def without_repeats(rows: DataFrame, long: int = LONG) -> DataFrame:
+    """Stored ``rows`` (page, url, blocks) with the blocks whose every word lies in a long repeated substring removed.
+
+    A word does so exactly if a substring of ``long`` words around it is repeated, so suffixes of ``long`` words from
+    every word on tell it for blocks and passages of any length.
+    """
     words = lambda c: F.split(c, " ")
-    streams = rows.select("page", host(F.col("url")).alias("host"), F.transform("blocks", lambda b: F.size(words(b))).alias("sizes"), words(F.array_join("blocks", " ")).alias("words"))
-    numbered = streams.select("page", "host", "words", F.posexplode("sizes").alias("k", "size"), F.col("sizes"))
-    start = F.aggregate(F.slice("sizes", 1, F.col("k")), F.lit(0), lambda a, x: a + x)
-    suffixes = stored(numbered.select("page", "host", "k", "size", start.alias("start"), F.slice("words", start + 1, depth).alias("suffix")), "block-suffixes")
-    shared = suffix_array(suffixes)
-    reached = suffixes.join(shared, ["host", "suffix"]).withColumn("reach", F.when(F.col("shared") >= long, F.col("start") + F.col("shared")).otherwise(0))
-    upto = Window.partitionBy("page").orderBy("k")
-    covered = reached.withColumn("reach", F.max("reach").over(upto)).where(F.col("reach") >= F.col("start") + F.col("size"))
+    text = words(F.array_join("blocks", " "))
+    streams = rows.select("page", host(F.col("url")).alias("host"), text.alias("words")).where(F.size("words") >= long)
+    starts = F.transform(F.sequence(F.lit(1), F.size("words") - long + 1), lambda i: F.slice("words", i, long))
+    suffixes = stored(streams.select("page", "host", F.posexplode(starts).alias("at", "suffix")), "suffixes-of-pages")
+    shared = suffix_array(suffixes).where(F.col("shared") >= long)
+    hits = suffixes.join(shared, ["host", "suffix"]).select("page", "at")
+    by_page = Window.partitionBy("page").orderBy("at")
+    apart = F.coalesce(F.col("at") - F.lag("at").over(by_page) > long, F.lit(True)).cast("int")
+    runs = hits.withColumn("apart", apart).withColumn("run", F.sum("apart").over(by_page)).groupBy("page", "run").agg(F.min("at").alias("start"), (F.max("at") + long).alias("reach"))
+    sizes = F.transform("blocks", lambda b: F.size(words(b)))
+    placed = rows.select("page", F.posexplode(sizes).alias("k", "size")).withColumn("end", F.sum("size").over(Window.partitionBy("page").orderBy("k")))
+    both = runs.select("page", "start", "reach", F.lit(-1).alias("k"), F.lit(0).cast("long").alias("end")).unionByName(placed.select("page", (F.col("end") - F.col("size")).alias("start"), F.lit(None).cast("int").alias("reach"), "k", "end"))
+    upto = F.last("reach", True).over(Window.partitionBy("page").orderBy("start", "k"))
+    covered = both.withColumn("reach", upto).where("k >= 0 and reach >= end")
     lists = covered.groupBy("page").agg(F.collect_set("k").alias("covered"))
     out = rows.join(lists, "page", "left")
     kept = F.filter("blocks", lambda b, i: ~F.coalesce(F.array_contains(F.col("covered"), i), F.lit(False)))

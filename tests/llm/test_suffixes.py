@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import random
+
 from loomframe.llm import html_text
+from loomframe.llm.common import stored
 
 
 def test_suffixes_among_many_of_their_own_page(spark):
@@ -16,3 +19,29 @@ def test_suffixes_among_many_of_their_own_page(spark):
         mine = {p for p, h, s in rows if (h, s) == (r.host, r.suffix)}
         want = max((common(r.suffix, s) for p, h, s in rows if h == r.host and mine - {p}), default=0)
         assert r.shared == want, (r.suffix, r.shared, want)
+
+
+def test_blocks_of_any_length_and_passages_from_inside_a_block(spark):
+    r = random.Random(4)
+    line = lambda n: " ".join("".join(r.choices("abcdef", k=6)) for _ in range(n))
+    notice, legal, tail, short = line(200), line(9), line(12), line(3)
+    rows = [(i, "http://h/x", [line(20), notice, f"{line(2)} {legal}", short, line(15), f"{tail} {line(1)}", tail]) for i in range(6)]
+    rows += [(7, "http://h/x", [line(4), "few words"]), (8, "http://g/x", [notice, line(9)]), (9, "http://k/x", [line(9)]), (10, "http://k/x", [line(9)])]
+    given = stored(spark.createDataFrame(rows, "page long, url string, blocks array<string>"), "blocks")
+    got = {x.page: x.blocks for x in html_text.without_repeats(given).collect()}
+
+    def want(page: int, url: str, blocks: list) -> list:
+        others = [" ".join(b).split() for p, u, b in rows if u == url and p != page]
+        seen = {tuple(w[k : k + 8]) for w in others for k in range(len(w) - 7)}
+        mine = " ".join(blocks).split()
+        in_ = {q for k in range(len(mine) - 7) if tuple(mine[k : k + 8]) in seen for q in range(k, k + 8)}
+        out, at = [], 0
+        for b in blocks:
+            n = len(b.split())
+            if not set(range(at, at + n)) <= in_:
+                out.append(b)
+            at += n
+        return out or blocks
+
+    assert got == {p: want(p, u, b) for p, u, b in rows}
+    assert all(len(got[i]) == 4 for i in range(6))  # the notice, the block after the legal text and the last tail go
