@@ -35,7 +35,7 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9][0-9]?)"
 
-WEIGHT, GENERALISE, REMOVE = 2.0, 0.5, 0.9
+WEIGHT, GENERALISE, REMOVE = 1.0, 0.5, 0.9
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
@@ -147,15 +147,14 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, weight: float = WEIGHT,
     candidates = stored(counted.groupBy("term").agg(F.max(F.col("together") + prior(F.col("n"))).alias("most")), "candidate-terms")
     if candidates.isEmpty():
         return candidates.select("term", F.lit(0.0).alias("strength"))
-    small = bounded(candidates.select("term"))
     plain = keyed.join(again, "key", "left_anti")
     bare = F.when(F.regexp_like("text", F.lit("[0-9@]")), without_spans(F.col("text"), base_spans(F.col("text")))).otherwise(F.col("text"))
     twice = keyed.join(again, "key", "left_semi")
-    once = plain.select(F.explode(terms_of(bare)).alias("term")).join(small, "term", "left_semi").groupBy("term").agg(F.count("*").alias("texts"))
-    more = twice.select("key", F.explode(terms_of(bare)).alias("term")).join(small, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("texts"))
+    once = plain.select(F.explode(terms_of(bare)).alias("term")).groupBy("term").agg(F.count("*").alias("texts"))
+    more = twice.select("key", F.explode(terms_of(bare)).alias("term")).distinct().groupBy("term").agg(F.count("*").alias("texts"))
     texts = once.unionByName(more).groupBy("term").agg(F.sum("texts").alias("texts"))
     strength = (F.col("most") / (F.col("texts") + weight)).alias("strength")
-    return stored(candidates.join(texts, "term").select("term", strength).where(F.col("strength") >= threshold), "terms")
+    return stored(bounded(candidates).join(texts, "term").select("term", strength).where(F.col("strength") >= threshold), "terms")
 
 
 def marked(docs: DataFrame, weight: float = WEIGHT, threshold: float = GENERALISE) -> DataFrame:

@@ -26,8 +26,8 @@ def test_terms_far_from_their_entity_and_strengths_of_whole_texts(spark):
     for e, n in entities.items():
         for w in {w for t in texts if e in t for w in bare[t]}:
             both, all_ = (sum(w in bare[t] for t in texts if x in t) for x in (e, ""))
-            s = (both + 2 * n / len(texts)) / (all_ + 2)
+            s = (both + n / len(texts)) / (all_ + 1)
             if s >= 0.5 and len(w) >= 3:
                 want[w] = max(want.get(w, 0), s)
-    assert {"quillon", "marrow"} <= set(want) and "solitary" not in want
+    assert {"quillon", "marrow", "solitary"} <= set(want)
     assert {w: round(s, 9) for w, s in got.items()} == {w: round(s, 9) for w, s in want.items()}
