@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import functions as F
+
 from loomframe.llm import html_text
 from loomframe.llm.common import stored
 
@@ -45,3 +47,38 @@ def test_blocks_of_any_length_and_passages_from_inside_a_block(spark):
 
     assert got == {p: want(p, u, b) for p, u, b in rows}
     assert all(len(got[i]) == 4 for i in range(6))  # the notice, the block after the legal text and the last tail go
+
+
+def page(number: int, *, intro: str, promo: str, marked: bool = True) -> str:
+    tag = "article" if marked else "div"
+    return (
+        f"<nav>Home {number}</nav><div class='promo p{number}'>{promo}</div><div class='intro'>{intro}</div><{tag}>"
+        f"<div class='entry-header'><h1>Title {number}</h1></div><p class='ad-hoc'>Body {number}</p>"
+        f"<section id='search-for-meaning'>Meaning {number}</section><footer>foot</footer></{tag}><p>tail {number}"
+    )
+
+
+def test_the_array_tells_slots_beside_a_marked_article(spark):
+    """Promotions recur on their host, but for one page; introductions are each page's own. Labels that only look like
+    those of page furniture drop nothing inside an article."""
+    r = random.Random(7)
+    line = lambda: " ".join("".join(r.choices("abcdef", k=6)) for _ in range(9))
+    shared, lone, own = line(), line(), [line() for _ in range(51)]
+    rows = [(i, "http://h/x", page(i, intro=own[i], promo=lone if i == 3 else shared)) for i in range(30)]
+    rows += [(50, "http://small/x", page(50, intro=own[50], promo=shared)), (51, None, page(51, intro=own[0], promo=shared, marked=False))]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    read = stored(html_text.parsed(frame).withColumn("page", F.monotonically_increasing_id()), "pages")
+    got = {x.page_id: x.blocks for x in html_text._text_blocks(read, seen=30).collect()}
+    article = lambda i: [f"Title {i}", f"Body {i}", f"Meaning {i}"]
+    assert got[51] == [shared, own[0], *article(51), "tail 51"]
+    for i in (*range(30), 50):
+        assert got[i] == [own[i], *article(i), f"tail {i}"]
+    assert {x.page_id: x.text for x in html_text.extract(frame).collect()}[4] == "\n".join(article(4))  # 30 blocks are too few
+
+
+def test_suffixes_are_words_of_an_article_too(spark):
+    """A line that stands in another page's article is a repeat; the article keeps it."""
+    line = "one two three four five six seven eight nine"
+    rows = [(0, "http://h/0", f"<div>{line}</div><p>own words of this page"), (1, "http://h/1", f"<article><p>{line}<p>more</article>"), (2, None, None)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {x.page_id: x.text for x in html_text.extract(frame).collect()} == {0: "own words of this page", 1: f"{line}\nmore", 2: ""}
