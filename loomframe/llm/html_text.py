@@ -245,18 +245,45 @@ def _words(text: Column) -> Column:
     return F.split(text, " ")
 
 
-def _windows(rows: DataFrame, inside: bool, long: int) -> DataFrame:
-    """(page, host, at, suffix, name) of every ``long`` words in a row, of articles or of all that lies outside.
+def _streams(rows: DataFrame, inside: bool, long: int) -> DataFrame:
+    """(page, host, words) of what lies in articles, or of all that lies outside.
 
     Streams break at an article's edge: a block of the other side counts as one empty word, and no window holds one.
     """
     block = lambda b, i: F.when((F.col("kinds")[i] == ARTICLE) == F.lit(inside), b).otherwise("")
-    text = _words(F.array_join(F.transform("blocks", block), " "))
-    streams = rows.select("page", host(F.col("url")).alias("host"), text.alias("words")).where(F.size("words") >= long)
-    starts = F.sequence(F.lit(1), F.size("words") - long + 1)
-    found = F.transform(starts, lambda i: F.struct(i.alias("at"), F.slice("words", i, long).alias("suffix")))
-    each = streams.select("page", "host", F.explode(found).alias("w")).select("page", "host", "w.at", "w.suffix")
-    return each.where(~F.array_contains("suffix", "")).withColumn("name", F.xxhash64("host", "suffix"))
+    words = _words(F.array_join(F.transform("blocks", block), " "))
+    return rows.select("page", host(F.col("url")).alias("host"), words.alias("words")).where(F.size("words") >= long)
+
+
+def _starts(long: int) -> Column:
+    return F.sequence(F.lit(1), F.size("words") - long + 1)
+
+
+def _named(own: Column, hashes: Column) -> Column:
+    """The name of a window from its host and the hashes of its words."""
+    return F.xxhash64(own, hashes)
+
+
+def _outside(rows: DataFrame, long: int) -> DataFrame:
+    """(page, host, at, suffix, name) of every ``long`` words in a row outside articles."""
+    found = F.transform(_starts(long), lambda i: F.struct(i.alias("at"), F.slice("words", i, long).alias("suffix")))
+    each = _streams(rows, False, long).select("page", "host", F.explode(found).alias("w")).select("page", "host", "w.at", "w.suffix")
+    return each.where(~F.array_contains("suffix", "")).withColumn("name", _named(F.col("host"), F.transform("suffix", lambda w: F.xxhash64(w))))
+
+
+def _inside(rows: DataFrame, names: DataFrame, long: int) -> DataFrame:
+    """The like of ``_outside`` for the windows of articles that have one of the stored ``names``.
+
+    Words are hashed once each; the words of a window are only cut out where its name is met. Pages by the rows of
+    ``names`` met, so most articles go through without a shuffle.
+    """
+    streams = _streams(rows, True, long)
+    hashed = streams.select("page", "host", F.size("words").alias("n"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    found = F.transform(F.sequence(F.lit(1), F.col("n") - long + 1), lambda i: F.struct(i.alias("at"), _named(F.col("host"), F.slice("hashes", i, long)).alias("name")))
+    met = hashed.select("page", F.explode(found).alias("w")).select("page", "w.at", "w.name").join(bounded(names.select("name")), "name")
+    met = stored(met.groupBy("page").agg(F.collect_list(F.struct("at", "name")).alias("met")), "names-met")
+    cut = streams.join(bounded(met), "page").select("page", "host", F.explode(F.transform("met", lambda m: F.struct(m["at"].alias("at"), F.slice("words", m["at"], long).alias("suffix"), m["name"].alias("name")))).alias("w"))
+    return cut.select("page", "host", "w.at", "w.suffix", "w.name").where(~F.array_contains("suffix", ""))
 
 
 def repeated_blocks(rows: DataFrame, long: int = LONG) -> DataFrame:
@@ -267,11 +294,11 @@ def repeated_blocks(rows: DataFrame, long: int = LONG) -> DataFrame:
     depth, tell it for blocks and passages of any length. Names (hashes) of windows find the suffixes that can have a
     partner; windows of articles only count where a name outside meets them. The array then compares words.
     """
-    outside, inside = _windows(rows, False, long), _windows(rows, True, long)
+    outside = _outside(rows, long)
     ends = F.min("page").alias("low"), F.max("page").alias("high")
     names = stored(outside.groupBy("name").agg(*ends), "window-names")
-    met = inside.join(bounded(names.select("name")), "name").groupBy("name").agg(*ends)
-    both = names.unionByName(met).groupBy("name").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    inside = stored(_inside(rows, names, long), "windows-of-articles")
+    both = names.unionByName(inside.groupBy("name").agg(*ends)).groupBy("name").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     twice = bounded(stored(both.where("low < high").select("name"), "repeated-names"))
     mark = lambda df, own: df.join(twice, "name").select("page", "host", "at", "suffix", F.lit(own).alias("own"))
     suffixes = stored(mark(outside, True).unionByName(mark(inside, False)), "suffixes-of-pages")
