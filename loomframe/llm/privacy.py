@@ -1,11 +1,17 @@
 """Personal data: patterns, and information-theoretic sanitisation of the terms that give protected entities away.
 
 Emails, IP addresses, card and phone numbers are found by pattern with their places. Each value is a protected entity.
-All words of the texts that hold an entity, but those of entities, are candidate terms; how strongly a term discloses an
-entity is estimated by co-occurrence over the whole corpus, as the share of the distinct texts with the term that also
-hold the entity. The estimate of P(entity | term) is smoothed towards the entity's share of all texts, which counts as
-``weight`` further texts: (together + weight * P(entity)) / (texts + weight). A term whose strongest share reaches
-``generalise`` is a span of its own everywhere in the corpus; from ``remove`` on it is cut out rather than replaced.
+All words of the texts that hold an entity, but those of entities, are candidate terms. How strongly a term discloses an
+entity is estimated by co-occurrence over the whole corpus, in bits: an entity's information content is -log2 P(entity),
+a term tells log2 (P(entity | term) / P(entity)) of it, and -log2 P(entity | term) stays unknown. P(entity | term) is
+(together + weight * P(entity)) / (texts + weight), both counted in distinct whole texts: the share of the texts with the
+term that hold the entity too, smoothed towards the entity's share of all texts, which counts as ``weight`` further texts.
+It never exceeds 1, so no more than the whole content is told. A term that leaves at most ``LEFT`` = 1 bit of some entity
+unknown (a strength of ``GENERALISE`` = 1/2 or more) is a span of its own everywhere in the corpus and gives way to its
+class; one that leaves at most 0.15 bit (``REMOVE`` = 0.9) is cut out.
+
+Terms are counted before anything is joined to them, so a term too common for the entities of its text meets none of
+them. Entities that occur in the same texts are as strongly disclosed by any term, so one of them stands for all.
 
 Built-in functions only. Matches are located through the gaps between them: ``split`` gives the gaps, so a place is a
 running sum of lengths, summed in blocks so that thousands of matches in a text stay cheap.
@@ -35,7 +41,8 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9][0-9]?)"
 
-WEIGHT, GENERALISE, REMOVE = 1.0, 0.5, 0.9
+WEIGHT, LEFT, REMOVE = 1.0, 1.0, 0.9
+GENERALISE = 2.0**-LEFT
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
@@ -110,8 +117,8 @@ def words(text: Column) -> Column:
 
 
 def terms_of(text: Column) -> Column:
-    """The distinct terms of a text, without those too short to tell."""
-    return F.filter(F.array_distinct(F.transform(words(text), term)), lambda t: F.length(t) >= 3)
+    """The distinct terms of a text."""
+    return F.filter(F.array_distinct(F.transform(words(text), term)), lambda t: t != "")
 
 
 def without_spans(text: Column, spans: Column) -> Column:
@@ -125,41 +132,55 @@ def without_spans(text: Column, spans: Column) -> Column:
     return let(F.aggregate(spans, start, step), lambda w: F.concat(w["out"], F.substring(text, w["at"] + 1, F.length(text))))
 
 
+def term_counts(docs: DataFrame, again: DataFrame) -> DataFrame:
+    """(term, texts): in how many distinct texts of ``docs`` (key, text) a term stands outside entities.
+
+    Only texts of ``again``, the keys of several rows, are made distinct; all others are counted where they lie.
+    """
+    has = F.regexp_like("text", F.lit("[0-9@]"))
+    bare = F.when(has, without_spans(F.col("text"), base_spans(F.col("text")))).otherwise(F.col("text"))
+    once = docs.join(again, "key", "left_anti").select(F.explode(terms_of(bare)).alias("term")).groupBy("term").agg(F.count("*").alias("texts"))
+    many = docs.join(again, "key", "left_semi").select("key", F.explode(terms_of(bare)).alias("term")).distinct().groupBy("term").agg(F.count("*").alias("texts"))
+    return once.unionByName(many).groupBy("term").agg(F.sum("texts").alias("texts"))
+
+
+def cohorts(found: DataFrame) -> DataFrame:
+    """(key, entity, n) of the stored ``found`` (key, spans): one entity for each set of texts that entities have in
+    common, in each of its ``n`` texts. Sets are told apart by their size and 128 bits of digests."""
+    entities = F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"].cast("string"), s["value"])))
+    one = stored(found.select("key", F.explode(entities).alias("entity")), "entities-of-texts")
+    sets = one.groupBy("entity").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"))
+    heads = stored(sets.groupBy("n", "x", "y").agg(F.min("entity").alias("entity")).select("entity", "n"), "cohorts")
+    return one.join(bounded(heads), "entity").select("key", "entity", "n")
+
+
 def disclosing_terms(found: DataFrame, docs: DataFrame, weight: float = WEIGHT, threshold: float = GENERALISE) -> DataFrame:
     """Stored (term, strength): the terms that disclose an entity.
 
-    ``found`` is stored (text, spans) of the distinct texts with spans; ``docs`` has all texts as ``text``. Both counts
-    are of distinct whole texts. An entity or pair is passed over only where its strength cannot reach ``threshold``
-    even if no other text has the term.
+    ``found`` is stored (text, spans) of the distinct texts with spans; ``docs`` has all texts as ``text``. A pair is
+    passed over only where its strength cannot reach ``threshold``.
     """
     keyed = docs.select("text", F.xxhash64("text").alias("key"))
     copies = keyed.groupBy("key").count()
-    total = copies.count()
+    total = float(max(copies.count(), 1))
     again = bounded(stored(copies.where("count > 1").select("key"), "repeated-texts"))
-    entities = F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"].cast("string"), s["value"])))
-    held = stored(found.select(F.xxhash64("text").alias("key"), entities.alias("entities"), terms_of(without_spans(F.col("text"), F.col("spans"))).alias("terms")), "entity-texts")
-    prior = lambda n: weight * n / F.lit(float(max(total, 1)))
-    reach = lambda together, n: (together + prior(n)) / (together + weight) >= threshold
-    one = held.select("key", F.explode("entities").alias("entity"))
-    able = stored(one.groupBy("entity").agg(F.count("*").alias("n")).where(reach(F.col("n"), F.col("n"))), "entities")
-    pairs = one.join(bounded(able), "entity").join(held.select("key", "terms"), "key").select("entity", "n", F.explode("terms").alias("term"))
-    counted = pairs.groupBy("entity", "term").agg(F.first("n").alias("n"), F.count("*").alias("together")).where(reach(F.col("together"), F.col("n")))
-    candidates = stored(counted.groupBy("term").agg(F.max(F.col("together") + prior(F.col("n"))).alias("most")), "candidate-terms")
-    if candidates.isEmpty():
-        return candidates.select("term", F.lit(0.0).alias("strength"))
-    plain = keyed.join(again, "key", "left_anti")
-    bare = F.when(F.regexp_like("text", F.lit("[0-9@]")), without_spans(F.col("text"), base_spans(F.col("text")))).otherwise(F.col("text"))
-    twice = keyed.join(again, "key", "left_semi")
-    once = plain.select(F.explode(terms_of(bare)).alias("term")).groupBy("term").agg(F.count("*").alias("texts"))
-    more = twice.select("key", F.explode(terms_of(bare)).alias("term")).distinct().groupBy("term").agg(F.count("*").alias("texts"))
-    texts = once.unionByName(more).groupBy("term").agg(F.sum("texts").alias("texts"))
-    strength = (F.col("most") / (F.col("texts") + weight)).alias("strength")
-    return stored(bounded(candidates).join(texts, "term").select("term", strength).where(F.col("strength") >= threshold), "terms")
+    held = found.withColumn("key", F.xxhash64("text"))
+    one = stored(cohorts(held), "cohorts-of-texts")
+    strength = lambda together, n, texts: (together + weight * n / total) / (texts + weight)
+    least = lambda n, texts: strength(F.least(n, texts), n, texts) >= threshold
+    most = one.groupBy("key").agg(F.max("n").alias("most"))
+    here = held.select("key", F.explode(terms_of(without_spans(F.col("text"), F.col("spans")))).alias("term"))
+    rare = here.join(term_counts(keyed, again), "term").join(bounded(stored(most, "most"), 1_000_000), "key").where(least(F.col("most"), F.col("texts")))
+    terms = stored(rare.select("key", "term", "texts"), "rare-terms")
+    pairs = terms.join(one, "key").where(least(F.col("n"), F.col("texts")))
+    told = pairs.groupBy("entity", "term").agg(F.first("n").alias("n"), F.first("texts").alias("texts"), F.count("*").alias("together"))
+    strong = told.select("term", strength(F.col("together"), F.col("n"), F.col("texts")).alias("strength")).where(F.col("strength") >= threshold)
+    return stored(strong.groupBy("term").agg(F.max("strength").alias("strength")), "terms")
 
 
 def marked(docs: DataFrame, weight: float = WEIGHT, threshold: float = GENERALISE) -> DataFrame:
     """``docs`` with ``base`` and ``added``: spans of the patterns and of disclosing terms (value: the term), and the
-    terms of each text with their strength as ``terms``."""
+    terms of each text with their strength as ``terms``. Columns of these names are replaced; ``sanitise`` keeps them."""
     text = F.coalesce("text", F.lit(""))
     texts = docs.select(text.alias("text"))
     found = stored(texts.select("text", base_spans(F.col("text")).alias("spans")).where(F.size("spans") > 0).dropDuplicates(["text"]), "texts-with-spans")
@@ -168,8 +189,8 @@ def marked(docs: DataFrame, weight: float = WEIGHT, threshold: float = GENERALIS
     if terms.isEmpty():
         empty = F.create_map().cast("map<string,double>")
         return docs.withColumns({"base": base_spans(text), "added": none, "terms": empty})
-    here = texts.select("text", F.explode(F.array_distinct(F.transform(words(F.col("text")), term))).alias("term")).join(bounded(terms), "term")
-    held = stored(here.groupBy(F.xxhash64("text").alias("key")).agg(F.collect_set(F.struct("term", "strength")).alias("held")), "texts-with-terms")
+    here = texts.select(F.xxhash64("text").alias("key"), F.explode(terms_of(F.col("text"))).alias("term")).join(bounded(terms), "term")
+    held = stored(here.groupBy("key").agg(F.collect_set(F.struct("term", "strength")).alias("held")), "texts-with-terms")
     joined = docs.join(bounded(held, 50_000), F.xxhash64(text) == held["key"], "left").drop("key")
     all_words = F.filter(located(text, "term", WORD, lambda v: F.lit(True)), lambda s: F.exists("held", lambda h: h["term"] == term(s["value"])))
     trimmed = F.transform(all_words, _trim)

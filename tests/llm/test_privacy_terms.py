@@ -27,7 +27,29 @@ def test_terms_far_from_their_entity_and_strengths_of_whole_texts(spark):
         for w in {w for t in texts if e in t for w in bare[t]}:
             both, all_ = (sum(w in bare[t] for t in texts if x in t) for x in (e, ""))
             s = (both + n / len(texts)) / (all_ + 1)
-            if s >= 0.5 and len(w) >= 3:
+            if s >= 0.5:
                 want[w] = max(want.get(w, 0), s)
     assert {"quillon", "marrow", "solitary"} <= set(want)
     assert {w: round(s, 9) for w, s in got.items()} == {w: round(s, 9) for w, s in want.items()}
+
+
+def test_strengths_of_a_random_corpus_against_all_pairs(spark):
+    """Texts share entities and words at random; short words count, no strength exceeds certainty."""
+    r = random.Random(3)
+    vocabulary = [f"w{k}" for k in range(150)] + ["li", "x"]
+    texts = sorted({" ".join([*r.choices(vocabulary, k=r.randint(1, 9)), *(f"u{r.randint(0, 12)}@corp.example" for _ in range(r.choice([0, 0, 1, 2])))]) for _ in range(150)})
+    frame = spark.createDataFrame([(t,) for t in texts * 2], "text string").repartition(6)
+    found = stored(frame.distinct().select("text", privacy.base_spans(F.col("text")).alias("spans")).where(F.size("spans") > 0), "found")
+    got = {x.term: round(x.strength, 9) for x in privacy.disclosing_terms(found, frame, threshold=0.3).collect()}
+    words = {t: {w for w in t.split() if "@" not in w} for t in texts}
+    holds = {t: {w for w in t.split() if "@" in w} for t in texts}
+    want: dict = {}
+    for e in set().union(*holds.values()):
+        n = sum(e in holds[t] for t in texts)
+        for w in set().union(*(words[t] for t in texts if e in holds[t])):
+            both, all_ = (sum(w in words[t] and (not x or e in holds[t]) for t in texts) for x in (True, False))
+            s = (both + n / len(texts)) / (all_ + 1)
+            if s >= 0.3:
+                want[w] = max(want.get(w, 0), round(s, 9))
+    assert len(want) > 3 and max(want.values()) <= 1
+    assert got == want
