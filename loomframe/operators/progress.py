@@ -39,10 +39,15 @@ def storage_by_category(files: DataFrame) -> DataFrame:
     return files.rollup("category").agg(F.sum("bytes").alias("b"), F.grouping("category").alias("is_total")).select("category", "is_total", F.round(F.col("b") / 2**30, 2).alias("gib"))
 
 
-def progress_rollup(patches: DataFrame) -> DataFrame:
-    """Images and bytes by category, with a TOTAL row."""
-    rows = patches.rollup("category").agg(F.count("*").alias("images"), F.sum("bytes").alias("bytes"), F.grouping("category").alias("g"))
-    return rows.select(F.when(F.col("g") == 1, "TOTAL").otherwise(F.col("category")).alias("category"), "images", "bytes")
+def progress_rollup(patches: DataFrame, targets: DataFrame) -> DataFrame:
+    """Videos, images, target (category, target), percent of it and bytes by category, with a TOTAL row (videos: null)."""
+    done = patches.groupBy("category").agg(F.count_distinct("video_id").alias("videos"), F.count("*").alias("images"), F.sum("bytes").alias("bytes"))
+    both = done.join(targets, "category", "full")
+    of = lambda c: F.coalesce(c, F.lit(0))
+    rows = both.rollup("category").agg(F.max("videos").alias("v"), *[F.sum(of(c)).alias(c) for c in ("images", "target", "bytes")], F.grouping("category").alias("g"))
+    percent = F.when(F.col("target") > 0, F.col("images") / F.col("target") * 100).otherwise(0.0)
+    total = F.col("g") == 1
+    return rows.select(F.when(total, "TOTAL").otherwise(F.col("category")).alias("category"), F.when(~total, of("v")).alias("videos"), "images", "target", percent.alias("percent"), "bytes")
 
 
 def checkpoint_status(entry):

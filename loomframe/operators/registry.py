@@ -65,6 +65,7 @@ def validate_params(changes: DataFrame, current: dict[str, float], rules: DataFr
     total = sum((F.when(F.col("param") == w, F.col("value")).otherwise(F.lit(float(current.get(w, 0.0)))) for w in weights), F.lit(0.0))
     reason = (
         F.when(F.col("class") == "startup", "startup only")
+        .when(F.col("value").isNull(), "no value")
         .when(F.col("class").isNotNull() & ~F.col("value").between(F.col("lo"), F.col("hi")), "out of range")
         .when(F.col("param").isin(weights) & ~total.between(0.95, 1.05), "weights do not sum to 1")
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomframe.functions import dims
 from loomframe.functions.draws import u
+from loomframe.functions.ranks import numbered, running_sum
 
 
 def quota(base: int) -> Column:
@@ -78,15 +79,16 @@ def weighted_interleave(videos: DataFrame, base: int = 3000, val_percent: float
     """Training tasks in round-robin order: in each round every video gives its chunk, heavier videos first.
 
     ``sort_round``, ``sort_video`` and ``i`` order all tasks; ``position`` follows from counts, without a global sort:
-    tasks of earlier rounds, and those of heavier videos in the same round.
+    tasks of earlier rounds, and those of heavier videos in the same round. Both come from range partitions and the
+    sums before them, so no task sees all videos.
     """
-    rows = limits(videos, base, val_percent).withColumn("video_rank", F.row_number().over(Window.orderBy(F.col("weight").desc(), "name", "video_id")))  # a row for each video
+    rows = numbered(limits(videos, base, val_percent), F.col("weight").desc(), F.col("name"), F.col("video_id")).withColumnRenamed("ordinal", "video_rank")
     rounds = rows.select("video_id", "video_rank", "chunk", "n_train", F.explode(upto(F.ceil(F.col("n_train") / F.col("chunk")).cast("int"))).alias("round"))
     sized = rounds.withColumn("given", F.least("chunk", F.col("n_train") - F.col("round") * F.col("chunk")))
     total = sized.groupBy("round").agg(F.sum("given").alias("all"))
     before = total.select("round", (F.sum("all").over(Window.orderBy("round")) - F.col("all")).alias("earlier"))
-    heavier = (F.sum("given").over(Window.partitionBy("round").orderBy("video_rank")) - F.col("given")).alias("heavier")
-    placed = sized.select("video_id", "round", "chunk", "given", heavier).join(before, "round")
+    summed = running_sum(sized.select("video_id", "round", "chunk", "given", "video_rank"), "given", "round", "video_rank", "heavier")
+    placed = summed.join(before, "round")
     tasks = placed.select("video_id", "round", F.explode(upto(F.col("given").cast("int"))).alias("k"), "chunk", "earlier", "heavier")
     return tasks.select("video_id", (F.col("round") * F.col("chunk") + F.col("k")).alias("i"), "round", (F.col("earlier") + F.col("heavier") + F.col("k")).alias("position"))
 

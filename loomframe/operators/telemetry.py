@@ -1,12 +1,14 @@
 """Training telemetry over (run_id, tag, step, value): smoothing, trends, plateaus, activity, scores, audits.
 
 Windows run inside one run and tag. Truly sequential rules (exponential means, plateau counters) are folds over one
-series in step order; a series is bounded by the length of its training run, and parallelism is across series.
+series in step order, streamed in batches with a carried state; parallelism is across series.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -31,20 +33,45 @@ def last_n(n: int, window: Window | None = None) -> Window:
     return (window or series()).rowsBetween(-(n - 1), 0)
 
 
+def in_step_order(rows: DataFrame, keys: tuple[str, ...], schema: str, fold: Callable[[pd.DataFrame, Any], tuple[pd.DataFrame, Any]]) -> DataFrame:
+    """Fold every series of ``rows`` in step order: ``fold`` takes the next rows of a series and its state (None at first)
+    and returns the rows to emit and the state.
+
+    Series are sorted inside partitions and streamed in Arrow batches; only the state is carried, no series is held.
+    """
+    ship(rows.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state = None, None
+        for pdf in batches:
+            of = list(zip(*(pdf[k] for k in keys), strict=True))
+            cuts = [0, *(i for i in range(1, len(of)) if of[i] != of[i - 1]), len(of)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if last != of[a]:
+                    last, state = of[a], None
+                out, state = fold(pdf.iloc[a:b].reset_index(drop=True), state)
+                yield out
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "step").mapInPandas(run, schema)
+
+
+def ddl(df: DataFrame, *more: str) -> str:
+    return ", ".join([*(f"{c} {t}" for c, t in df.dtypes), *more])
+
+
 def ema(df: DataFrame, alpha: float = 0.1, start: str = "first") -> DataFrame:
     """``df`` with ``ema``; it starts from the first value, or with ``start='zero'`` from 0."""
-    ship(df.sparkSession)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("step", kind="stable")
-        y, out = None if start == "first" else 0.0, []
-        for x in pdf["value"]:
-            y = x if y is None else alpha * x + (1 - alpha) * y
-            out.append(y)
-        return pdf.assign(ema=out)
+    def fold(pdf: pd.DataFrame, y: float | None) -> tuple[pd.DataFrame, float]:
+        y = 0.0 if y is None and start == "zero" else y
+        before = [] if y is None else [y]
+        means = pd.Series([*before, *pdf["value"]]).ewm(alpha=alpha, adjust=False).mean()[len(before) :]
+        return pdf.assign(ema=means.to_numpy()), float(means.iloc[-1])
 
     rows = df.select(*SERIES, "step", "value")
-    return rows.groupBy(*SERIES).applyInPandas(run, rows.withColumn("ema", F.lit(0.0)).schema)
+    return in_step_order(rows, SERIES, ddl(rows, "ema double"), fold)
 
 
 def rolling_mean(df: DataFrame, n: int) -> DataFrame:
@@ -74,54 +101,48 @@ def convergence(df: DataFrame, n: int = 100, dead: float = 5e-5) -> DataFrame:
 
 def plateau_tracker(df: DataFrame, patience: int = 250, safety: int = 800) -> DataFrame:
     """Per run over (run_id, step, loss, quality): bests, exponential means, counter, is_plateau, steps_until_reset."""
-    ship(df.sparkSession)
+    names = ["best_loss", "best_quality", "ema_loss", "ema_quality", "counter"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("step", kind="stable")
-        fold, out = Plateau(), []
+    def fold(pdf: pd.DataFrame, state: Plateau | None) -> tuple[pd.DataFrame, Plateau]:
+        state, out = state or Plateau(), []
         for loss, quality in zip(pdf["loss"], pdf["quality"], strict=True):
-            fold.see(loss, quality)
-            out.append(fold.state())
-        return pd.concat([pdf.reset_index(drop=True), pd.DataFrame(out, columns=["best_loss", "best_quality", "ema_loss", "ema_quality", "counter"])], axis=1)
+            state.see(loss, quality)
+            out.append(state.state())
+        return pd.concat([pdf, pd.DataFrame(out, columns=names)], axis=1), state
 
     rows = df.select("run_id", "step", "loss", F.col("quality").cast("double").alias("quality"))
-    kinds = dict(rows.dtypes)
-    folded = rows.groupBy("run_id").applyInPandas(run, f"run_id {kinds['run_id']}, step {kinds['step']}, loss double, quality double, best_loss double, best_quality double, ema_loss double, ema_quality double, counter double")
+    folded = in_step_order(rows, ("run_id",), ddl(rows, *(f"{n} double" for n in names)), fold)
     return folded.withColumns({"is_plateau": F.col("counter") >= patience, "steps_until_reset": F.greatest(F.lit(0), F.lit(safety) - F.col("counter").cast("int"))})
 
 
 def plateau_divergence_events(df: DataFrame, lr0: float) -> DataFrame:
     """Per series the events: step, event, old_rate, new_rate."""
-    ship(df.sparkSession)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("step", kind="stable")
-        fold, out = RateControl(lr0), []
-        for step, value in zip(pdf["step"], pdf["value"], strict=True):
-            event = fold.see(value)
+    def fold(pdf: pd.DataFrame, state: RateControl | None) -> tuple[pd.DataFrame, RateControl]:
+        state, out = state or RateControl(lr0), []
+        for run, tag, step, value in pdf[[*SERIES, "step", "value"]].itertuples(index=False):
+            event = state.see(value)
             if event:
-                out.append((pdf["run_id"].iloc[0], pdf["tag"].iloc[0], step, *event))
-        return pd.DataFrame(out, columns=["run_id", "tag", "step", "event", "old_rate", "new_rate"])
+                out.append((run, tag, step, *event))
+        return pd.DataFrame(out, columns=[*SERIES, "step", "event", "old_rate", "new_rate"]), state
 
-    kinds = dict(df.dtypes)
-    return df.select(*SERIES, "step", "value").groupBy(*SERIES).applyInPandas(run, f"run_id {kinds['run_id']}, tag {kinds['tag']}, step {kinds['step']}, event string, old_rate double, new_rate double")
+    rows = df.select(*SERIES, "step", "value")
+    return in_step_order(rows, SERIES, ddl(rows.drop("value"), "event string", "old_rate double", "new_rate double"), fold)
 
 
 def adaptive_clip(df: DataFrame, start: float = 1.5, n: int = 500, warm: int = 100) -> DataFrame:
     """``df`` with ``p95`` of the last ``n`` values (from ``warm`` values on) and ``clip``, its running mean."""
-    ship(df.sparkSession)
     place = F.row_number().over(series())
     rows = df.select(*SERIES, "step", "value", F.when(place >= warm, F.percentile("value", 0.95).over(last_n(n))).alias("p95"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("step", kind="stable")
-        clip, out = start, []
+    def fold(pdf: pd.DataFrame, clip: float | None) -> tuple[pd.DataFrame, float]:
+        clip, out = start if clip is None else clip, []
         for p in pdf["p95"]:
             clip = clip if p is None or math.isnan(p) else 0.9 * clip + 0.1 * p
             out.append(clip)
-        return pdf.assign(clip=out)
+        return pdf.assign(clip=out), clip
 
-    return rows.groupBy(*SERIES).applyInPandas(run, rows.withColumn("clip", F.lit(0.0)).schema)
+    return in_step_order(rows, SERIES, ddl(rows, "clip double"), fold)
 
 
 def peak_layer(activity: DataFrame) -> DataFrame:
@@ -190,13 +211,15 @@ def training_score(df: DataFrame, variant: str = "slope") -> DataFrame:
     return out.withColumn("label", F.when(F.col("score") >= 80, "EXCELLENT").when(F.col("score") >= 60, "GOOD").when(F.col("score") >= 40, "MODERATE").otherwise("NEEDS ATTENTION"))
 
 
-def progress_eta(df: DataFrame, max_steps: int, val_every: int = 500, save_every: int = 10000) -> DataFrame:
-    """``df`` (step, mean_step_time) with percent, seconds left, their text, steps a second, steps to validation and save."""
-    left = F.greatest(F.lit(0), F.lit(max_steps) - F.col("step"))
+def progress_eta(df: DataFrame, max_steps: int, val_every: int = 500, save_every: int = 10000, epoch_steps: int = 1000) -> DataFrame:
+    """``df`` (step, mean_step_time, paused) with percent, seconds left in all and in the epoch, their texts (PAUSED while
+    paused, N/A beyond the last step), steps a second, steps to validation and save."""
+    left = F.lit(max_steps) - F.col("step")
     t = F.col("mean_step_time")
     until = lambda n: F.lit(n) - F.pmod(F.col("step"), F.lit(n))
-    out = df.withColumns({"percent": F.col("step") / max_steps * 100, "eta": left * t, "rate": F.when(t > 0, 1 / t).otherwise(0.0), "to_validation": until(val_every), "to_save": until(save_every)})
-    return out.withColumn("eta_text", columns.duration_text(F.col("eta")))
+    out = df.withColumns({"percent": F.col("step") / max_steps * 100, "eta": left * t, "epoch_eta": until(epoch_steps) * t, "rate": F.when(t > 0, 1 / t).otherwise(0.0), "to_validation": until(val_every), "to_save": until(save_every)})
+    text = lambda c: F.when(F.col("paused"), "PAUSED").otherwise(columns.duration_text(F.col(c)))
+    return out.withColumns({"eta_text": text("eta"), "epoch_eta_text": text("epoch_eta")})
 
 
 def cadence(df: DataFrame, every: int) -> DataFrame:

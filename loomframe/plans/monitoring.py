@@ -111,14 +111,20 @@ FROM (SELECT *, value > best * 1.15::DOUBLE AND step + 1 > 50 AND greatest(r1 *
   SELECT f.run_id, m.step, m.value, f.best, f.counter, f.rest, f.rate, m.value < f.best * 0.997::DOUBLE AS better, f.counter + 1 >= 300 AND least(f.rate * 1.3::DOUBLE, 1e-3) > f.rate AS flat FROM f JOIN m ON m.run_id = f.run_id AND m.step = f.step + 1))))"""
 
 
+def on_grid(spark, sf, every, first):
+    """The whole series, logged at every so many steps."""
+    return series(spark, sf).withColumn("step", F.col("step") * every + first)
+
+
+GRIDS = "(SELECT run_id, step * 5 AS step, value FROM metrics) v ASOF LEFT JOIN (SELECT run_id, step * 3 + 1 AS step, value FROM metrics) m"
+
+
 def m25(spark, sf):
-    m = series(spark, sf)
-    return telemetry.delayed_snapshot(m.where("step % 50 = 0"), m.where("step % 7 = 0"))
+    return telemetry.delayed_snapshot(on_grid(spark, sf, 5, 0), on_grid(spark, sf, 3, 1))
 
 
 def m27(spark, sf):
-    m = series(spark, sf)
-    return rounded(telemetry.val_train_ratio(m.where("step % 50 = 3"), m.where("step % 7 = 0")), "ratio")
+    return rounded(telemetry.val_train_ratio(on_grid(spark, sf, 5, 0), on_grid(spark, sf, 3, 1)), "ratio")
 
 
 def tagged(spark, sf):
@@ -132,9 +138,9 @@ TAGGED = f"SELECT run_id, [{', '.join(repr(t) for t in telemetry.DASHBOARD)}][us
 
 def m28(spark, sf):
     c = views.checkpoints(spark, sf)
-    files = c.select((F.col("custkey") % 50).alias("run_id"), (F.col("bytes") / 300).cast("bigint").alias("bytes")).where("run_id > 2")
-    pts = c.select((F.col("custkey") % 50).alias("run_id"), F.when(F.col("step") % 16 == 0, "a").otherwise("b").alias("tag"))
-    return rounded(telemetry.dead_runs(files, pts, 0.5, 200.0, 15), "mb", places=6)
+    files = c.select(F.col("custkey").alias("run_id"), (F.col("bytes") / 300).cast("bigint").alias("bytes"))
+    pts = c.select((F.col("custkey") + 1).alias("run_id"), F.when(F.col("step") % 16 == 0, "a").otherwise("b").alias("tag"))
+    return rounded(telemetry.dead_runs(files, pts, 2.0, 8.0, 2), "mb", places=6)
 
 
 def m31(spark, sf):
@@ -253,6 +259,16 @@ def i16(spark, sf):
 
 
 W = "PARTITION BY run_id ORDER BY step"
+def eta_sql(eta: str) -> str:
+    whole = f"floor({eta})::BIGINT"
+    return f"CASE WHEN paused THEN 'PAUSED' WHEN {eta} < 0 THEN 'N/A' WHEN floor({eta}) >= 86400 THEN printf('%dd %dh %dm', {whole} // 86400, {whole} % 86400 // 3600, {whole} % 3600 // 60) ELSE printf('%dh %dm', {whole} // 3600, {whole} % 3600 // 60) END"
+
+
+M15 = sql(f"""SELECT run_id, step, t AS mean_step_time, paused, round(step / 150 * 100, 6) AS percent, round(eta, 6) AS eta, round(epoch_eta, 6) AS epoch_eta, round(CASE WHEN t > 0 THEN 1 / t ELSE 0 END, 6) AS rate,
+500 - step % 500 AS to_validation, 10000 - step % 10000 AS to_save, {eta_sql("eta")} AS eta_text, {eta_sql("epoch_eta")} AS epoch_eta_text
+FROM (SELECT run_id, step, value * 100 AS t, event_id % 5 = 0 AS paused, (150 - step) * (value * 100) AS eta, (1000 - step % 1000) * (value * 100) AS epoch_eta FROM metrics)""", "metrics")
+
+
 QUERIES = {
     "m1_ema": (lambda s, d: rounded(telemetry.ema(series(s, d)), "ema"), sql("SELECT run_id, tag, step, value, round(ema, 9) AS ema FROM e", "metrics", recursive=EMA)),
     "m2_rolling_mean": (lambda s, d: rounded(telemetry.rolling_mean(series(s, d), 20), "rolling_mean"), sql(f"SELECT run_id, tag, step, value, round(avg(value) OVER ({W} ROWS 19 PRECEDING), 9) AS rolling_mean FROM metrics", "metrics")),
@@ -270,8 +286,7 @@ QUERIES = {
     "m13_value_histogram": (lambda s, d: telemetry.value_histogram(views.activity(s, d).withColumn("tag", F.col("run_id"))), sql("SELECT tag, least(9, floor((value - lo) / (hi - lo) * 10))::INT AS bucket, count(*) AS n FROM (SELECT run_id AS tag, value, min(value) OVER (PARTITION BY run_id) AS lo, max(value) OVER (PARTITION BY run_id) AS hi FROM activity) GROUP BY ALL", "metrics", "activity")),
     "m14_training_score": (m14, SCORED.format(trend="CASE WHEN slope IS NULL THEN 15 WHEN slope < -5e-5 THEN 30 WHEN abs(slope) < 5e-5 THEN 20 ELSE 5 END", stability="CASE WHEN p < 150 THEN 30 WHEN p < 300 THEN 20 ELSE 10 END")),
     "m14_training_score_plateau": (lambda s, d: m14(s, d, "plateau"), SCORED.format(trend="CASE WHEN p < 150 THEN 30 WHEN p < 300 THEN 20 ELSE 10 END", stability="CASE WHEN stable OR p < 150 THEN 30 WHEN p < 300 THEN 20 ELSE 10 END")),
-    "m15_progress_eta": (lambda s, d: rounded(telemetry.progress_eta(series(s, d).select("run_id", "step", (F.col("value") * 100).alias("mean_step_time")), 100_000), "percent", "eta", "rate", places=6), sql("""SELECT run_id, step, t AS mean_step_time, round(step / 100000 * 100, 6) AS percent, round(eta, 6) AS eta, round(CASE WHEN t > 0 THEN 1 / t ELSE 0 END, 6) AS rate, 500 - step % 500 AS to_validation, 10000 - step % 10000 AS to_save,
-CASE WHEN floor(eta) >= 86400 THEN printf('%dd %dh %dm', floor(eta)::BIGINT // 86400, floor(eta)::BIGINT % 86400 // 3600, floor(eta)::BIGINT % 3600 // 60) ELSE printf('%dh %dm', floor(eta)::BIGINT // 3600, floor(eta)::BIGINT % 3600 // 60) END AS eta_text FROM (SELECT run_id, step, value * 100 AS t, greatest(0, 100000 - step) * (value * 100) AS eta FROM metrics)""", "metrics")),
+    "m15_progress_eta": (lambda s, d: rounded(telemetry.progress_eta(views.metrics(s, d).select("run_id", "step", (F.col("value") * 100).alias("mean_step_time"), (F.col("event_id") % 5 == 0).alias("paused")), 150), "percent", "eta", "epoch_eta", "rate", places=6), M15),
     "m16_cadence": (lambda s, d: telemetry.cadence(series(s, d), 100), sql("SELECT run_id, tag, step, value FROM metrics WHERE step % 100 = 0", "metrics")),
     "m17_lr_schedule_audit": (m17, sql(f"SELECT run_id, s AS step, round({EXPECTED}, 12) AS expected, CASE WHEN s < 1000 THEN 'warmup' ELSE 'cosine' END AS phase, abs({EXPECTED} * (1 + value) - {EXPECTED}) > 0.01 * {EXPECTED} AS off FROM (SELECT *, step * 3 AS s FROM metrics)", "metrics")),
     "m18_lr_boost_events": (lambda s, d: rounded(telemetry.lr_boost_events(series(s, d), 0.03, 20), "ratio"), sql(f"""SELECT run_id, tag, step, before, value, round(ratio, 9) AS ratio, ratio <= 3.000000001 AND value <= 0.03 AS allowed, step - lag(step) OVER ({W}) AS gap, coalesce(step - lag(step) OVER ({W}) <= 20, false) AS too_soon FROM (SELECT *, value / nullif(before, 0) AS ratio FROM (SELECT run_id, tag, step, value, lag(value) OVER ({W}) AS before FROM metrics)) WHERE ratio > 1.5""", "metrics")),
@@ -286,11 +301,11 @@ SELECT run_id, step, CASE WHEN step < 500 THEN 'Warmup' WHEN step < 600 THEN 'Se
     "m22_sharpness_decision": (lambda s, d: rounded(telemetry.sharpness_decision(series(s, d).withColumn("value", F.col("value") * 40)), "mean"), sql(f"SELECT run_id, tag, step, v AS value, round(m, 9) AS mean, CASE WHEN step < 9 THEN 'wait' WHEN m < 0.75 THEN 'blurry' WHEN m > 0.92 THEN 'sharp' ELSE 'hold' END AS decision FROM (SELECT *, value * 40 AS v, avg(value * 40) OVER ({W} ROWS 19 PRECEDING) AS m FROM metrics)", "metrics")),
     "m23_perceptual_band": (lambda s, d: rounded(telemetry.perceptual_band(telemetry.ema(series(s, d))), "ema"), sql("SELECT run_id, tag, step, value, round(ema, 9) AS ema, CASE WHEN ema < 0.008 THEN 0.20 WHEN ema < 0.012 THEN 0.15 ELSE 0.10 END::DOUBLE AS cap, CASE WHEN ema < 0.010 THEN 'raise' WHEN ema > 0.018 THEN 'lower' ELSE 'hold' END AS direction FROM e", "metrics", recursive=EMA)),
     "m24_cooldown_flags": (lambda s, d: telemetry.cooldown_flags(views.metrics(s, d).select("run_id", "step", (F.col("event_id") % 150 == 0).alias("adjusted"))), sql(f"SELECT run_id, step, adjusted, coalesce(greatest(0, 80 - (step - l)), 0) AS remaining, coalesce(greatest(0, 80 - (step - l)), 0) > 0 AS cooling FROM (SELECT run_id, step, event_id % 150 = 0 AS adjusted, max(CASE WHEN event_id % 150 = 0 THEN step END) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l FROM metrics)", "metrics")),
-    "m25_delayed_snapshot": (m25, sql("SELECT v.run_id, v.step AS val_step, m.step AS metric_step, m.value FROM (SELECT * FROM metrics WHERE step % 50 = 0) v ASOF LEFT JOIN (SELECT * FROM metrics WHERE step % 7 = 0) m ON v.run_id = m.run_id AND v.step + 2 <= m.step", "metrics")),
-    "m26_latest_state": (lambda s, d: telemetry.latest_state(tagged(s, d)).select("run_id", F.size("state").alias("n"), F.element_at("state", "lr").alias("lr"), F.element_at("state", "total_loss").alias("total_loss")), sql(f"SELECT run_id, count(*)::INT AS n, max(v) FILTER (tag = 'lr') AS lr, max(v) FILTER (tag = 'total_loss') AS total_loss FROM (SELECT run_id, tag, arg_max(value, step) AS v FROM ({TAGGED}) GROUP BY 1, 2) GROUP BY 1", "metrics")),
-    "m27_val_train_ratio": (m27, sql("SELECT v.run_id, v.step, v.value AS val, m.value AS train, round(v.value / m.value, 9) AS ratio FROM (SELECT * FROM metrics WHERE step % 50 = 3) v ASOF LEFT JOIN (SELECT * FROM metrics WHERE step % 7 = 0) m ON v.run_id = m.run_id AND v.step >= m.step", "metrics")),
-    "m28_dead_runs": (m28, sql("""SELECT run_id, round(mb, 6) AS mb, coalesce(points, 0) AS points FROM (SELECT custkey % 50 AS run_id, sum(trunc(bytes / 300)::BIGINT) / 1048576.0::DOUBLE AS mb FROM checkpoints WHERE custkey % 50 > 2 GROUP BY 1) LEFT JOIN
-(SELECT run_id, arg_min(n, tag) AS points FROM (SELECT custkey % 50 AS run_id, CASE WHEN step % 16 = 0 THEN 'a' ELSE 'b' END AS tag, count(*) AS n FROM checkpoints GROUP BY 1, 2) GROUP BY 1) USING (run_id) WHERE mb < 0.5 OR mb <= 200 AND coalesce(points, 0) < 15""", "checkpoints")),
+    "m25_delayed_snapshot": (m25, sql(f"SELECT v.run_id, v.step AS val_step, m.step AS metric_step, m.value FROM {GRIDS} ON v.run_id = m.run_id AND v.step + 2 <= m.step", "metrics")),
+    "m26_latest_state": (lambda s, d: telemetry.latest_state(tagged(s, d)).select("run_id", *[F.try_element_at("state", F.lit(t)).alias(t) for t in telemetry.DASHBOARD]), sql("SELECT run_id, " + ", ".join(f"max(v) FILTER (tag = '{t}') AS {t}" for t in telemetry.DASHBOARD) + f" FROM (SELECT run_id, tag, arg_max(value, step) AS v FROM ({TAGGED}) GROUP BY 1, 2) GROUP BY 1", "metrics")),
+    "m27_val_train_ratio": (m27, sql(f"SELECT v.run_id, v.step, v.value AS val, m.value AS train, round(v.value / m.value, 9) AS ratio FROM {GRIDS} ON v.run_id = m.run_id AND v.step >= m.step", "metrics")),
+    "m28_dead_runs": (m28, sql("""SELECT run_id, round(mb, 6) AS mb, coalesce(points, 0) AS points FROM (SELECT custkey AS run_id, sum(trunc(bytes / 300)::BIGINT) / 1048576.0::DOUBLE AS mb FROM checkpoints GROUP BY 1) LEFT JOIN
+(SELECT run_id, arg_min(n, tag) AS points FROM (SELECT custkey + 1 AS run_id, CASE WHEN step % 16 = 0 THEN 'a' ELSE 'b' END AS tag, count(*) AS n FROM checkpoints GROUP BY 1, 2) GROUP BY 1) USING (run_id) WHERE mb < 2 OR mb <= 8 AND coalesce(points, 0) < 2""", "checkpoints")),
     "m29_core_dashboard": (lambda s, d: rounded(telemetry.core_dashboard(tagged(s, d)), *telemetry.DASHBOARD), sql("SELECT run_id, step, " + ", ".join(f"round(max(value) FILTER (tag = '{t}') * {k!r}::DOUBLE, 9) AS {t}" for t, k in telemetry.DASHBOARD.items()) + f" FROM ({TAGGED}) GROUP BY 1, 2", "metrics")),
     "m29_codes": (lambda s, d: views.checkpoints(s, d).select("filename", telemetry.code(columns.checkpoint_type(F.col("filename"), F.col("step")), telemetry.CHECKPOINTS).alias("code")), sql("SELECT filename, CASE WHEN o_orderstatus = 'F' THEN 3 WHEN step % 10000 = 0 AND step > 0 THEN 1 ELSE 2 END AS code FROM checkpoints", "checkpoints")),
     "m30_log_activity_score": (lambda s, d: series(s, d).select("run_id", "step", columns.log_activity_score(F.col("value") / 10).alias("score")), sql("SELECT run_id, step, greatest(0, least(100, trunc((log10(value / 10 + 1e-9) + 5) * 25)::INT)) AS score FROM metrics", "metrics")),

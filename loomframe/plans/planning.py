@@ -64,7 +64,7 @@ def p4(spark, sf):
 
 def p5(spark, sf):
     f = views.frames(spark, sf)
-    starts = f.where("frame_no % 5 = 0").select("video_id", F.col("frame_no").alias("frame_idx"), F.col("frame_no").alias("start_frame"))
+    starts = f.select("video_id", F.col("frame_no").alias("frame_idx"), F.col("frame_no").alias("start_frame"))
     w = sampling.frame_window(starts, f, 7, 10, (8, 8))
     return w.select("video_id", "frame_idx", F.element_at("frame_nos", -1).alias("last_frame"), F.size("images").alias("n_images"))
 
@@ -201,6 +201,45 @@ FROM entries e LEFT JOIN (SELECT s_nationkey AS run_id, arg_max(s_acctbal, s_sup
 
 CLEAN = r"trim(regexp_replace(regexp_replace(name, '\.[^.]*$', ''), '\{edition-[^}]+\}', '', 'g'))"
 
+def a5(spark, sf):
+    """The target of a category is the number of orders with its status; R has none."""
+    targets = table(spark, sf, "orders").groupBy(F.translate("o_orderstatus", "FOP", "ANX").alias("category")).agg(F.count("*").alias("target"))
+    return progress.progress_rollup(views.patches(spark, sf), targets)
+
+
+A5 = sql("""SELECT CASE WHEN grouping(category) = 1 THEN 'TOTAL' ELSE category END AS category, CASE WHEN grouping(category) = 0 THEN max(coalesce(videos, 0)) END AS videos,
+sum(coalesce(images, 0))::BIGINT AS images, sum(coalesce(target, 0))::BIGINT AS target, CASE WHEN sum(coalesce(target, 0)) > 0 THEN sum(coalesce(images, 0)) / sum(coalesce(target, 0))::DOUBLE * 100 ELSE 0 END AS percent, sum(coalesce(bytes, 0))::BIGINT AS bytes
+FROM (SELECT category, count(DISTINCT video_id) AS videos, count(*) AS images, sum(bytes) AS bytes FROM patches GROUP BY 1)
+FULL JOIN (SELECT translate(o_orderstatus, 'FOP', 'ANX') AS category, count(*) AS target FROM orders GROUP BY 1) USING (category) GROUP BY ROLLUP (category)""", "patches")
+
+
+FORMAT_NAMES = sorted(f[0] for f in dims.FORMATS)
+
+
+def j5(spark, sf):
+    """Shapes from the line items: of all formats and an unknown one, some with a wrong side, some unreadable."""
+    chosen = F.element_at(F.array(*[F.lit(n) for n in [*FORMAT_NAMES, "unknown"]]), (F.col("l_partkey") % (len(FORMAT_NAMES) + 1) + 1).cast("int"))
+    rows = table(spark, sf, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("filename"), chosen.alias("format"), "l_suppkey", "l_orderkey")
+    known = dims.formats(spark)
+    side = lambda c: F.coalesce(c, F.lit(1))
+    kind = F.col("l_suppkey") % 10
+    pairs = rows.join(F.broadcast(known), "format", "left").select(
+        "filename",
+        "format",
+        F.when(F.col("l_orderkey") % 13 == 0, -1).otherwise(side("gt_h")).alias("gt_height"),
+        F.when(kind == 1, side("lr_w")).otherwise(side("gt_w")).alias("gt_width"),
+        F.when(kind == 2, side("lr_h")).otherwise(side("lr_h") * 5).alias("lr_height"),
+        side("lr_w").alias("lr_width"),
+    )
+    return pairing.shape_check(pairs, known)
+
+
+J5 = f"""WITH f AS (SELECT * FROM (VALUES {VALUES([r[:5] for r in dims.FORMATS])}) t(format, gt_h, gt_w, lr_h, lr_w)),
+r AS (SELECT l_orderkey || '-' || l_linenumber AS filename, [{", ".join(repr(n) for n in [*FORMAT_NAMES, "unknown"])}][l_partkey % {len(FORMAT_NAMES) + 1} + 1] AS format, l_suppkey % 10 AS kind, l_orderkey % 13 = 0 AS broken FROM lineitem),
+p AS (SELECT filename, r.format, CASE WHEN broken THEN 'corrupt' WHEN gt_h IS NULL THEN 'unknown format' WHEN kind = 1 AND lr_w <> gt_w THEN 'gt shape' WHEN kind = 2 THEN 'lr shape' END AS problem FROM r LEFT JOIN f USING (format))
+SELECT * FROM p WHERE problem IS NOT NULL"""
+
+
 QUERIES = {
     "c1_clean_title": (lambda s, d: views.videos(s, d).select("video_id", columns.clean_title(F.col("name")).alias("title")), sql(f"SELECT video_id, {CLEAN} AS title FROM videos", "videos")),
     "c2_categorize": (c2, """WITH t AS (SELECT p_partkey, regexp_matches(lower(p_name), 'widget|bolt') OR regexp_matches(lower('/media/' || p_brand), 'widget|bolt') AS s, regexp_matches(lower(p_name), 'gear|red') OR regexp_matches(lower('/media/' || p_brand), 'gear|red') AS t FROM part)
@@ -222,7 +261,7 @@ SELECT p_partkey, round(CASE WHEN fps IS NULL OR seconds IS NULL THEN 23.976::DO
     "p3_retry_candidates": (lambda s, d: sampling.retry_candidates(grid(s, d), 4).select("video_id", "frame_idx", "attempt", F.round("ts", 6).alias("ts")), sql("", "videos") + f", grid AS ({GRID}) SELECT video_id, frame_idx, attempt, round(ts, 6) AS ts FROM ({TRIES})"),
     "p4_first_accepted": (p4, sql("", "videos") + f""", grid AS ({GRID}), t AS (SELECT *, (floor(ts)::BIGINT + video_id) % 3 = 0 AS ok FROM ({TRIES}))
 SELECT video_id, frame_idx, bool_or(ok) AS success, coalesce(min(attempt) FILTER (ok) + 1, 4) AS attempts, round(arg_min(ts, attempt) FILTER (ok), 6) AS ts FROM t GROUP BY 1, 2"""),
-    "p5_frame_window": (p5, sql("SELECT a.video_id, a.frame_no AS frame_idx, max(b.frame_no) AS last_frame, count(*)::INT AS n_images FROM frames a JOIN frames b ON a.video_id = b.video_id AND b.frame_no BETWEEN a.frame_no AND a.frame_no + 6 WHERE a.frame_no % 5 = 0 GROUP BY 1, 2 HAVING count(*) = 7", "frames")),
+    "p5_frame_window": (p5, sql("SELECT a.video_id, a.frame_no AS frame_idx, max(b.frame_no) AS last_frame, count(*)::INT AS n_images FROM frames a JOIN frames b ON a.video_id = b.video_id AND b.frame_no BETWEEN a.frame_no AND a.frame_no + 6 GROUP BY 1, 2 HAVING count(*) = 7", "frames")),
     "p6_val_train_plan": (lambda s, d: sampling.val_train_plan(views.weighted_videos(s, d), 300).withColumn("ts", F.round("ts", 6)), sql("""SELECT video_id, 'Val' AS split, i::INT AS i, round(duration * 0.2::DOUBLE + i * (duration * 0.6::DOUBLE / n_val), 6) AS ts FROM (SELECT *, unnest(range(n_val)) AS i FROM limits)
 UNION ALL SELECT video_id, 'Patches', i::INT, round(i * (duration / "limit"), 6) FROM (SELECT *, unnest(range(n_train)) AS i FROM limits)""", "videos", "weighted_videos", "limits")),
     "p7_weighted_interleave": (lambda s, d: sampling.weighted_interleave(views.weighted_videos(s, d), 300), sql("""SELECT video_id, i, i // chunk AS round, row_number() OVER (ORDER BY i // chunk, weight DESC, name, video_id, i) - 1 AS position FROM (SELECT *, unnest(range(n_train))::INT AS i FROM limits)""", "videos", "weighted_videos", "limits")),
@@ -243,7 +282,8 @@ CASE WHEN target - images <= 0 THEN 'Complete' WHEN images > 0 THEN 'Running' EL
     "a3_overall_progress": (a3, """WITH t AS (SELECT count(*) AS total, count(*) FILTER (o_orderkey % 3 > 0) AS completed, sum(o_orderkey % 11)::BIGINT AS extractions, sum(o_orderkey % 11 + o_orderkey % 2)::BIGINT AS attempts FROM orders)
 SELECT *, round(completed * 100.0::DOUBLE / total, 6) AS percent, round(3600.0::DOUBLE / completed, 6) AS seconds_a_video, round(3600.0::DOUBLE / completed * (total - completed), 6) AS eta, round(extractions / 3600.0::DOUBLE, 6) AS extraction_rate, round(extractions * 100.0::DOUBLE / attempts, 6) AS success_rate FROM t"""),
     "a4_storage_by_category": (lambda s, d: progress.storage_by_category(views.patches(s, d).withColumn("bytes", F.col("bytes") * 1000)), sql("SELECT category, grouping(category)::TINYINT AS is_total, round(sum(bytes * 1000) / 1073741824.0::DOUBLE, 2) AS gib FROM patches GROUP BY ROLLUP (category)", "patches")),
-    "a5_progress_rollup": (lambda s, d: progress.progress_rollup(views.patches(s, d)), sql("SELECT CASE WHEN grouping(category) = 1 THEN 'TOTAL' ELSE category END AS category, count(*) AS images, sum(bytes)::BIGINT AS bytes FROM patches GROUP BY ROLLUP (category)", "patches")),
+    "a5_progress_rollup": (a5, A5),
+    "j5_shape_check": (j5, J5),
     "a6_checkpoint_status_counts": (lambda s, d: progress.checkpoint_status_counts(entries_of(s, d)), "SELECT count(*) AS entries, count(*) FILTER (event_id % 3 = 0) AS completed, count(*) FILTER (event_id % 3 = 1) AS in_progress FROM events"),
     "a7_resume_point": (a7, """WITH s AS (SELECT event_type AS run_id, max(user_id) AS current_video_index FROM events GROUP BY 1)
 SELECT s.*, coalesce((SELECT max(event_id) FROM events e WHERE e.event_type = s.run_id AND e.user_id = s.current_video_index HAVING count(*) % 2 = 1), 0) AS last_frame_idx FROM s"""),
@@ -260,8 +300,8 @@ UNION ALL SELECT 'checkpoints', 'link_' || filename, 'unlink' FROM checkpoints W
     "k8_validate_params": (k8, K8),
     "k9_snapshot_list": (lambda s, d: registry.snapshot_list(views.snapshots(s, d)).drop("timestamp"), "SELECT c_nationkey AS run_id, c_custkey AS step, printf('runtime_config_step_%07d.json', c_custkey) AS file, NULL::DOUBLE AS plateau_safety_threshold, CASE WHEN c_custkey % 3 = 0 THEN (c_custkey % 5) / 1e4 END AS max_lr, NULL::DOUBLE AS l1_weight_target FROM customer"),
     "k10_snapshot_diff": (lambda s, d: registry.snapshot_diff(views.snapshots(s, d).withColumn("run_id", F.lit(0)), 6, 9), sql("""SELECT 0 AS run_id, param, o.value AS "old", n.value AS "new", count(*) OVER () AS changes FROM (SELECT * FROM entries WHERE step = 6) o FULL JOIN (SELECT * FROM entries WHERE step = 9) n USING (param) WHERE o.value IS DISTINCT FROM n.value""", "entries")),
-    "k11_effective_config": (lambda s, d: registry.effective_config(views.snapshots(s, d).select("run_id", (F.col("step") + 3).alias("step")), views.snapshots(s, d).where("step % 4 = 0")).select("run_id", "step", "config_step", F.size("config").alias("n")), """WITH s AS (SELECT c_nationkey AS run_id, c_custkey AS step FROM customer)
-SELECT a.run_id, a.step + 3 AS step, b.step AS config_step, CASE WHEN b.step IS NULL THEN NULL WHEN b.step % 3 = 0 THEN 2 ELSE 1 END::INT AS n FROM s a ASOF LEFT JOIN (SELECT * FROM s WHERE step % 4 = 0) b ON a.run_id = b.run_id AND a.step + 3 >= b.step"""),
+    "k11_effective_config": (lambda s, d: registry.effective_config(views.snapshots(s, d).select("run_id", (F.col("step") + 3).alias("step")), views.snapshots(s, d)).select("run_id", "step", "config_step", F.size("config").alias("n")), """WITH s AS (SELECT c_nationkey AS run_id, c_custkey AS step FROM customer)
+SELECT a.run_id, a.step + 3 AS step, b.step AS config_step, CASE WHEN b.step IS NULL THEN NULL WHEN b.step % 3 = 0 THEN 2 ELSE 1 END::INT AS n FROM s a ASOF LEFT JOIN s b ON a.run_id = b.run_id AND a.step + 3 >= b.step"""),
     "k12_config_changes": (lambda s, d: registry.config_changes(views.snapshots(s, d)), sql("""SELECT run_id, step, param, "old", value AS "new" FROM (SELECT *, lag(value) OVER w AS "old", row_number() OVER w AS nth FROM entries WINDOW w AS (PARTITION BY run_id, param ORDER BY step)) WHERE nth > 1 AND "old" IS DISTINCT FROM value""", "entries")),
     "k13_merge_defaults": (k13, f"SELECT c_custkey, CASE WHEN key = 'OTHER' THEN 11 ELSE 10 END::INT AS n, CASE WHEN key = 'MAX_STEPS' THEN value ELSE '100000' END AS max_steps, CASE WHEN key = 'OTHER' THEN value END AS other FROM ({USER})"),
     "k13_required_fields": (k13b, f"SELECT c_custkey, array_to_string(list_filter(['LR_EXPONENT', 'WEIGHT_DECAY', 'MAX_STEPS', 'VAL_STEP_EVERY', 'SAVE_STEP_EVERY', 'LOG_TBOARD_EVERY'], lambda x: x IS DISTINCT FROM key), ',') AS missing, false AS valid FROM ({USER})"),
@@ -269,5 +309,5 @@ SELECT a.run_id, a.step + 3 AS step, b.step AS config_step, CASE WHEN b.step IS
     "q1_improvement_history": (lambda s, d: history.improvement_history(views.stats(s, d)).select("run_id", "step", F.round("improvement_pct", 9).alias("improvement_pct"), F.round("quality_pct", 9).alias("quality_pct")), sql("SELECT run_id, step, round(improvement * 100, 9) AS improvement_pct, round(quality_ki * 100, 9) AS quality_pct FROM stats", "metrics", "stats")),
     "q2_best_quality_step": (lambda s, d: history.best_quality_step(views.stats(s, d)), sql("SELECT run_id, arg_max(step, struct_pack(q := quality_ki, s := -step)) AS step, max(quality_ki) AS quality_ki FROM stats GROUP BY 1", "metrics", "stats")),
     "q3_plateau_report": (lambda s, d: history.plateau_report(views.stats(s, d)), sql("SELECT run_id, step, plateau_counter, CASE WHEN boost_available THEN 'boost ready' ELSE 'cooling down' END AS boost FROM stats WHERE plateau_counter > 300", "metrics", "stats")),
-    "q4_compare_runs": (lambda s, d: history.compare_runs(views.stats(s, d), "click", "view").select("step", *[F.round(c, 9).alias(c) for c in ("improvement_1", "improvement_2", "difference")]), sql("SELECT step, round(a.improvement * 100, 9) AS improvement_1, round(b.improvement * 100, 9) AS improvement_2, round(b.improvement * 100 - a.improvement * 100, 9) AS difference FROM stats a JOIN stats b USING (step) WHERE a.run_id = 'click' AND b.run_id = 'view'", "metrics", "stats")),
+    "q4_compare_runs": (lambda s, d: history.compare_runs(views.stats(s, d), "click-0", "view-0").select("step", *[F.round(c, 9).alias(c) for c in ("improvement_1", "improvement_2", "difference")]), sql("SELECT step, round(a.improvement * 100, 9) AS improvement_1, round(b.improvement * 100, 9) AS improvement_2, round(b.improvement * 100 - a.improvement * 100, 9) AS difference FROM stats a JOIN stats b USING (step) WHERE a.run_id = 'click-0' AND b.run_id = 'view-0'", "metrics", "stats")),
 }

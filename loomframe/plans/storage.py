@@ -136,18 +136,23 @@ def s11(spark, sf):
     return r.select(at("step").cast("bigint").alias("step"), at("adaptive.mode").alias("mode"), at("adaptive.plateau").cast("int").alias("plateau"), at("quality.ki").cast("double").alias("ki"))
 
 
-def watched(spark, sf, name, schema):
-    """A table as a stream. A pattern as path takes a single file as well as a folder of files."""
-    return spark.readStream.schema(schema).parquet(f"{sf}/[{name[0]}]{name[1:]}.parquet")
+def watched(spark, sf, name, schema, order, together=1):
+    """A table as a stream of two micro-batches (or of so many files together), its rows in order, so that state is met again."""
+    path = shared_folder(spark, f"stream-{name}")
+    rows = table(spark, sf, name)
+    middle = rows.agg(F.percentile_approx(order, 0.5)).first()[0]
+    for half in (F.col(order) <= middle, F.col(order) > middle):
+        rows.where(half).coalesce(1).write.mode("append").parquet(path)  # files are taken by their time
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", together).parquet(path)
 
 
 def events(spark, sf):
-    return watched(spark, sf, "events", schemas.EVENTS)
+    return watched(spark, sf, "events", schemas.EVENTS, "event_id")
 
 
-def lines(spark, sf):
+def lines(spark, sf, together=1):
     schema = "l_orderkey bigint, l_returnflag string"
-    return watched(spark, sf, "lineitem", schema).select(F.col("l_returnflag").alias("category"), F.col("l_orderkey").alias("video_id"))
+    return watched(spark, sf, "lineitem", schema, "l_orderkey", together).select(F.col("l_returnflag").alias("category"), F.col("l_orderkey").alias("video_id"))
 
 
 def x1(spark, sf):
@@ -156,12 +161,12 @@ def x1(spark, sf):
 
 
 def x3(spark, sf):
-    e = events(spark, sf).select(F.col("event_type").alias("run_id"), F.col("user_id").alias("step"), F.col("ts").cast("timestamp").alias("wall_time"))
+    e = events(spark, sf).select(views.run_of().alias("run_id"), F.col("user_id").alias("step"), F.col("ts").cast("timestamp").alias("wall_time"))
     return streams.settled(streams.stream_once_per_step(e, "3650 days"), mode="append").select("run_id", "step")
 
 
 def steps(spark, sf):
-    return events(spark, sf).select(F.col("event_type").alias("run_id"), F.col("event_id").alias("step"), (F.col("value") / 10000).alias("loss"), (F.pmod("event_id", F.lit(97)) / 100.0).alias("quality"))
+    return events(spark, sf).select(views.run_of().alias("run_id"), F.col("event_id").alias("step"), (F.col("value") / 10000).alias("loss"), (F.pmod("event_id", F.lit(97)) / 100.0).alias("quality"))
 
 
 def x4(spark, sf):
@@ -169,9 +174,9 @@ def x4(spark, sf):
     return out.select("run_id", "step", "state", "counter")
 
 
-X4_METRICS = "metrics AS (SELECT event_type AS run_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS step, value / 10000 AS value, event_id FROM events)"
+X4_METRICS = f"metrics AS (SELECT {views.RUN} AS run_id, row_number() OVER (PARTITION BY {views.RUN} ORDER BY event_id) - 1 AS step, value / 10000 AS value, event_id FROM events)"
 X4 = f"WITH RECURSIVE {X4_METRICS}, {M5} SELECT run_id, event_id AS step, CASE WHEN now THEN 'plateau' ELSE 'progress' END AS state, counter FROM (SELECT *, counter >= 25 AS now, coalesce(lag(counter >= 25) OVER (PARTITION BY run_id ORDER BY step), false) AS was FROM f) JOIN metrics USING (run_id, step) WHERE now <> was"
-X5 = """WITH RECURSIVE a AS (SELECT event_type AS run_id, min(event_id) AS step FROM events GROUP BY 1 UNION ALL SELECT a.run_id, (SELECT min(event_id) FROM events e WHERE e.event_type = a.run_id AND e.event_id > a.step + 1000) AS step FROM a WHERE a.step IS NOT NULL) SELECT * FROM a WHERE step IS NOT NULL"""
+X5 = f"""WITH RECURSIVE e AS MATERIALIZED (SELECT {views.RUN} AS run_id, event_id FROM events), a AS (SELECT run_id, min(event_id) AS step FROM e GROUP BY 1 UNION ALL SELECT a.run_id, (SELECT min(event_id) FROM e WHERE e.run_id = a.run_id AND e.event_id > a.step + 1000) AS step FROM a WHERE a.step IS NOT NULL) SELECT * FROM a WHERE step IS NOT NULL"""
 
 
 def x5(spark, sf):
@@ -206,13 +211,13 @@ SELECT user_id % 25 AS run_id, event_id, max_lr, min_lr FROM events LEFT JOIN a
 def x7(spark, sf):
     path = shared_folder(spark, "new-patches")
     write = lambda batch, i: batch.write.mode("overwrite").parquet(f"{path}/part={i}")
-    streams.stream_new_patches(lines(spark, sf), write, shared_folder(spark, "checkpoint"), 20_000).awaitTermination()
+    streams.stream_new_patches(lines(spark, sf, 2), write, shared_folder(spark, "checkpoint"), 20_000).awaitTermination()
     got = spark.read.schema("category string, new_patches bigint, ready boolean").option("recursiveFileLookup", True).parquet(path)
     return got.groupBy("category").agg(F.sum("new_patches").alias("new_patches"), F.max("ready").alias("ready"))
 
 
 def x8(spark, sf):
-    e = events(spark, sf).select(F.col("event_type").alias("run_id"), F.lit("loss").alias("tag"), F.col("event_id").alias("step"), "value")
+    e = events(spark, sf).select(views.run_of().alias("run_id"), F.lit("loss").alias("tag"), F.col("event_id").alias("step"), "value")
     out = streams.settled(streams.stream_metric_rollup(e, 1000), ["run_id", "tag", "bucket"])
     return out.withColumn("mean", F.round("mean", 6))
 
@@ -231,10 +236,10 @@ QUERIES = {
     "q5_export_history_csv": (q5, sql(STATISTICS, "metrics", "stats")),
     "x1_stream_status": (x1, "SELECT event_type AS category, max(event_id) AS last_update, arg_max(user_id, event_id) AS user_id, arg_max(props, event_id) AS props FROM events GROUP BY 1"),
     "x2_stream_category_counts": (lambda s, d: streams.settled(streams.stream_category_counts(lines(s, d)), ["category"]), "SELECT l_returnflag AS category, count(*) AS images FROM lineitem GROUP BY 1"),
-    "x3_stream_once_per_step": (x3, "SELECT DISTINCT event_type AS run_id, user_id AS step FROM events"),
+    "x3_stream_once_per_step": (x3, f"SELECT DISTINCT {views.RUN} AS run_id, user_id AS step FROM events"),
     "x4_stream_plateau": (x4, X4),
     "x5_stream_rate_limited_alert": (x5, X5),
     "x6_stream_with_config": (x6, X6),
     "x7_stream_new_patches": (x7, "SELECT l_returnflag AS category, count(*) AS new_patches, count(*) >= 20000 AS ready FROM lineitem GROUP BY 1"),
-    "x8_stream_metric_rollup": (x8, "SELECT event_type AS run_id, 'loss' AS tag, event_id // 1000 * 1000 AS bucket, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS greatest, arg_max(value, event_id) AS last, count(*) AS n FROM events GROUP BY ALL"),
+    "x8_stream_metric_rollup": (x8, f"SELECT {views.RUN} AS run_id, 'loss' AS tag, event_id // 1000 * 1000 AS bucket, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS greatest, arg_max(value, event_id) AS last, count(*) AS n FROM events GROUP BY ALL"),
 }

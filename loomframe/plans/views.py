@@ -10,10 +10,19 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def run_of(user: str = "user_id") -> Column:
+    """The run of an event: its type and a block of users, so that runs keep their length as the table grows."""
+    return F.concat_ws("-", "event_type", F.floor(F.col(user) / 150).cast("string"))
+
+
+#: The same in SQL.
+RUN = "event_type || '-' || (user_id // 150)"
+
+
 def metrics(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events")
-    step = F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id")).cast("bigint") - 1
-    return e.select(F.col("event_type").alias("run_id"), F.lit("loss").alias("tag"), step.alias("step"), (F.col("value") / 10000).alias("value"), F.col("ts").cast("timestamp").alias("wall_time"), "event_id", "user_id")
+    e = table(spark, sf, "events").withColumn("run_id", run_of())
+    step = F.row_number().over(Window.partitionBy("run_id").orderBy("ts", "event_id")).cast("bigint") - 1
+    return e.select("run_id", F.lit("loss").alias("tag"), step.alias("step"), (F.col("value") / 10000).alias("value"), F.col("ts").cast("timestamp").alias("wall_time"), "event_id", "user_id")
 
 
 def weights(spark: SparkSession, sf: str) -> DataFrame:
@@ -98,7 +107,7 @@ def stats(spark: SparkSession, sf: str) -> DataFrame:
 
 #: The same views in SQL, in an order in which later ones may use earlier ones.
 SQL = {
-    "metrics": "SELECT event_type AS run_id, 'loss' AS tag, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS step, value / 10000 AS value, ts AS wall_time, event_id, user_id FROM events",
+    "metrics": f"SELECT {RUN} AS run_id, 'loss' AS tag, row_number() OVER (PARTITION BY {RUN} ORDER BY ts, event_id) - 1 AS step, value / 10000 AS value, ts AS wall_time, event_id, user_id FROM events",
     "weights": "SELECT run_id, step, 0.5::DOUBLE + (event_id % 41) / 100.0::DOUBLE AS l1, 0.03::DOUBLE + (event_id % 37) / 100.0::DOUBLE AS ms, 0.04::DOUBLE + (event_id % 31) / 100.0::DOUBLE AS grad, 0.0::DOUBLE + (event_id % 29) / 100.0::DOUBLE AS perceptual FROM metrics",
     "activity": "SELECT run_id, step // 10 AS step, (user_id % 7)::INT AS layer_pos, round(avg(value * 100), 9) AS value FROM metrics GROUP BY ALL",
     "videos": """SELECT doc_id AS video_id, source || ' {edition-' || lang || '} ' || (doc_id % 7) || '.mkv' AS name, '/media/' || lang || '/' || doc_id AS path, n_chars::DOUBLE AS duration,

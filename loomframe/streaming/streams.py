@@ -82,12 +82,13 @@ class PlateauState(StatefulProcessor):
         old = self.fold.get() if self.fold.exists() else None
         fold, step, late, was = (Plateau(*old[:5]), old[5], old[6], old[7]) if old else (Plateau(), -1, 0, False)
         out = []
-        for _, row in pd.concat(list(rows)).sort_values("step", kind="stable").iterrows():
-            if row["step"] <= step:
+        ordered = pd.concat(list(rows)).sort_values("step", kind="stable")  # of one run in one micro-batch
+        for at, loss, quality in zip(ordered["step"], ordered["loss"], ordered["quality"], strict=True):
+            if at <= step:
                 late += 1
                 continue
-            step = int(row["step"])
-            fold.see(row["loss"], row["quality"])
+            step = int(at)
+            fold.see(loss, quality)
             now = fold.counter >= self.patience()
             if now != was:
                 out.append((key[0], step, "plateau" if now else "progress", fold.counter, late))
@@ -147,7 +148,7 @@ def stream_with_config(stream: DataFrame, configs: Callable[[SparkSession], Data
 
     def batch(rows: DataFrame, i: int) -> None:
         now = configs(rows.sparkSession).where("accepted").groupBy("run_id").pivot("param").agg(F.max_by("value", "step"))
-        write(rows.join(F.broadcast(now), "run_id", "left"), i)
+        write(rows.join(now, "run_id", "left"), i)
 
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(batch).start()
 
