@@ -2,32 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomframe.functions.ranks import numbered  # noqa: F401
+from loomframe.session import shared_folder
+
 #: A side with at most so many rows, counted after it is written, may be broadcast (under 50 MB for the narrow rows used here).
 BROADCAST_ROWS = 200_000
 
 #: Words are maximal runs of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own_folders: dict[str, str] = {}
-
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder.
-
-    The folder is read from ``spark.checkpoint.dir``; only where that is unset (local tests) a temporary one is used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        app = spark.sparkContext.applicationId
-        base = _own_folders.setdefault(app, "file://" + tempfile.mkdtemp(prefix="loomframe-"))
-    return f"{base.rstrip('/')}/loomframe/{name}-{uuid.uuid4().hex}"
+    """A fresh folder under the cluster's shared checkpoint folder."""
+    return shared_folder(spark, name)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -73,13 +66,3 @@ def keep_rows(docs: DataFrame, keys: dict[str, Column], decisions: DataFrame) ->
     once = marked.where(F.col(f"{tag}_gone").isNull())
     again = marked.where(~F.col(f"{tag}_gone")).dropDuplicates([f"{tag}_{n}" for n in names])
     return once.select(*[once[c] for c in docs.columns]).unionByName(again.select(*[again[c] for c in docs.columns]))
-
-
-def numbered(df: DataFrame, *order: Column) -> DataFrame:
-    """``df`` with ``ordinal``, 0, 1, ... in the given order, without a window over all rows in one task."""
-    by = "p" + uuid.uuid4().hex
-    parts = stored(df.repartitionByRange(*order).withColumn(by, F.spark_partition_id()), "ranges")
-    counts = parts.groupBy(by).count()
-    before = counts.select(F.col(by), (F.sum("count").over(Window.orderBy(by)) - F.col("count")).alias("ordinal_0"))  # a row for each partition
-    inside = F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1
-    return parts.withColumn("ordinal", inside).join(F.broadcast(before), by).withColumn("ordinal", F.col("ordinal") + F.col("ordinal_0")).drop(by, "ordinal_0")
