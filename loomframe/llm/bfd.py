@@ -89,6 +89,8 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
 
 def packed(docs: DataFrame, length: int = LENGTH, path: str | None = None, width: int = 2, buffer_tokens: int = BUFFER_TOKENS) -> DataFrame:
     """One row for each sequence: sequence_id, tokens, ids, cu_seqlens, positions, doc_ids, starts, doc_tokens."""
+    if length > 1 << 16:
+        raise ValueError(f"positions have two bytes: {length} is over {1 << 16}")
     ship(docs.sparkSession)
     path = path or vocabulary_path()
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
@@ -132,7 +134,10 @@ def packed(docs: DataFrame, length: int = LENGTH, path: str | None = None, width
         for batch in batches:
             texts = batch.column(1)
             for i in range(len(texts)):
-                ids = document_ids(texts[i].as_py(), path).astype(f"<u{width}")
+                found = document_ids(texts[i].as_py(), path)
+                if len(found) and int(found.max()) >> (8 * width):
+                    raise ValueError(f"token id {int(found.max())} does not fit into {width} bytes")
+                ids = found.astype(f"<u{width}")
                 doc = batch.column(0)[i].as_py()
                 held += [(doc, at, ids[at : at + length].tobytes(), len(ids)) for at in range(0, len(ids), length)]
                 tokens += len(ids)

@@ -12,11 +12,13 @@ draws in 1,024 buckets, so no source is ever gathered or sorted, however large.
 
 Built-in functions only. Defined cases: a null text has no words; a null source is a source of its own and comes last;
 rows equal in doc_id, source and size are drawn together; a source without words has target zero; an empty table gives
-an empty result; further columns pass through.
+an empty result; identifiers of any type do; further columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,11 +85,12 @@ def _big(rows: DataFrame) -> DataFrame:
     units = rows.groupBy("source", "source_size", "rest", "doc_id", "size", "u").agg(F.count("*").alias("n"))
     lists = units.groupBy("source", "source_size", "rest").agg(F.sort_array(F.collect_list(F.struct("u", "doc_id", "size", "n"))).alias("docs"), F.sum(F.col("size") * F.col("n")).alias("all"))
     goal = F.col("rest") * F.col("all") / F.col("source_size")
-    start = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<struct<doc_id:bigint,size:bigint,n:bigint,extra:int>>").alias("out"))
+    kind = dict(rows.dtypes)["doc_id"]
+    start = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast(f"array<struct<doc_id:{kind},size:bigint,n:bigint,extra:int>>").alias("out"))
 
     def visit(acc: Column, d: Column) -> Column:
         fits = acc["sum"] + d["size"] * d["n"] <= goal
-        row = F.struct(d["doc_id"].cast("long").alias("doc_id"), d["size"].alias("size"), d["n"].alias("n"), fits.cast("int").alias("extra"))
+        row = F.struct(d["doc_id"].alias("doc_id"), d["size"].alias("size"), d["n"].alias("n"), fits.cast("int").alias("extra"))
         return F.struct(F.when(fits, acc["sum"] + d["size"] * d["n"]).otherwise(acc["sum"]).alias("sum"), F.concat(acc["out"], F.array(row)).alias("out"))
 
     return lists.select("source", F.inline(F.aggregate("docs", start, visit)["out"]))
@@ -97,34 +100,38 @@ def sized(docs: DataFrame, seed: int = SEED) -> DataFrame:
     return docs.select("doc_id", "source", words(F.col("text")).alias("size"), draw(seed, F.col("doc_id")).alias("u"))
 
 
-def _copies(rows: DataFrame, mix: DataFrame, big: DataFrame) -> DataFrame:
-    """``rows`` (with doc_id, source, size, u under ``mix_``) with source_size, target and copies."""
-    mix = bounded(mix.select(*[F.col(c).alias(f"mix_{c}_") for c in mix.columns]))
-    big = bounded(big.select(*[F.col(c).alias(f"mix_big_{c}") for c in ("source", "doc_id", "size", "extra")]))
-    on = F.col("mix_source").eqNullSafe(F.col("mix_big_source")) & F.col("mix_doc_id").eqNullSafe(F.col("mix_big_doc_id")) & (F.col("mix_size") == F.col("mix_big_size"))
-    extra = F.coalesce("mix_big_extra", ((F.col("mix_size") * BIG <= F.col("mix_source_size_")) & (F.col("mix_u") < F.col("mix_theta_"))).cast("int"))
-    return rows.join(mix, F.col("mix_source").eqNullSafe(F.col("mix_source_"))).join(big, on, "left").withColumn("mix_copies", (F.col("mix_whole_") + extra).cast("long"))
+def _copies(rows: DataFrame, mix: DataFrame, big: DataFrame, k: str) -> DataFrame:
+    """``rows`` (with doc_id, source, size, u under the prefix ``k``) with source_size, target and copies under it."""
+    c = lambda name: F.col(f"{k}_{name}")
+    mix = bounded(mix.select(*[F.col(n).alias(f"{k}_mix_{n}") for n in mix.columns]))
+    big = bounded(big.select(*[F.col(n).alias(f"{k}_big_{n}") for n in ("source", "doc_id", "size", "extra")]))
+    on = c("source").eqNullSafe(c("big_source")) & c("doc_id").eqNullSafe(c("big_doc_id")) & (c("size") == c("big_size"))
+    extra = F.coalesce(c("big_extra"), ((c("size") * BIG <= c("mix_source_size")) & (c("u") < c("mix_theta"))).cast("int"))
+    return rows.join(mix, c("source").eqNullSafe(c("mix_source"))).join(big, on, "left").withColumn(f"{k}_copies", (c("mix_whole") + extra).cast("long"))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
     """``docs`` with each row repeated as often as the mix takes it."""
+    k = "m" + uuid.uuid4().hex
     known = stored(sized(docs, seed), "sizes")
-    rows = docs.select("*", F.col("doc_id").alias("mix_doc_id"), F.col("source").alias("mix_source"), words(F.col("text")).alias("mix_size"), draw(seed, F.col("doc_id")).alias("mix_u"))
-    out = _copies(rows, *plan(known, weights, share, epochs)).where("mix_copies > 0")
-    return out.withColumn("mix_copies", F.explode(F.array_repeat(F.lit(0), F.col("mix_copies").cast("int")))).select(*docs.columns)
+    own = {"doc_id": F.col("doc_id"), "source": F.col("source"), "size": words(F.col("text")), "u": draw(seed, F.col("doc_id"))}
+    rows = docs.select("*", *[c.alias(f"{k}_{n}") for n, c in own.items()])
+    out = _copies(rows, *plan(known, weights, share, epochs), k)
+    each = F.explode(F.array_repeat(F.lit(0), F.col(f"{k}_copies").cast("int")))
+    return out.where(f"{k}_copies > 0").withColumn(f"{k}_copies", each).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op8: what the mix takes of every document."""
     known = stored(sized(table(spark, sf_dir, "documents")), "sizes")
-    rows = known.select(*[F.col(c).alias(f"mix_{c}") for c in known.columns])
-    out = _copies(rows, *plan(known))
+    rows = known.select(*[F.col(c).alias(f"m_{c}") for c in known.columns])
+    out = _copies(rows, *plan(known), "m")
     return out.select(
-        F.col("mix_doc_id").alias("doc_id"),
-        F.col("mix_size").alias("size"),
-        F.col("mix_source_size_").alias("source_size"),
-        F.col("mix_target_").alias("target"),
-        (F.col("mix_size") * F.col("mix_copies")).alias("taken"),
+        F.col("m_doc_id").alias("doc_id"),
+        F.col("m_size").alias("size"),
+        F.col("m_mix_source_size").alias("source_size"),
+        F.col("m_mix_target").alias("target"),
+        (F.col("m_size") * F.col("m_copies")).alias("taken"),
     )
 
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -28,7 +29,6 @@ from loomframe.session import ship
 LEAST = 100
 FILE_BYTES = 24 << 20
 CRLF = "\r\n"
-DATE = "2024-01-01T00:00:00Z"
 
 
 def resolve(headers: DataFrame, least: int = LEAST) -> DataFrame:
@@ -43,9 +43,13 @@ def resolve(headers: DataFrame, least: int = LEAST) -> DataFrame:
     return joined.select("record", "id", "digest", "bytes", F.when(revisits, F.col("first.id")).alias("refers_to"), F.coalesce(revisits, F.lit(False)).alias("revisit"))
 
 
-def records(rows: DataFrame) -> Column:
-    """A WARC/1.1 record without its closing blank lines, from id, url, digest, payload, refers_to, revisit."""
-    name = lambda c: F.concat(F.lit("<urn:record:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
+def records(rows: DataFrame, date: str) -> Column:
+    """A WARC/1.1 record without its closing blank lines, from id, url, digest, payload, refers_to, revisit.
+
+    Record identifiers hold the row's identifier and its payload's digest, so rows that repeat an identifier with other
+    payloads have records of their own; the date is that of writing.
+    """
+    name = lambda c: F.concat(F.lit("<urn:record:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(":"), rows["digest"], F.lit(">"))
     line = lambda key, value: F.concat(F.lit(f"{key}: "), value, F.lit(CRLF))
     url = F.coalesce(F.regexp_replace(rows["url"], r"[\r\n]", " "), F.lit(""))
     revisit = rows["revisit"]
@@ -55,7 +59,7 @@ def records(rows: DataFrame) -> Column:
         F.lit(f"WARC/1.1{CRLF}"),
         F.when(revisit, F.lit(f"WARC-Type: revisit{CRLF}")).otherwise(F.lit(f"WARC-Type: response{CRLF}")),
         line("WARC-Record-ID", name(rows["id"])),
-        line("WARC-Date", F.lit(DATE)),
+        line("WARC-Date", F.lit(date)),
         line("WARC-Target-URI", url),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), rows["digest"])),
         F.when(revisit, F.concat(line("WARC-Refers-To", name(rows["refers_to"])), line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")))).otherwise(""),
@@ -84,7 +88,8 @@ def write(pages: DataFrame, path: str, ident: str, payload: str, least: int = LE
     named = single.unionByName(twin).drop("n", "again")
     files = max(1, -(-int(total) // FILE_BYTES))
     spread = named.repartition(files, F.xxhash64("id", "url", "digest")) if files > 1 else named.coalesce(1)
-    spread.select(records(spread).alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").text(path)
+    date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    spread.select(records(spread, date).alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -105,7 +110,7 @@ def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFram
     schema = "id string, url string, record_type string, digest string, refers_to string, bytes long, sound boolean, payload binary"
 
     def name(text: str | None) -> str | None:
-        found = text[len("<urn:record:") : -1] if text else None
+        found = text[len("<urn:record:") : -1].rpartition(":")[0] if text else None
         return None if found == "null" else found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,12 +118,12 @@ def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFram
 
         for batch in batches:
             for content in batch.column(0):
-                raw = content.as_py()
-                data = b""
+                raw, members = content.as_py(), []
                 while raw:  # members of a gzip file
                     unpack = zlib.decompressobj(31)
-                    data += unpack.decompress(raw)
+                    members.append(unpack.decompress(raw))
                     raw = unpack.unused_data
+                data = b"".join(members)
                 out = []
                 for head, body in parse(data):
                     digest = head["WARC-Payload-Digest"].removeprefix("sha256:")

@@ -48,6 +48,21 @@ def test_exact_rows_that_repeat_a_doc_id_and_null_ids(spark):
     assert sorted(map(tuple, exact_dedup.deduplicate(docs(spark, rows)).select("doc_id", "text").collect()), key=str) == [(1, "a"), (None, "b")]
 
 
+@pytest.mark.parametrize("key", [None, lambda t: F.length(t).cast("string")])
+def test_exact_later_deliveries_meet_earlier_ones(spark, key, tmp_path):
+    """State and checkpoint outlast a call; texts of earlier deliveries are read through their locators."""
+    folder, seen = f"file://{tmp_path}/state", []
+    for n, rows in enumerate([EQUAL, [(20, "same"), (0, "only"), (21, "new"), (22, "Sane")], [(30, "new"), (31, "x" * 300_000)]]):
+        docs(spark, rows).repartition(3).write.parquet(f"{tmp_path}/given{n}")
+        seen += rows
+        given = spark.read.parquet(f"{tmp_path}/given{n}")
+        got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.decide(given, key, files_per_batch=1, folder=folder).collect()}
+        by: dict[str, list[int]] = {}
+        for i, t in seen:
+            by.setdefault(t or "", []).append(i)
+        assert got == {i: (max(by[t or ""]), len(by[t or ""]), i == max(by[t or ""])) for i, t in rows}
+
+
 def test_exact_keeps_clashing_columns(spark):
     extra = docs(spark, EQUAL).select("*", F.lit(1).alias("digest"), F.lit(2).alias("keep"), F.lit(3).alias("n"), F.lit(4).alias("row_id"))
     out = exact_dedup.deduplicate(extra)

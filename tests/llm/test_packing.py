@@ -111,6 +111,13 @@ def test_empty_tables(spark, docs):
     assert bfd.packed(docs.limit(0)).collect() == []
 
 
+def test_widths_that_do_not_hold_the_ids_are_refused(docs):
+    with pytest.raises(Exception, match="does not fit"):
+        bfd.packed(docs, width=1).collect()
+    with pytest.raises(ValueError, match="two bytes"):
+        bfd.packed(docs, length=1 << 17)
+
+
 def test_archives_round_trip(spark):
     long = "<p>é" + "x" * 200 + "\r\n\r\nWARC/1.1\r\n"
     pages = [(5, "http://a/", long), (2, "http://b/\r\nX: y", long), (9, None, long), (3, "u", "short"), (4, "u", "short"), (1, "u", None), (7, "u", ""), (8, "u", "y" * 100), (6, "u", "y" * 99), (11, "u", "y" * 99), (12, "u", "z" * 2_000_000), (13, "u", "y" * 100)]

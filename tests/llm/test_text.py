@@ -225,6 +225,14 @@ def test_mixing_meets_targets(spark):
     assert mixing.mix(docs(spark, [])).collect() == []
 
 
+def test_mixing_takes_identifiers_of_any_type_and_clashing_names(spark):
+    rows = [(f"d{k}", "w " * (1 + k % 40), "ab"[k % 2]) for k in range(400)]
+    frame = spark.createDataFrame([(i, t, s, 1, 2) for i, t, s in rows], "doc_id string, text string, source string, mix_doc_id int, `m_copies.x` int")
+    out = mixing.mix(frame)
+    assert out.columns == frame.columns and {r.doc_id for r in out.collect()} <= {i for i, _, _ in rows}
+    assert sum(len(r.text.split()) for r in out.collect()) > 0
+
+
 # pipeline
 
 
@@ -244,18 +252,17 @@ def test_pipeline_stages_hold(spark, sf):
     for r in kept["quality_rules"]:
         last[r.text] = max(last.get(r.text, -1), r.doc_id)
     assert sorted(r.doc_id for r in kept["exact_dedup"]) == sorted(last.values())
-    from loomframe.llm.simhash import fingerprint
-
-    fps = {r.doc_id: fingerprint(r.text.encode()) for r in kept["exact_dedup"]}
-    low, todo = [], set(fps)
-    for i in sorted(fps):
+    grams = lambda w: {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    sets = {r.doc_id: grams(r.text.lower().split()) for r in kept["exact_dedup"]}
+    low, todo = [], set(sets)
+    for i in sorted(sets):
         if i in todo:
             low.append(i)
             stack = [i]
             todo.discard(i)
             while stack:
-                x = stack.pop()
-                hit = {y for y in todo if (fps[x] ^ fps[y]).bit_count() <= 4}
+                x = sets[stack.pop()]
+                hit = {y for y in todo if 5 * len(x & sets[y]) >= 4 * len(x | sets[y])}
                 todo -= hit
                 stack += hit
     assert sorted(r.doc_id for r in kept["simhash_near_dedup"]) == low
@@ -278,6 +285,21 @@ def test_pipeline_stages_hold(spark, sf):
     assert {i: n / t for (i, t), n in whole.items()} == times
 
 
+def test_pipeline_stages_on_odd_rows(spark, sf):
+    """Null texts, identifiers and sources, repeated rows, further columns with clashing names, and an empty table."""
+    good = " ".join(f"word{k % 70}x{k}" for k in range(80))
+    rows = [(1, good, "a"), (1, good, "a"), (2, good + " end", None), (3, None, "a"), (4, "", "b"), (None, " ".join(f"other{k}" for k in range(90)), "b")]
+    odd = docs(spark, rows).withColumns({"text_hash": F.lit(1), "keep": F.lit(True), "size": F.lit(3), "digest": F.lit("x"), "kept": F.lit(0)})
+    for given, most in ((odd, 6), (odd.where("false"), 0)):
+        before = given
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            before = stored(stage(spark, before, sf), name)
+            assert before.columns == given.columns
+        assert {r.doc_id for r in before.collect()} <= {1, None}  # 2 is a near copy of 1, the others fail the base rule
+        packed = corpus_pipeline.STAGES[-1][1](spark, before, sf).collect()
+        assert (len(packed) > 0) == (most > 0)
+
+
 def test_base_digest_of_the_query(spark, sf):
     texts = {r.doc_id: r.text for r in table(spark, sf, "documents").collect()}
     for r in privacy.query(spark, sf).collect():
