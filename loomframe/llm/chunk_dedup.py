@@ -124,7 +124,7 @@ def deduplicate(docs: DataFrame, words: int = WORDS) -> DataFrame:
     k = "c" + uuid.uuid4().hex
     cuts = repeated(docs, words).where(~F.col("first").eqNullSafe(F.col("doc_id")))
     lists = stored(cuts.groupBy(F.col("doc_id").alias(f"{k}_id"), F.col("text_hash").alias(f"{k}_hash")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(f"{k}_cuts")), "cuts")
-    joined = docs.join(bounded(lists, 20_000), docs["doc_id"].eqNullSafe(F.col(f"{k}_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col(f"{k}_hash")), "left")
+    joined = docs.join(bounded(lists, 1_000_000, f"{k}_cuts"), docs["doc_id"].eqNullSafe(F.col(f"{k}_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col(f"{k}_hash")), "left")
     text, begin = F.col("text"), F.struct(F.lit("").alias("kept"), F.lit(0).alias("at"))
     step = lambda acc, c: F.struct(F.concat(acc["kept"], F.substring(text, acc["at"] + 1, c["start"] - acc["at"])).alias("kept"), c["end"].alias("at"))
     done = F.aggregate(f"{k}_cuts", begin, step)

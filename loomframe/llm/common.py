@@ -34,9 +34,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast of a stored table if its counted rows stay within ``limit``; else leave a shuffle join to AQE."""
-    return F.broadcast(df) if df.count() <= limit else df
+def bounded(df: DataFrame, limit: int = BROADCAST_ROWS, lists: str | None = None) -> DataFrame:
+    """Hint a broadcast of a stored table if its counted rows stay within ``limit``; else leave a shuffle join to AQE.
+
+    Where a row holds an array, ``lists`` names it and its elements are counted instead.
+    """
+    rows = df.count() if lists is None else df.agg(F.sum(F.size(lists) + 1)).first()[0] or 0
+    return F.broadcast(df) if rows <= limit else df
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -282,7 +282,7 @@ def _inside(rows: DataFrame, names: DataFrame, long: int) -> DataFrame:
     found = F.transform(F.sequence(F.lit(1), F.col("n") - long + 1), lambda i: F.struct(i.alias("at"), _named(F.col("host"), F.slice("hashes", i, long)).alias("name")))
     met = hashed.select("page", F.explode(found).alias("w")).select("page", "w.at", "w.name").join(bounded(names.select("name")), "name")
     met = stored(met.groupBy("page").agg(F.collect_list(F.struct("at", "name")).alias("met")), "names-met")
-    cut = streams.join(bounded(met), "page").select("page", "host", F.explode(F.transform("met", lambda m: F.struct(m["at"].alias("at"), F.slice("words", m["at"], long).alias("suffix"), m["name"].alias("name")))).alias("w"))
+    cut = streams.join(bounded(met, 1_000_000, "met"), "page").select("page", "host", F.explode(F.transform("met", lambda m: F.struct(m["at"].alias("at"), F.slice("words", m["at"], long).alias("suffix"), m["name"].alias("name")))).alias("w"))
     return cut.select("page", "host", "w.at", "w.suffix", "w.name").where(~F.array_contains("suffix", ""))
 
 
@@ -336,7 +336,7 @@ def _text_blocks(rows: DataFrame, long: int = LONG, host_pages: int = HOST_PAGES
     beside = told.where("marked and not covered").join(bounded(content), "slot", "left_semi").select("page", "k")
     lost = told.where("not marked and covered").select("page", "k")
     changed = stored(beside.unionByName(lost).groupBy("page").agg(F.collect_set("k").alias("changed")), "pages-changed")
-    out = rows.join(bounded(changed), "page", "left")
+    out = rows.join(bounded(changed, 1_000_000, "changed"), "page", "left")
     here = lambda k: F.coalesce(F.array_contains("changed", k), F.lit(False))
     of = lambda k: F.element_at("kinds", k + 1)
     with_article = F.filter("blocks", lambda b, k: (of(k) == ARTICLE) | here(k))

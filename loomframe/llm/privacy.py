@@ -191,7 +191,7 @@ def marked(docs: DataFrame, weight: float = WEIGHT, threshold: float = GENERALIS
         return docs.withColumns({"base": base_spans(text), "added": none, "terms": empty})
     here = texts.select(F.xxhash64("text").alias("key"), F.explode(terms_of(F.col("text"))).alias("term")).join(bounded(terms), "term")
     held = stored(here.groupBy("key").agg(F.collect_set(F.struct("term", "strength")).alias("held")), "texts-with-terms")
-    joined = docs.join(bounded(held, 50_000), F.xxhash64(text) == held["key"], "left").drop("key")
+    joined = docs.join(bounded(held, 1_000_000, "held"), F.xxhash64(text) == held["key"], "left").drop("key")
     all_words = F.filter(located(text, "term", WORD, lambda v: F.lit(True)), lambda s: F.exists("held", lambda h: h["term"] == term(s["value"])))
     trimmed = F.transform(all_words, _trim)
     return joined.withColumns({"base": base_spans(text), "added": F.when(F.col("held").isNull(), none).otherwise(trimmed.cast(SPAN)), "terms": F.map_from_entries(F.coalesce("held", F.array().cast("array<struct<term:string,strength:double>>")))}).drop("held")
