@@ -49,7 +49,7 @@ class _Places(dict):
 class WordIds:
     """Ids by word. ``words`` bounds the memory: past it, the cache starts afresh before the next text."""
 
-    def __init__(self, path: str, words: int = 400_000):
+    def __init__(self, path: str, words: int = 200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
