@@ -9,13 +9,17 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _sent: set[str] = set()
 _own_folders: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
     """Add the package to the session's Python files, once for each application: the executors' Python may not see the
-    driver's source folder."""
+    driver's source folder. Rows can be long texts, so Arrow batches get 1,000 of them where the session says nothing."""
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, "1000")
     app = spark.sparkContext.applicationId
     if app in _sent:
         return
