@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import stored, table
+from loomframe.llm.common import lean, stored, table
 from loomframe.llm.tokens import document_ids, vocabulary_path
 from loomframe.session import ship
 
@@ -54,7 +54,7 @@ def pieces(docs: DataFrame, length: int = LENGTH, path: str | None = None, with_
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def shortest_pack_first(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:

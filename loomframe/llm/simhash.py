@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import bounded, keep_rows, stored, table
+from loomframe.llm.common import bounded, keep_rows, lean, stored, table
 from loomframe.llm.components import components
 from loomframe.session import ship
 
@@ -77,7 +77,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fps = np.fromiter((fingerprint(texts[i].as_py()) for i in range(len(texts))), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps.view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
-    return rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash long, fp long")
+    return rows.mapInArrow(lean(run), f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash long, fp long")
 
 
 def unary(fp: Column) -> Column:
@@ -163,7 +163,7 @@ def links(fps: DataFrame, cell_rows: int = CELL_ROWS, blocks: int = BLOCKS) -> D
     crowded = stored(cells.groupBy("cell").count().where(F.col("count") > cell_rows).select("cell"), "crowded-cells")
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     plain = cells.join(bounded(crowded), "cell", "left_anti").repartition(n, "cell").sortWithinPartitions("cell", "fp")
-    found = plain.select("cell", "fp").mapInArrow(_link_cells, "a long, b long")
+    found = plain.select("cell", "fp").mapInArrow(lean(_link_cells), "a long, b long")
     if not crowded.isEmpty():
         members = cells.join(bounded(crowded), "cell", "left_semi").select("fp").distinct()
         found = found.unionByName(_through_midpoints(stored(members, "crowded")))
