@@ -273,10 +273,13 @@ def mode_intervals(df: DataFrame, warm: int = 1000, settle: int = 100) -> DataFr
 
 def validation_rollup(per_image: DataFrame, variant: str = "package") -> DataFrame:
     """For each (run_id, step) over images (lr_psnr, lr_ssim, ki_psnr, ki_ssim): means, qualities of the means, and the
-    improvement: summed over images, or in the legacy form the difference of the qualities."""
+    improvement: summed over images, or in the legacy form the difference of the qualities. With a column ``loss`` (that of
+    the image's batch, batches of one image) also ``val_loss``, its mean."""
     q = lambda side: columns.quality_score(F.col(f"{side}_psnr"), F.col(f"{side}_ssim"), variant)
     sums = {"improvement": q("ki") - q("lr"), "ki_to_gt": q("ki") - 1, "lr_to_gt": q("lr") - 1}
     means = [F.avg(c).alias(c) for c in ("lr_psnr", "lr_ssim", "ki_psnr", "ki_ssim")]
+    if "loss" in per_image.columns:
+        means.append(F.avg("loss").alias("val_loss"))
     out = per_image.groupBy("run_id", "step").agg(*means, *[F.sum(e).alias(k) for k, e in sums.items()])
     out = out.withColumns({"lr_quality": q("lr"), "ki_quality": q("ki")})
     if variant != "package":

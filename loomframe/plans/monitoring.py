@@ -76,7 +76,8 @@ def m21(spark, sf, variant="package"):
     p = views.image_pairs(spark, sf).withColumn("flat", F.transform("a", lambda x: x * 0 + 0.5))
     p = images.ssim(p, SHAPE).withColumnRenamed("ssim", "ki_ssim").withColumn("ki_psnr", columns.psnr(F.col("a"), F.col("b")))
     p = images.ssim(p.withColumn("a0", F.col("a")).withColumn("a", F.col("flat")), SHAPE).withColumnRenamed("ssim", "lr_ssim").withColumn("lr_psnr", columns.psnr(F.col("flat"), F.col("b")))
-    out = telemetry.validation_rollup(p.select(F.col("label").alias("run_id"), F.lit(0).alias("step"), "ki_psnr", "ki_ssim", "lr_psnr", "lr_ssim"), variant)
+    off = F.aggregate(F.zip_with("a0", "b", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda t, x: t + x) / F.size("b")
+    out = telemetry.validation_rollup(p.select(F.col("label").alias("run_id"), F.lit(0).alias("step"), off.alias("loss"), "ki_psnr", "ki_ssim", "lr_psnr", "lr_ssim"), variant)
     return rounded(out, *[c for c in out.columns if c not in ("run_id", "step")], places=6)
 
 
@@ -97,11 +98,11 @@ QUALITY = {"package": "greatest(0, least(1, 0.7 * greatest(0, least(1, ({p} - 20
 def rollup_sql(variant: str) -> str:
     """Validation over labels: the model's image is ``a``, the input's a flat grey."""
     q = lambda p, s: QUALITY[variant].format(p=p, s=s)
-    tables = f"fx AS (SELECT * REPLACE (0.5::DOUBLE AS a) FROM px), {ssim_sql('px', 'k')}, {ssim_sql('fx', 'l')}, i AS (SELECT k.label, k.ssim AS ks, l.ssim AS ls, kp, lp FROM k JOIN l USING (vec_id) JOIN (SELECT vec_id, {PSNR} AS kp FROM px GROUP BY 1) USING (vec_id) JOIN (SELECT vec_id, {PSNR} AS lp FROM fx GROUP BY 1) USING (vec_id))"
+    tables = f"fx AS (SELECT * REPLACE (0.5::DOUBLE AS a) FROM px), {ssim_sql('px', 'k')}, {ssim_sql('fx', 'l')}, i AS (SELECT k.label, k.ssim AS ks, l.ssim AS ls, kp, lp, loss FROM k JOIN l USING (vec_id) JOIN (SELECT vec_id, {PSNR} AS kp, avg(abs(a - b)) AS loss FROM px GROUP BY 1) USING (vec_id) JOIN (SELECT vec_id, {PSNR} AS lp FROM fx GROUP BY 1) USING (vec_id))"
     more = f"round(sum({q('kp', 'ks')} - {q('lp', 'ls')}), 6) AS improvement, round(sum({q('kp', 'ks')} - 1), 6) AS ki_to_gt, round(sum({q('lp', 'ls')} - 1), 6) AS lr_to_gt"
     if variant == "legacy":
         more = f"round({q('avg(kp)', 'avg(ks)')} - ({q('avg(lp)', 'avg(ls)')}), 6) AS improvement"
-    return sql(f"SELECT label AS run_id, 0 AS step, round(avg(lp), 6) AS lr_psnr, round(avg(ls), 6) AS lr_ssim, round(avg(kp), 6) AS ki_psnr, round(avg(ks), 6) AS ki_ssim, round({q('avg(lp)', 'avg(ls)')}, 6) AS lr_quality, round({q('avg(kp)', 'avg(ks)')}, 6) AS ki_quality, {more} FROM i GROUP BY 1", *PX, recursive=tables)
+    return sql(f"SELECT label AS run_id, 0 AS step, round(avg(loss), 6) AS val_loss, round(avg(lp), 6) AS lr_psnr, round(avg(ls), 6) AS lr_ssim, round(avg(kp), 6) AS ki_psnr, round(avg(ks), 6) AS ki_ssim, round({q('avg(lp)', 'avg(ls)')}, 6) AS lr_quality, round({q('avg(kp)', 'avg(ks)')}, 6) AS ki_quality, {more} FROM i GROUP BY 1", *PX, recursive=tables)
 
 
 RATES = """m AS MATERIALIZED (SELECT run_id, tag, step, value FROM metrics), f AS (SELECT run_id, step, value AS best, 0 AS counter, 0 AS rest, 1e-4::DOUBLE AS rate, NULL::VARCHAR AS event, NULL::DOUBLE AS old_rate, NULL::DOUBLE AS new_rate FROM m WHERE step = 0

@@ -57,32 +57,85 @@ class open_junk:  # noqa: N801
         return False
 
 
+#: A saved state's fields as SQL over a validation (step, quality, improvement, plateau, boost) that both engines read.
+STATE = {
+    "step_current": "step",
+    "epoch_num": "CAST(step % 97 AS INT)",
+    "step_max": "step + 100000",
+    "epoch_step_current": "step % 1000",
+    "epoch_step_total": "step * 0 + 1000",
+    "total_loss_value": "quality + 1e0",
+    "l1_loss_value": "quality + 2e0",
+    "ms_loss_value": "quality + 3e0",
+    "gradient_loss_value": "quality + 4e0",
+    "perceptual_loss_value": "quality + 5e0",
+    "l1_weight_current": "quality * 2e0",
+    "ms_weight_current": "quality * 3e0",
+    "gradient_weight_current": "quality * 4e0",
+    "perceptual_weight_current": "quality * 5e0",
+    "gradient_clip_val": "quality * 6e0",
+    "adaptive_mode": "CASE WHEN boost THEN 'Aggressive' ELSE 'Stable' END",
+    "adaptive_is_cooldown": "plateau % 2 = 0",
+    "adaptive_cooldown_remaining": "CAST(plateau % 50 AS INT)",
+    "adaptive_plateau_counter": "plateau",
+    "adaptive_lr_boost_available": "boost",
+    "adaptive_perceptual_trend": "CAST(plateau % 3 AS INT)",
+    "learning_rate_value": "quality / 1000e0",
+    "lr_phase_name": "CASE WHEN step < 100000 THEN 'warmup' ELSE 'cosine' END",
+    "iteration_duration": "quality + 6e0",
+    "vram_usage_gb": "quality + 7e0",
+    "adam_momentum_avg": "quality + 8e0",
+    "eta_total_formatted": "concat(CAST(step AS VARCHAR(20)), ' h')",
+    "eta_epoch_formatted": "concat(CAST(plateau AS VARCHAR(20)), ' m')",
+    "quality_lr_value": "quality - improvement",
+    "quality_ki_value": "quality",
+    "quality_improvement_value": "improvement",
+    "quality_ki_to_gt_value": "quality - 1e0",
+    "quality_lr_to_gt_value": "quality - improvement - 1e0",
+    "validation_loss_value": "quality + 9e0",
+    "best_quality_ever": "quality + 10e0",
+    "training_active": "plateau % 5 > 0",
+    "validation_running": "plateau % 7 = 0",
+    "training_paused": "plateau % 5 = 0",
+    "local_ip_address": "concat('192.0.2.', CAST(plateau % 250 AS VARCHAR(20)))",
+    "tensorboard_port": "CAST(6006 + plateau % 10 AS INT)",
+    "last_update_time": "CAST(step AS DOUBLE)",
+}
+
+
+def states(validations):
+    """Saved states of ``validations`` (step, quality, improvement, plateau, boost)."""
+    return validations.select(*[F.expr(e).alias(k) for k, e in STATE.items()], F.create_map(F.lit("Layer1"), F.col("quality")).alias("layer_activity_map"))
+
+
+def validations(spark, sf):
+    s = views.stats(spark, sf)
+    return s.select("step", F.col("quality_ki").alias("quality"), "improvement", F.col("plateau_counter").alias("plateau"), F.col("boost_available").alias("boost"))
+
+
 def statistics(spark, sf):
     """Saved statistics of each hundred validations, all runs together."""
-    s = views.stats(spark, sf).withColumn("step_current", (F.floor((F.col("step") - 500) / 50000) * 50000).cast("bigint"))
-    return s.groupBy("step_current").agg(
-        F.max("plateau_counter").alias("adaptive_plateau_counter"),
-        F.max("boost_available").alias("adaptive_lr_boost_available"),
-        F.round(F.max("quality_ki"), 6).alias("quality_ki_value"),
-        F.round(F.max("improvement"), 6).alias("quality_improvement_value"),
-        F.create_map(F.lit("Layer1"), F.round(F.min("quality_ki"), 6)).alias("layer_activity_map"),
-    )
+    s = validations(spark, sf).withColumn("step", (F.floor((F.col("step") - 500) / 50000) * 50000).cast("bigint"))
+    greatest = [F.max(c).alias(c) for c in ("plateau", "boost")]
+    return states(s.groupBy("step").agg(*greatest, *[F.round(F.max(c), 6).alias(c) for c in ("quality", "improvement")]))
 
 
-STATISTICS = "SELECT (step - 500) // 50000 * 50000 AS step_current, max(plateau_counter) AS plateau, max(boost_available::INT) = 1 AS boost, round(max(quality_ki), 6) AS quality, round(max(improvement), 6) AS improvement, round(min(quality_ki), 6) AS layer FROM stats GROUP BY 1"
+FIELDS = ", ".join(f"{e} AS {k}" for k, e in STATE.items())
+STATISTICS = "SELECT (step - 500) // 50000 * 50000 AS step, max(plateau_counter) AS plateau, max(boost_available::INT) = 1 AS boost, round(max(quality_ki), 6) AS quality, round(max(improvement), 6) AS improvement FROM stats GROUP BY 1"
 
 
 def s4(spark, sf):
     path = shared_folder(spark, "statistics")
     tables.write_statistics(statistics(spark, sf), path)
     got = documents.read_statistics(spark, path, multiline=False)
-    return got.select("step_current", "file_step", F.col("adaptive_plateau_counter").alias("plateau"), F.col("quality_ki_value").alias("quality"), F.element_at("layer_activity_map", "Layer1").alias("layer"))
+    return got.select(*STATE, "file_step", F.element_at("layer_activity_map", "Layer1").alias("layer"))
 
 
 def q5(spark, sf):
     path = shared_folder(spark, "history")
-    history.export_history_csv(statistics(spark, sf), path, ["Layer1"])
-    schema = "step_current bigint, plateau int, boost boolean, quality double, improvement double, layer double"
+    s = statistics(spark, sf)
+    history.export_history_csv(s, path, ["Layer1"])
+    schema = history.flattened(s, ["Layer1"]).withColumnRenamed("Layer1", "layer").schema
     return spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(path)
 
 
@@ -94,24 +147,43 @@ def s5(spark, sf):
     return got.select("step", "timestamp", F.size("config").alias("n"), F.try_element_at("config", F.lit("max_lr")).alias("max_lr"))
 
 
+#: Fixed values. Messages of a training log, with their kinds; {s} is a step, {n} the same with leading zeros, {q} a quality.
+MESSAGES = [
+    ("start", "🚀 TRAINING STARTED"),
+    ("validation", "Step {s} | Validation | KI Quality: {q}%"),
+    ("best", "🏆 NEW BEST CHECKPOINT! (Step {s}, Quality {q}%)"),
+    ("lr_boost", "⚡ LR BOOST triggered at step {s}"),
+    ("completion", "✅ TRAINING COMPLETED"),
+    ("interrupt", "⚠️  Training interrupted by user"),
+    ("crash", "❌ Training crashed: interrupted after an emergency"),
+    ("emergency", "⚠️  EMERGENCY CHECKPOINT SAVED (Step {s})"),
+    ("checkpoint", "💾 Checkpoint saved: checkpoint_step_{n}.pth"),
+    ("pause", "Training paused at step {s}"),
+    ("other", "note"),
+]
+
+
 def s6(spark, sf):
     path = shared_folder(spark, "logs")
     c = views.checkpoints(spark, sf)
-    kind = F.pmod("step", F.lit(5))
-    step, quality = F.col("step").cast("string"), F.format_string("%.4f", F.round("quality", 4))
-    message = (
-        F.when(kind == 0, F.concat(F.lit("Training started at step "), step))
-        .when(kind == 1, F.concat(F.lit("Validation at step "), step, F.lit(": quality "), quality))
-        .when(kind == 2, F.concat(F.lit("New best checkpoint, step "), step, F.lit(", quality "), quality))
-        .when(kind == 3, F.concat(F.lit("LR BOOST TRIGGERED at step "), step))
-        .otherwise(F.lit("note"))
-    )
+    parts = {"{s}": F.col("step").cast("string"), "{n}": F.format_string("%07d", "step"), "{q}": F.format_string("%.1f", F.round(F.col("quality") * 100, 1))}
+    message = F.element_at(F.array(*[F.lit(m) for _, m in MESSAGES]), (F.col("step") % len(MESSAGES) + 1).cast("int"))
+    for mark, value in parts.items():
+        message = F.replace(message, F.lit(mark), value)
     line = F.when(F.col("step") % 13 == 0, message).otherwise(F.concat(F.lit("["), F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"), F.lit("] "), message))
     c.select(line.alias("value")).write.text(path)
     return documents.read_training_log(spark, path).groupBy("kind").agg(F.count("*").alias("lines"), F.count("ts").alias("timed"), F.sum("step").alias("steps"), F.round(F.sum("quality"), 4).alias("quality"))
 
 
-S6 = sql("""SELECT ['start', 'validation', 'best', 'lr_boost', 'other'][step % 5 + 1] AS kind, count(*) AS lines, count(*) FILTER (step % 13 <> 0) AS timed, sum(CASE WHEN step % 5 < 4 THEN step END)::BIGINT AS steps, round(sum(CASE WHEN step % 5 IN (1, 2) THEN round(quality, 4) END), 4) AS quality FROM checkpoints GROUP BY 1""", "checkpoints")
+S6_KINDS = [k for k, _ in MESSAGES]
+S6_STEPS = [i for i, (_, m) in enumerate(MESSAGES) if "{s}" in m or "{n}" in m]
+S6_QUALITIES = [i for i, (_, m) in enumerate(MESSAGES) if "{q}" in m]
+S6 = sql(
+    f"""SELECT {S6_KINDS}[step % {len(MESSAGES)} + 1] AS kind, count(*) AS lines, count(*) FILTER (step % 13 <> 0) AS timed,
+    sum(CASE WHEN step % {len(MESSAGES)} IN {tuple(S6_STEPS)} THEN step END)::BIGINT AS steps,
+    round(sum(CASE WHEN step % {len(MESSAGES)} IN {tuple(S6_QUALITIES)} THEN round(quality * 100, 1) END), 4) AS quality FROM checkpoints GROUP BY 1""",
+    "checkpoints",
+)
 
 
 def s8(spark, sf):
@@ -129,11 +201,36 @@ def s10(spark, sf):
     return tables.read_metrics(spark, path, ["loss"]).select("run_id", "tag", "step", "value")
 
 
+#: Where each field of a log record comes from.
+RECORD = {
+    "timestamp": None, "step": "step_current", "epoch": "epoch_num",
+    "losses.total": "total_loss_value", "losses.l1": "l1_loss_value", "losses.ms": "ms_loss_value",
+    "losses.gradient": "gradient_loss_value", "losses.perceptual": "perceptual_loss_value",
+    "weights.l1": "l1_weight_current", "weights.ms": "ms_weight_current",
+    "weights.gradient": "gradient_weight_current", "weights.perceptual": "perceptual_weight_current",
+    "learning_rate": "learning_rate_value",
+    "quality.lr": "quality_lr_value", "quality.ki": "quality_ki_value",
+    "quality.improvement": "quality_improvement_value", "quality.best_ever": "best_quality_ever",
+    "adaptive.mode": "adaptive_mode", "adaptive.cooldown": "adaptive_is_cooldown",
+    "adaptive.plateau_counter": "adaptive_plateau_counter", "adaptive.gradient_clip": "gradient_clip_val",
+    "performance.iteration_duration": "iteration_duration", "performance.vram_usage_gb": "vram_usage_gb",
+    "performance.adam_momentum": "adam_momentum_avg",
+}
+
+
 def s11(spark, sf):
-    s = views.stats(spark, sf).select(F.col("step").alias("step_current"), F.col("quality_ki").alias("total_loss_value"), F.lit(0.1).alias("perceptual_weight_current"), F.col("quality_ki").alias("quality_ki_value"), F.col("improvement").alias("quality_improvement_value"), F.col("run_id").alias("adaptive_mode"), F.col("plateau_counter").alias("adaptive_plateau_counter"), F.lit(1e-4).alias("learning_rate_value"))
+    s = states(validations(spark, sf))
+    kinds = dict(s.dtypes)
     r = tables.export_log_record(s)
-    at = lambda p: F.get_json_object("record", f"$.{p}")
-    return r.select(at("step").cast("bigint").alias("step"), at("adaptive.mode").alias("mode"), at("adaptive.plateau").cast("int").alias("plateau"), at("quality.ki").cast("double").alias("ki"))
+    return r.select(*[F.get_json_object("record", f"$.{k}").cast(kinds[c] if c else "string").alias(k.replace(".", "_")) for k, c in RECORD.items()])
+
+
+S11_FIELDS = ", ".join(f"{STATE[c]} AS {k.replace('.', '_')}" for k, c in RECORD.items() if c)
+S11 = sql(
+    f"SELECT strftime(make_timestamp(step * 1000000), '%Y-%m-%dT%H:%M:%S.%gZ') AS timestamp, {S11_FIELDS} FROM (SELECT step, quality_ki AS quality, improvement, plateau_counter AS plateau, boost_available AS boost FROM stats)",
+    "metrics",
+    "stats",
+)
 
 
 def watched(spark, sf, name, schema, order, together=1):
@@ -146,8 +243,8 @@ def watched(spark, sf, name, schema, order, together=1):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", together).parquet(path)
 
 
-def events(spark, sf):
-    return watched(spark, sf, "events", schemas.EVENTS, "event_id")
+def events(spark, sf, order="event_id"):
+    return watched(spark, sf, "events", schemas.EVENTS, order)
 
 
 def lines(spark, sf, together=1):
@@ -161,8 +258,10 @@ def x1(spark, sf):
 
 
 def x3(spark, sf):
-    e = events(spark, sf).select(views.run_of().alias("run_id"), F.col("user_id").alias("step"), F.col("ts").cast("timestamp").alias("wall_time"))
-    return streams.settled(streams.stream_once_per_step(e, "3650 days"), mode="append").select("run_id", "step")
+    """A step is an hour, reported by every event in it; so a watermark of two hours suffices."""
+    wall = F.col("ts").cast("timestamp")
+    e = events(spark, sf, "ts").select(views.run_of().alias("run_id"), F.floor(F.unix_seconds(wall) / 3600).alias("step"), wall.alias("wall_time"))
+    return streams.settled(streams.stream_once_per_step(e, "2 hours"), mode="append").select("run_id", "step")
 
 
 def steps(spark, sf):
@@ -217,9 +316,10 @@ def x7(spark, sf):
 
 
 def x8(spark, sf):
-    e = events(spark, sf).select(views.run_of().alias("run_id"), F.lit("loss").alias("tag"), F.col("event_id").alias("step"), "value")
-    out = streams.settled(streams.stream_metric_rollup(e, 1000), ["run_id", "tag", "bucket"])
-    return out.withColumn("mean", F.round("mean", 6))
+    wall = F.col("ts").cast("timestamp").alias("wall_time")
+    e = events(spark, sf, "ts").select(views.run_of().alias("run_id"), F.lit("loss").alias("tag"), F.col("event_id").alias("step"), "value", wall)
+    out = streams.settled(streams.stream_metric_rollup(e, 1000), ["run_id", "tag", "bucket", "since"])
+    return out.withColumns({"mean": F.round("mean", 6), "since": F.date_format("since", "yyyy-MM-dd")})
 
 
 QUERIES = {
@@ -227,19 +327,19 @@ QUERIES = {
     "s2_generator_config_formats": (lambda s, d: s2(s, d, "formats").groupBy("category", "format").agg(F.count("*").alias("n"), F.sum("weight").alias("weight")), "SELECT 'space' AS category, f AS format, count(*) AS n, count(*) * CASE f WHEN 'small_540' THEN 0.5 ELSE 0.25 END::DOUBLE AS weight FROM documents, (VALUES ('small_540'), ('large_720')) t(f) GROUP BY f"),
     "s2_generator_config_targets": (lambda s, d: s2(s, d, "targets"), "SELECT 'space' AS category, doc_id AS target FROM documents"),
     "s3_generator_status": (s3, "SELECT event_type AS category, count(*) AS documents, sum(event_id % 50)::BIGINT AS images FROM events GROUP BY 1"),
-    "s4_s9_statistics": (s4, sql(f"SELECT step_current, step_current AS file_step, plateau, quality, layer FROM ({STATISTICS})", "metrics", "stats")),
+    "s4_s9_statistics": (s4, sql(f"SELECT {FIELDS}, step AS file_step, quality AS layer FROM ({STATISTICS})", "metrics", "stats")),
     "s5_config_snapshots": (s5, "SELECT c_custkey AS step, c_custkey::DOUBLE AS timestamp, CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 1 END::INT AS n, CASE WHEN c_custkey % 3 = 0 THEN (c_custkey % 5) / 1e4 END AS max_lr FROM customer"),
     "s6_training_log": (s6, S6),
     "s8_write_patches": (s8, sql("SELECT category, format, count(*) AS patches, sum(bytes)::BIGINT AS bytes FROM patches GROUP BY 1, 2", "patches")),
     "s10_metric_table": (s10, sql("SELECT run_id, tag, step, value FROM metrics", "metrics")),
-    "s11_export_log_record": (s11, sql("SELECT step, run_id AS mode, plateau_counter AS plateau, quality_ki AS ki FROM stats", "metrics", "stats")),
-    "q5_export_history_csv": (q5, sql(STATISTICS, "metrics", "stats")),
+    "s11_export_log_record": (s11, S11),
+    "q5_export_history_csv": (q5, sql(f"SELECT {FIELDS}, quality AS layer FROM ({STATISTICS})", "metrics", "stats")),
     "x1_stream_status": (x1, "SELECT event_type AS category, max(event_id) AS last_update, arg_max(user_id, event_id) AS user_id, arg_max(props, event_id) AS props FROM events GROUP BY 1"),
     "x2_stream_category_counts": (lambda s, d: streams.settled(streams.stream_category_counts(lines(s, d)), ["category"]), "SELECT l_returnflag AS category, count(*) AS images FROM lineitem GROUP BY 1"),
-    "x3_stream_once_per_step": (x3, f"SELECT DISTINCT {views.RUN} AS run_id, user_id AS step FROM events"),
+    "x3_stream_once_per_step": (x3, f"SELECT DISTINCT {views.RUN} AS run_id, epoch_us(ts) // 3600000000 AS step FROM events"),
     "x4_stream_plateau": (x4, X4),
     "x5_stream_rate_limited_alert": (x5, X5),
     "x6_stream_with_config": (x6, X6),
     "x7_stream_new_patches": (x7, "SELECT l_returnflag AS category, count(*) AS new_patches, count(*) >= 20000 AS ready FROM lineitem GROUP BY 1"),
-    "x8_stream_metric_rollup": (x8, f"SELECT {views.RUN} AS run_id, 'loss' AS tag, event_id // 1000 * 1000 AS bucket, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS greatest, arg_max(value, event_id) AS last, count(*) AS n FROM events GROUP BY ALL"),
+    "x8_stream_metric_rollup": (x8, f"SELECT {views.RUN} AS run_id, 'loss' AS tag, event_id // 1000 * 1000 AS bucket, strftime(ts, '%Y-%m-%d') AS since, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS greatest, arg_max(value, event_id) AS last, count(*) AS n FROM events GROUP BY ALL"),
 }

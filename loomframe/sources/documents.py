@@ -68,6 +68,7 @@ def read_config_snapshots(spark: SparkSession, path: str, multiline: bool = True
 
 #: Fixed values. Kinds of log lines, each by the first pattern that it holds.
 LOG_KINDS = [
+    ("crash", r"(?i)training crashed"),
     ("start", r"(?i)training started|starting training"),
     ("completion", r"(?i)training complete"),
     ("interrupt", r"(?i)interrupted"),

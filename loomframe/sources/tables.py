@@ -29,14 +29,21 @@ def read_metrics(spark: SparkSession, path: str, tags: list[str] | None = None)
 
 
 def export_log_record(snapshots: DataFrame) -> DataFrame:
-    """One nested JSON record for each snapshot."""
-    c = F.col
+    """One nested JSON record for each snapshot; its ``timestamp`` is the snapshot's last update, in UTC."""
+
+    def part(**names: str):
+        return F.struct(*[F.col(c).alias(k) for k, c in names.items()])
+
+    utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.timestamp_seconds("last_update_time").cast("timestamp_ntz"))
     record = F.struct(
-        c("step_current").alias("step"),
-        F.struct(c("total_loss_value").alias("total")).alias("losses"),
-        F.struct(c("perceptual_weight_current").alias("perceptual")).alias("weights"),
-        F.struct(c("quality_ki_value").alias("ki"), c("quality_improvement_value").alias("improvement")).alias("quality"),
-        F.struct(c("adaptive_mode").alias("mode"), c("adaptive_plateau_counter").alias("plateau")).alias("adaptive"),
-        F.struct(c("learning_rate_value").alias("learning_rate")).alias("performance"),
+        F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("timestamp"),
+        F.col("step_current").alias("step"),
+        F.col("epoch_num").alias("epoch"),
+        part(total="total_loss_value", l1="l1_loss_value", ms="ms_loss_value", gradient="gradient_loss_value", perceptual="perceptual_loss_value").alias("losses"),
+        part(l1="l1_weight_current", ms="ms_weight_current", gradient="gradient_weight_current", perceptual="perceptual_weight_current").alias("weights"),
+        F.col("learning_rate_value").alias("learning_rate"),
+        part(lr="quality_lr_value", ki="quality_ki_value", improvement="quality_improvement_value", best_ever="best_quality_ever").alias("quality"),
+        part(mode="adaptive_mode", cooldown="adaptive_is_cooldown", plateau_counter="adaptive_plateau_counter", gradient_clip="gradient_clip_val").alias("adaptive"),
+        part(iteration_duration="iteration_duration", vram_usage_gb="vram_usage_gb", adam_momentum="adam_momentum_avg").alias("performance"),
     )
     return snapshots.select("step_current", F.to_json(record).alias("record"))

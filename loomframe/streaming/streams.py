@@ -163,7 +163,10 @@ def stream_new_patches(stream: DataFrame, write: Callable[[DataFrame, int], None
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(batch).start()
 
 
-def stream_metric_rollup(stream: DataFrame, bucket: int = 100) -> DataFrame:
-    """Mean, least, greatest and last value by (run_id, tag) and bucket of steps."""
-    at = F.floor(F.col("step") / bucket) * bucket
-    return stream.groupBy("run_id", "tag", at.cast("bigint").alias("bucket")).agg(F.avg("value").alias("mean"), F.min("value").alias("least"), F.max("value").alias("greatest"), F.max_by("value", "step").alias("last"), F.count("*").alias("n"))
+def stream_metric_rollup(stream: DataFrame, bucket: int = 100, every: str = "1 day", late: str = "1 hour") -> DataFrame:
+    """Mean, least, greatest and last value by (run_id, tag), bucket of steps and window of wall_time, whose start is
+    ``since``. State of a window is dropped once the watermark passes its end; rows later than that are left out."""
+    at = (F.floor(F.col("step") / bucket) * bucket).cast("bigint").alias("bucket")
+    grouped = stream.withWatermark("wall_time", late).groupBy("run_id", "tag", at, F.window("wall_time", every).alias("w"))
+    rolled = grouped.agg(F.avg("value").alias("mean"), F.min("value").alias("least"), F.max("value").alias("greatest"), F.max_by("value", "step").alias("last"), F.count("*").alias("n"))
+    return rolled.select("run_id", "tag", "bucket", F.col("w.start").alias("since"), "mean", "least", "greatest", "last", "n")
