@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from loomframe.functions import columns
@@ -182,20 +183,32 @@ def stacked(n: int) -> str:
 
 def i4(spark, sf):
     w = images.split_stack(images.lr_stack(whole_windows(spark, sf)))
-    return w.select("video_id", "frame_idx", F.size("frames").alias("n"), F.lower(F.hex(F.get("frames", F.lit(2)))).alias("third"))
+    return w.select("video_id", "frame_idx", F.size("frames").alias("n"), F.array_join(F.transform("frames", lambda f: F.lower(F.hex(f))), "|").alias("frames"))
+
+
+def millionths(array) -> Column:
+    """An array of numbers as text."""
+    return F.array_join(F.transform(array, lambda x: F.floor(x * 1e6 + 0.5).cast("string")), ",")
+
+
+#: The same in SQL, for the ``size`` values of {0} at {1}.
+MILLIONTHS = "array_to_string(list_transform(range({size}), lambda k: floor({value} * 1e6 + 0.5)::BIGINT), ',')"
 
 
 def i5(spark, sf):
     p = views.image_pairs(spark, sf)
     out = images.augment(p.select("vec_id", "a", "b"), 3, 1, "vec_id", ["a", "b"], SHAPE)
-    return out.select("vec_id", "hflip", "vflip", "turns", F.round(F.get("a", F.lit(0)), 6).alias("a0"), F.round(F.get("b", F.lit(63)), 6).alias("b63"))
+    return out.select("vec_id", "hflip", "vflip", "turns", millionths("a").alias("a"), millionths("b").alias("b"))
 
 
 U5 = "('0x' || substr(md5(concat_ws('|', '3', '{0}', '1', vec_id)), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
 #: Where the pixel at (r, c) of the result comes from: a quarter turn takes (r, c) from (c, 7 - r), then the flips.
-I5 = f"""SELECT vec_id, h AS hflip, v AS vflip, t AS turns, round(a[CASE WHEN v THEN 7 - r0 ELSE r0 END * 8 + CASE WHEN h THEN 7 - c0 ELSE c0 END + 1], 6) AS a0, round(b[CASE WHEN v THEN 7 - r1 ELSE r1 END * 8 + CASE WHEN h THEN 7 - c1 ELSE c1 END + 1], 6) AS b63
-FROM (SELECT *, [0, 0, 7, 7][t + 1] AS r0, [0, 7, 7, 0][t + 1] AS c0, [7, 7, 0, 0][t + 1] AS r1, [7, 0, 0, 7][t + 1] AS c1 FROM (
-  SELECT vec_id, a, b, {U5.format('h')} < 0.5 AS h, {U5.format('v')} < 0.5 AS v, floor({U5.format('r')} * 4)::INT AS t FROM image_pairs))"""
+TURNED = "{0}[CASE WHEN v THEN 7 - {r} ELSE {r} END * 8 + CASE WHEN h THEN 7 - {c} ELSE {c} END + 1]"
+TURNED_R, TURNED_C = "[k // 8, k % 8, 7 - k // 8, 7 - k % 8][t + 1]", "[k % 8, 7 - k // 8, 7 - k % 8, k // 8][t + 1]"
+I5_A, I5_B = (MILLIONTHS.format(size=64, value=TURNED.format(c_, r=TURNED_R, c=TURNED_C)) for c_ in "ab")
+I5 = f"""SELECT vec_id, h AS hflip, v AS vflip, t AS turns, {I5_A} AS a, {I5_B} AS b
+FROM (
+  SELECT vec_id, a, b, {U5.format('h')} < 0.5 AS h, {U5.format('v')} < 0.5 AS v, floor({U5.format('r')} * 4)::INT AS t FROM image_pairs)"""
 
 
 def i6(spark, sf):
@@ -242,16 +255,21 @@ h AS (SELECT vec_id, avg(abs(da)) AS a, avg(abs(db)) AS b FROM (SELECT p.vec_id,
 
 def i14(spark, sf):
     out = images.bilinear_x3(views.image_pairs(spark, sf), "a", SHAPE)
-    v = F.col("upscaled")
-    return out.select("vec_id", F.size(v).alias("n"), F.round(F.get(v, F.lit(0)), 6).alias("corner"), F.round(F.get(v, F.lit(2 * 24 + 2)), 6).alias("between"), F.round(F.get(v, F.lit(4 * 24 + 4)), 6).alias("centre"))
+    return out.select("vec_id", F.size("upscaled").alias("n"), millionths("upscaled").alias("upscaled"))
+
+
+#: A result's row k lies (k + 2) % 3 thirds behind the source's row (k + 2) // 3 - 1; rows outside are the nearest inside.
+AT = "a[greatest(0, least(7, (k // 24 + 2) // 3 - 1 + {0})) * 8 + greatest(0, least(7, (k % 24 + 2) // 3 - 1 + {1})) + 1] * (abs(1 - {0} - (k // 24 + 2) % 3 / 3.0::DOUBLE)) * (abs(1 - {1} - (k % 24 + 2) % 3 / 3.0::DOUBLE))"
+I14 = f"SELECT vec_id, 576 AS n, {MILLIONTHS.format(size=576, value='(' + ' + '.join(AT.format(y, x) for y in (0, 1) for x in (0, 1)) + ')')} AS upscaled FROM image_pairs"
 
 
 def i15(spark, sf):
     out = images.comparison_strip(views.image_pairs(spark, sf), ["a", "b", "a"], SHAPE)
-    return out.select("vec_id", F.col("strip.height").alias("height"), F.col("strip.width").alias("width"), F.lower(F.hex(F.substring("strip.data", 1, 30))).alias("top"))
+    return out.select("vec_id", F.col("strip.height").alias("height"), F.col("strip.width").alias("width"), F.lower(F.hex("strip.data")).alias("data"))
 
 
-ROW = "list_reduce(list_transform({0}[1:8], lambda v: printf('%02x', floor(v * 255)::INT)), lambda p, q: p || q)"
+ROW = "list_reduce(list_transform({0}[y * 8 + 1 : y * 8 + 8], lambda v: printf('%02x', floor(v * 255)::INT)), lambda p, q: p || q)"
+STRIP = f"array_to_string(list_transform(range(8), lambda y: {ROW.format('a')} || '000000' || {ROW.format('b')} || '000000' || {ROW.format('a')}), '')"
 
 
 def i16(spark, sf):
@@ -316,7 +334,7 @@ CASE WHEN event_id % 9 - 4 > 2 THEN 'rising' WHEN event_id % 9 - 4 < -2 THEN 'fa
     "i2_gt_crop": (lambda s, d: images.gt_crop(whole_windows(s, d)).select("video_id", "frame_idx", F.col("gt.height").alias("height"), hexed(None, "gt").alias("px")), sql(f"SELECT video_id, frame_idx, 6 AS height, {CROP.format(y='y', x='x', more='', px='f[4]')} AS px FROM w", "frames", recursive=WINDOW)),
     "i3_lr_stack": (lambda s, d: images.lr_stack(whole_windows(s, d)).select("video_id", "frame_idx", F.col("lr.height").alias("height"), hexed(None, "lr").alias("px")), stacked(5)),
     "i3_lr_stack_7": (lambda s, d: images.lr_stack(whole_windows(s, d), 7).select("video_id", "frame_idx", F.col("lr.height").alias("height"), hexed(None, "lr").alias("px")), stacked(7)),
-    "i4_split_stack": (i4, sql(f"SELECT video_id, frame_idx, 5 AS n, {CROP.format(y='y', x='x', more=SHRUNK, px='f[4]')} AS third FROM w", "frames", recursive=WINDOW)),
+    "i4_split_stack": (i4, sql(f"SELECT video_id, frame_idx, 5 AS n, {" || '|' || ".join(CROP.format(y='y', x='x', more=SHRUNK, px=f'f[{k}]') for k in range(2, 7))} AS frames FROM w", "frames", recursive=WINDOW)),
     "i5_augment": (i5, sql(I5, "units", "image_pairs")),
     "i6_to_tensor": (i6, sql("SELECT video_id, frame_no, round(list_sum(px) / 255.0::DOUBLE, 6) AS total, round(px[10] / 255.0::DOUBLE, 9) AS tenth FROM frames", "frames")),
     "i7_pixel_losses": (lambda s, d: pixel(s, d, "hybrid"), grads(False)),
@@ -327,7 +345,7 @@ CASE WHEN event_id % 9 - 4 > 2 THEN 'rising' WHEN event_id % 9 - 4 < -2 THEN 'fa
     "i12_quality_score": (lambda s, d: i12(s, d, "package"), sql(f"SELECT v.vec_id, round(greatest(0, least(1, 0.7 * greatest(0, least(1, (p - 20) / 30)) + 0.3 * ssim)), 6) AS quality FROM v JOIN (SELECT vec_id, {PSNR} AS p FROM px GROUP BY 1) USING (vec_id)", *PX, recursive=SSIM)),
     "i12_quality_score_legacy": (lambda s, d: i12(s, d, "legacy"), sql(f"SELECT v.vec_id, round(0.5 * greatest(0, least(100, (p - 20) * 3.33::DOUBLE)) + 0.5 * (100 * ssim), 6) AS quality FROM v JOIN (SELECT vec_id, {PSNR} AS p FROM px GROUP BY 1) USING (vec_id)", *PX, recursive=SSIM)),
     "i13_sharpness_ratio": (i13, sql("SELECT g.vec_id, round(CASE WHEN g.b + h.b > 0 THEN (g.a + h.a) / (g.b + h.b) ELSE 1 END, 6) AS ratio FROM g JOIN h USING (vec_id)", *PX, recursive=SHARP)),
-    "i14_bilinear_x3": (i14, sql("SELECT vec_id, 576 AS n, round(a[1], 6) AS corner, round(a[1] * 4 / 9 + a[2] * 2 / 9 + a[9] * 2 / 9 + a[10] / 9, 6) AS between, round(a[10], 6) AS centre FROM image_pairs", "units", "image_pairs")),
-    "i15_comparison_strip": (i15, sql(f"SELECT vec_id, 8 AS height, 30 AS width, {ROW.format('a')} || '000000' || {ROW.format('b')} || '000000' || {ROW.format('a')} AS top FROM image_pairs", "units", "image_pairs")),
+    "i14_bilinear_x3": (i14, sql(I14, "units", "image_pairs")),
+    "i15_comparison_strip": (i15, sql(f"SELECT vec_id, 8 AS height, 30 AS width, {STRIP} AS data FROM image_pairs", "units", "image_pairs")),
     "i16_tensor_stats": (i16, """SELECT label AS run_id, 0 AS step, round(avg(m), 6) AS activity, round(sqrt(sum(n * n)), 6) AS global_norm, round(avg(n), 6) AS mean_norm FROM (SELECT label, list_avg(list_transform(embedding, lambda x: abs(x::DOUBLE))) AS m, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings) GROUP BY 1"""),
 }
