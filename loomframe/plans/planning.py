@@ -48,13 +48,13 @@ def c10(spark, sf):
 
 
 def grid(spark, sf):
-    return sampling.sample_grid(views.videos(spark, sf).where("duration > 0"), 30)
+    return sampling.sample_grid(views.videos(spark, sf), 30)
 
 
-GRID = "SELECT video_id, duration, unnest(range(CASE WHEN round(cat_sum * 30, 9) >= 1 THEN floor(cat_sum * 30)::INT ELSE 0 END))::INT AS frame_idx FROM videos WHERE duration > 0"
-GRID = f"SELECT *, fmod(frame_idx * duration / 30, duration) AS ts FROM ({GRID})"
+GRID = "SELECT video_id, duration, unnest(range(CASE WHEN round(cat_sum * 30, 9) >= 1 THEN floor(cat_sum * 30)::INT ELSE 0 END))::INT AS frame_idx FROM videos"
+GRID = f"SELECT *, fmod(frame_idx * duration / 30, nullif(duration, 0)) AS ts FROM ({GRID})"
 TRIES = "SELECT video_id, frame_idx, duration, unnest(range(4))::INT AS attempt, ts AS t0 FROM grid"
-TRIES = f"SELECT video_id, frame_idx, attempt, duration, fmod(t0 + attempt * 60.0::DOUBLE, duration) AS ts FROM ({TRIES})"
+TRIES = f"SELECT video_id, frame_idx, attempt, duration, fmod(t0 + attempt * 60.0::DOUBLE, nullif(duration, 0)) AS ts FROM ({TRIES})"
 
 
 def p4(spark, sf):
@@ -260,7 +260,7 @@ SELECT p_partkey, round(CASE WHEN fps IS NULL OR seconds IS NULL THEN 23.976::DO
     "p2_sample_grid": (lambda s, d: grid(s, d).select("video_id", "frame_idx", F.round("ts", 6).alias("ts")), sql(f"SELECT video_id, frame_idx, round(ts, 6) AS ts FROM ({GRID})", "videos")),
     "p3_retry_candidates": (lambda s, d: sampling.retry_candidates(grid(s, d), 4).select("video_id", "frame_idx", "attempt", F.round("ts", 6).alias("ts")), sql("", "videos") + f", grid AS ({GRID}) SELECT video_id, frame_idx, attempt, round(ts, 6) AS ts FROM ({TRIES})"),
     "p4_first_accepted": (p4, sql("", "videos") + f""", grid AS ({GRID}), t AS (SELECT *, (floor(ts)::BIGINT + video_id) % 3 = 0 AS ok FROM ({TRIES}))
-SELECT video_id, frame_idx, bool_or(ok) AS success, coalesce(min(attempt) FILTER (ok) + 1, 4) AS attempts, round(arg_min(ts, attempt) FILTER (ok), 6) AS ts FROM t GROUP BY 1, 2"""),
+SELECT video_id, frame_idx, coalesce(bool_or(ok), false) AS success, coalesce(min(attempt) FILTER (ok) + 1, 4) AS attempts, round(arg_min(ts, attempt) FILTER (ok), 6) AS ts FROM t GROUP BY 1, 2"""),
     "p5_frame_window": (p5, sql("SELECT a.video_id, a.frame_no AS frame_idx, max(b.frame_no) AS last_frame, count(*)::INT AS n_images FROM frames a JOIN frames b ON a.video_id = b.video_id AND b.frame_no BETWEEN a.frame_no AND a.frame_no + 6 GROUP BY 1, 2 HAVING count(*) = 7", "frames")),
     "p6_val_train_plan": (lambda s, d: sampling.val_train_plan(views.weighted_videos(s, d), 300).withColumn("ts", F.round("ts", 6)), sql("""SELECT video_id, 'Val' AS split, i::INT AS i, round(duration * 0.2::DOUBLE + i * (duration * 0.6::DOUBLE / n_val), 6) AS ts FROM (SELECT *, unnest(range(n_val)) AS i FROM limits)
 UNION ALL SELECT video_id, 'Patches', i::INT, round(i * (duration / "limit"), 6) FROM (SELECT *, unnest(range(n_train)) AS i FROM limits)""", "videos", "weighted_videos", "limits")),
@@ -275,7 +275,7 @@ FROM (SELECT DISTINCT video_id, idx AS frame_idx, category, {DRAW.format('5, vid
     "j2_pair_val": (lambda s, d: pairing.pair_val(*views.names(s, d)), sql("SELECT * FROM pairs", "gt", "val_lr", "patch_lr", "pairs")),
     "j3_pairing_report": (lambda s, d: pairing.pairing_report(*views.names(s, d)), sql("SELECT count(*) AS found, count(*) FILTER (origin = 'Val') AS from_val, count(*) FILTER (origin = 'Patches') AS from_patches, count(*) FILTER (origin IS NULL) AS skipped, count(origin) AS loaded FROM pairs", "gt", "val_lr", "patch_lr", "pairs")),
     "j3_skipped_sample": (lambda s, d: pairing.skipped_sample(*views.names(s, d)), sql("SELECT filename FROM pairs WHERE origin IS NULL ORDER BY 1 LIMIT 15", "gt", "val_lr", "patch_lr", "pairs")),
-    "j4_orphan_lr": (lambda s, d: pairing.orphan_lr(views.names(s, d)[0].where("filename % 10 > 0"), views.names(s, d)[1]), sql("SELECT filename FROM val_lr WHERE filename NOT IN (SELECT filename FROM gt WHERE filename % 10 > 0)", "gt", "val_lr")),
+    "j4_orphan_lr": (lambda s, d: pairing.orphan_lr(*views.names(s, d)[:2]), sql("SELECT filename FROM val_lr WHERE filename NOT IN (SELECT filename FROM gt)", "gt", "val_lr")),
     "a1_category_counts": (lambda s, d: progress.category_counts(views.patches(s, d), targets(s, d)), sql(COUNTS, "patches")),
     "a2_category_progress": (a2, sql(f"""SELECT category, round(CASE WHEN target > 0 THEN images / target * 100 ELSE 0 END::DOUBLE, 6) AS percent, round(images / 50.0::DOUBLE, 6) AS rate, round(CASE WHEN target - images <= 0 THEN 0 WHEN images > 0 THEN (target - images) / (images / 50.0::DOUBLE) END::DOUBLE, 6) AS eta,
 CASE WHEN target - images <= 0 THEN 'Complete' WHEN images > 0 THEN 'Running' ELSE 'Calculating' END AS status FROM ({COUNTS})""", "patches")),

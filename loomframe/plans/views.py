@@ -79,9 +79,9 @@ def patches(spark: SparkSession, sf: str) -> DataFrame:
 
 def names(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Targets, validation inputs and patch inputs by file name."""
-    o, li = table(spark, sf, "orders"), table(spark, sf, "lineitem")
-    lr = lambda n: li.where(F.col("l_linenumber") == n).select(F.col("l_orderkey").alias("filename")).distinct()
-    return o.select(F.col("o_orderkey").alias("filename")), lr(1), lr(2)
+    o, c, li = table(spark, sf, "orders"), table(spark, sf, "customer"), table(spark, sf, "lineitem")
+    val = c.select((F.col("c_custkey") * 11).alias("filename"))
+    return o.select(F.col("o_orderkey").alias("filename")), val, li.select(F.col("l_orderkey").alias("filename")).distinct()
 
 
 def checkpoints(spark: SparkSession, sf: str) -> DataFrame:
@@ -122,8 +122,8 @@ SQL = {
     "px": "SELECT vec_id, label, i // 8 AS y, i % 8 AS x, a[i + 1] AS a, b[i + 1] AS b FROM image_pairs, (SELECT unnest(range(64)) AS i)",
     "patches": "SELECT l_orderkey AS video_id, l_returnflag AS category, l_linestatus AS format, trunc(l_extendedprice)::BIGINT AS bytes, l_linenumber AS idx FROM lineitem",
     "gt": "SELECT o_orderkey AS filename FROM orders",
-    "val_lr": "SELECT DISTINCT l_orderkey AS filename FROM lineitem WHERE l_linenumber = 1",
-    "patch_lr": "SELECT DISTINCT l_orderkey AS filename FROM lineitem WHERE l_linenumber = 2",
+    "val_lr": "SELECT c_custkey * 11 AS filename FROM customer",
+    "patch_lr": "SELECT DISTINCT l_orderkey AS filename FROM lineitem",
     "pairs": "SELECT filename, CASE WHEN filename IN (SELECT filename FROM val_lr) THEN 'Val' WHEN filename IN (SELECT filename FROM patch_lr) THEN 'Patches' END AS origin FROM gt",
     "checkpoints": "SELECT printf('checkpoint_step_%07d', o_orderkey) || CASE WHEN o_orderstatus = 'F' THEN '_emergency' ELSE '' END || '.pth' AS filename, o_orderkey AS step, o_orderstatus, least(1.0, o_totalprice / 500000) AS quality, o_totalprice / 1e6 AS loss, trunc(o_totalprice * 1024)::BIGINT AS bytes, o_orderdate AS timestamp, o_custkey AS custkey FROM orders",
     "entries": "SELECT c_nationkey AS run_id, c_custkey AS step, c_mktsegment AS param, c_acctbal AS value FROM customer UNION ALL SELECT c_nationkey, c_custkey, 'max_lr', (c_custkey % 5) / 1e4 FROM customer WHERE c_custkey % 3 = 0",
