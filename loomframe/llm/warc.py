@@ -5,7 +5,7 @@ of a digest keeps its payload as a response, the others become revisit records t
 through Spark's own text writer, whose line end is the blank lines that close a WARC record, so archives land in any
 file system Spark writes to and a failed task leaves nothing behind. Files are sized by payload bytes.
 
-Reading parses every file by its Content-Length headers, checks the payload against its digest, and resolves revisits
+Every file begins with a ``warcinfo`` record. Reading parses every file by its Content-Length headers, checks the payload against its digest, and resolves revisits
 by a join with the responses.
 
 Defined cases: a null payload counts as empty; payloads under ``least`` bytes are never revisits; of repeated rows with
@@ -16,6 +16,7 @@ gives archives without records; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from datetime import UTC, datetime
 
@@ -70,6 +71,13 @@ def records(rows: DataFrame, date: str) -> Column:
     return F.concat(head, block)
 
 
+def warcinfo(name: Column, date: str) -> Column:
+    """The record that begins an archive, with the blank lines that close it."""
+    block = f"software: loomframe{CRLF}format: WARC File Format 1.1{CRLF}"
+    head = F.concat(F.lit(f"WARC/1.1{CRLF}WARC-Type: warcinfo{CRLF}WARC-Record-ID: <urn:warcinfo:"), name, F.lit(f">{CRLF}WARC-Date: {date}{CRLF}"))
+    return F.concat(head, F.lit(f"Content-Type: application/warc-fields{CRLF}Content-Length: {len(block)}{CRLF}{CRLF}{block}{CRLF}{CRLF}"))
+
+
 def write(pages: DataFrame, path: str, ident: str, payload: str, least: int = LEAST) -> None:
     """Write ``pages`` as WARC files under ``path``, each payload once."""
     body = F.coalesce(F.col(payload), F.lit(""))
@@ -89,7 +97,10 @@ def write(pages: DataFrame, path: str, ident: str, payload: str, least: int = LE
     files = max(1, -(-int(total) // FILE_BYTES))
     spread = named.repartition(files, F.xxhash64("id", "url", "digest")) if files > 1 else named.coalesce(1)
     date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
-    spread.select(records(spread, date).alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").text(path)
+    first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0  # of its task, which writes one file
+    archive = F.concat(F.lit(f"{uuid.uuid4().hex}:"), F.spark_partition_id().cast("string"))
+    value = F.concat(F.when(first, warcinfo(archive, date)).otherwise(""), records(spread, date))
+    spread.select(value.alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -105,7 +116,7 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
-    """Every record under ``path``: id, url, record_type, digest, refers_to, bytes, sound (payload meets its digest), payload."""
+    """Every response and revisit under ``path``: id, url, record_type, digest, refers_to, bytes, sound (payload meets its digest), payload."""
     ship(spark)
     schema = "id string, url string, record_type string, digest string, refers_to string, bytes long, sound boolean, payload binary"
 
@@ -126,6 +137,8 @@ def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFram
                 data = b"".join(members)
                 out = []
                 for head, body in parse(data):
+                    if head["WARC-Type"] == "warcinfo":
+                        continue
                     digest = head["WARC-Payload-Digest"].removeprefix("sha256:")
                     response = head["WARC-Type"] == "response"
                     sound = not response or hashlib.sha256(body).hexdigest() == digest

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import random
 import zlib
@@ -123,6 +124,9 @@ def test_archives_round_trip(spark):
     pages = [(5, "http://a/", long), (2, "http://b/\r\nX: y", long), (9, None, long), (3, "u", "short"), (4, "u", "short"), (1, "u", None), (7, "u", ""), (8, "u", "y" * 100), (6, "u", "y" * 99), (11, "u", "y" * 99), (12, "u", "z" * 2_000_000), (13, "u", "y" * 100)]
     path = work_folder(spark, "archives")
     warc.write(spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("digest", F.lit(0)), path, "page_id", "html")
+    for f in spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).collect():
+        kinds = [h["WARC-Type"] for h, _ in warc.parse(gzip.decompress(f.content))]
+        assert kinds[0] == "warcinfo" and kinds.count("warcinfo") == 1
     archive = warc.read(spark, path, with_payload=True)
     rows = archive.collect()
     first: dict[str, int] = {}
