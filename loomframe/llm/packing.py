@@ -28,7 +28,6 @@ from loomframe.llm.tokens import document_ids, vocabulary_path
 from loomframe.session import ship
 
 LENGTH = 4096
-SLICE_ROWS = 100_000
 
 
 def pieces(docs: DataFrame, length: int = LENGTH, path: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -99,10 +98,13 @@ def shortest_pack_first(histogram: dict[int, int], capacity: int) -> tuple[list[
 
 
 def ranked(rows: DataFrame) -> DataFrame:
-    """Stored ``rows`` (uid, length) with ``rank``, 0, 1, ... among the pieces of a length; no length gathers in one task."""
+    """Stored ``rows`` (uid, length) with ``rank``, 0, 1, ... among the pieces of a length; no length gathers in one task.
+
+    A length of n pieces has about sqrt(n) slices of about sqrt(n) pieces, so the slices' sizes stay as short as a slice.
+    """
     n = F.col("n")
     counts = stored(rows.groupBy("length").agg(F.count("*").alias("n")), "histogram")  # at most one row for each length
-    sliced = rows.join(F.broadcast(counts), "length").withColumn("slice", F.pmod(F.xxhash64("uid"), F.ceil(n / SLICE_ROWS))).drop("n")
+    sliced = rows.join(F.broadcast(counts), "length").withColumn("slice", F.pmod(F.xxhash64("uid"), F.ceil(F.sqrt(n)))).drop("n")
     sizes = sliced.groupBy("length", "slice").agg(F.count("*").alias("m"))
     before = F.sum("m").over(Window.partitionBy("length").orderBy("slice")) - F.col("m")
     starts = sizes.select("length", "slice", before.alias("before"))
