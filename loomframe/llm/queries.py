@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomframe.llm import bfd, chunk_dedup, exact_dedup, filter_audit, html_text, mixing, packing, privacy, quality, simhash, warc
+from loomframe.llm import bfd, chunk_dedup, exact_dedup, filter_audit, html_text, mixing, packing, privacy, quality, simhash, vector_codes, warc
 
 
 def queries():
@@ -17,9 +17,10 @@ def queries():
         "op8_mixing": mixing.query,
         "op9_simhash_near_dedup": simhash.query,
         "op10_bfd_packing": bfd.query,
+        "op11_vector_codes": vector_codes.query,
         "op13_filter_audit": filter_audit.query,
     }
 
 
 def oracle_sql():
-    return {"op2_warc": warc.SQL, "op4_exact_dedup": exact_dedup.SQL, "op8_mixing": mixing.SQL, "op13_filter_audit": filter_audit.SQL}
+    return {"op2_warc": warc.SQL, "op4_exact_dedup": exact_dedup.SQL, "op8_mixing": mixing.SQL, "op11_vector_codes": vector_codes.SQL, "op13_filter_audit": filter_audit.SQL}
