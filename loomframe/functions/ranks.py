@@ -35,3 +35,12 @@ def running_sum(df: DataFrame, value: str, key: str, order: str, name: str) -> D
     before = sums.select(key, by, (F.sum("s").over(Window.partitionBy(key).orderBy(by)) - F.col("s")).alias(f"{name}_0"))  # a row for each key and range
     inside = F.sum(value).over(Window.partitionBy(key, by).orderBy(order)) - F.col(value)
     return parts.withColumn(name, inside).join(before, [key, by]).withColumn(name, F.col(name) + F.col(f"{name}_0")).drop(by, f"{name}_0")
+
+
+def placed(df: DataFrame, key: str, *order: Column | str) -> DataFrame:
+    """``df`` with ``place``: 0, 1, ... in the given order inside each (non-null) ``key``, however many rows that has."""
+    parts, by = _ranges(df, (key, *order))
+    counts = parts.groupBy(key, by).count()
+    before = counts.select(key, by, (F.sum("count").over(Window.partitionBy(key).orderBy(by)) - F.col("count")).alias("place_0"))  # a row for each key and range
+    inside = F.row_number().over(Window.partitionBy(key, by).orderBy(*order)) - 1
+    return parts.withColumn("place", inside).join(before, [key, by]).withColumn("place", F.col("place") + F.col("place_0")).drop(by, "place_0")
