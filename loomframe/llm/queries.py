@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomframe.llm import bfd, chunk_dedup, exact_dedup, filter_audit, html_text, mixing, packing, privacy, quality, simhash, vector_codes, warc
+from loomframe.llm import bfd, chunk_dedup, exact_dedup, filter_audit, html_text, mixing, packing, privacy, quality, reply_trees, simhash, vector_codes, warc
 
 
 def queries():
@@ -18,9 +18,10 @@ def queries():
         "op9_simhash_near_dedup": simhash.query,
         "op10_bfd_packing": bfd.query,
         "op11_vector_codes": vector_codes.query,
+        "op12_chat_formatting": reply_trees.query,
         "op13_filter_audit": filter_audit.query,
     }
 
 
 def oracle_sql():
-    return {"op2_warc": warc.SQL, "op4_exact_dedup": exact_dedup.SQL, "op8_mixing": mixing.SQL, "op11_vector_codes": vector_codes.SQL, "op13_filter_audit": filter_audit.SQL}
+    return {"op2_warc": warc.SQL, "op4_exact_dedup": exact_dedup.SQL, "op8_mixing": mixing.SQL, "op11_vector_codes": vector_codes.SQL, "op12_chat_formatting": reply_trees.SQL, "op13_filter_audit": filter_audit.SQL}
