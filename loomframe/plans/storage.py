@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomframe import schemas
 from loomframe.functions import dims
 from loomframe.operators import history, registry
 from loomframe.plans import views
 from loomframe.plans.monitoring import M5
 from loomframe.plans.views import sql, table
 from loomframe.session import shared_folder
-from loomframe.sources import documents, tables
+from loomframe.sources import documents, replay, tables
 from loomframe.streaming import streams
 
 
@@ -233,92 +232,131 @@ S11 = sql(
 )
 
 
-def watched(spark, sf, name, schema, order, together=1):
-    """A table as a stream of two micro-batches (or of so many files together), its rows in order, so that state is met again."""
-    path = shared_folder(spark, f"stream-{name}")
-    rows = table(spark, sf, name)
-    middle = rows.agg(F.percentile_approx(order, 0.5)).first()[0]
-    for half in (F.col(order) <= middle, F.col(order) > middle):
-        rows.where(half).coalesce(1).write.mode("append").parquet(path)  # files are taken by their time
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", together).parquet(path)
+BATCHES = 4
 
 
-def events(spark, sf, order="event_id"):
-    return watched(spark, sf, "events", schemas.EVENTS, order)
+def replayed(spark, rows, order, close=None):
+    """``rows`` as a stream of ``BATCHES`` micro-batches in their order, each read by as many tasks as there are cores, and
+    the checkpoint of its query. With ``close``, a time column, a last row two days after all others moves the watermark
+    past them; it is never due itself."""
+    path, checkpoint = shared_folder(spark, "ordered"), shared_folder(spark, "checkpoint")
+    tasks = max(2, spark.sparkContext.defaultParallelism)
+    replay.write_ordered(rows, path, BATCHES * tasks - (close is not None), order)
+    if close:
+        end = rows.orderBy(F.col(close).desc_nulls_last()).limit(1)
+        replay.write_ordered(end.withColumn(close, F.col(close) + F.expr("INTERVAL 2 DAYS")), path, 1, order)
+    return replay.read_ordered(spark, path, rows.schema, tasks, checkpoint), checkpoint
 
 
-def lines(spark, sf, together=1):
-    schema = "l_orderkey bigint, l_returnflag string"
-    return watched(spark, sf, "lineitem", schema, "l_orderkey", together).select(F.col("l_returnflag").alias("category"), F.col("l_orderkey").alias("video_id"))
+def x1(spark, sf):
+    """Status documents of one event each: its own category's counts and those of all; one document is broken."""
+    path = shared_folder(spark, "status")
+    tasks = max(2, spark.sparkContext.defaultParallelism)
+    e = table(spark, sf, "events").repartitionByRange(BATCHES * tasks - 1, "event_id")
+    stats = lambda n: F.struct(F.lit(n).alias("videos_processed"), F.pmod("event_id", F.lit(50 * n)).cast("int").alias("images_created"), F.lit(50).alias("target"))
+    docs = e.select(
+        F.when(F.pmod("event_id", F.lit(2)) == 0, "running").otherwise("paused").alias("status"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("last_update"),
+        F.struct(F.lit(100).alias("total_videos"), F.pmod("event_id", F.lit(100)).cast("int").alias("completed_videos")).alias("progress"),
+        F.create_map("event_type", stats(1), F.lit("all"), stats(2)).alias("category_stats"),
+    )
+    docs.write.json(path)
+    with open_junk(spark, path):
+        stream = documents.stream_status_documents(spark, path, tasks, multiline=False)
+        return streams.settled(streams.stream_status(stream), ["category"]).drop("disk_usage_gb")
 
 
-def x1(spark, sf):
-    e = events(spark, sf).select(F.col("event_type").alias("category"), F.col("event_id").alias("last_update"), "user_id", "props")
-    return streams.settled(streams.stream_status(e), ["category"])
+X1 = """WITH d AS (SELECT event_type AS category, event_id, ts, 1 AS n FROM events UNION ALL SELECT 'all', event_id, ts, 2 FROM events)
+SELECT category, strftime(max(ts), '%Y-%m-%dT%H:%M:%S.%f') AS last_update, arg_max(CASE WHEN event_id % 2 = 0 THEN 'running' ELSE 'paused' END, ts) AS status,
+arg_max(n, ts) AS videos_processed, arg_max((event_id % (50 * n))::INT, ts) AS images_created, 50 AS target FROM d GROUP BY 1"""
+
+
+def lines(spark, sf):
+    rows = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("category"), F.col("l_orderkey").alias("video_id"))
+    return replayed(spark, rows, "video_id")
+
+
+def x2(spark, sf):
+    stream, checkpoint = lines(spark, sf)
+    return streams.settled(streams.stream_category_counts(stream), ["category"], checkpoint=checkpoint)
+
+
+def events_by_time(spark, sf):
+    e = table(spark, sf, "events")
+    return e.select(views.run_of().alias("run_id"), "event_id", "value", F.col("ts").cast("timestamp").alias("wall_time"))
 
 
 def x3(spark, sf):
     """A step is an hour, reported by every event in it; so a watermark of two hours suffices."""
-    wall = F.col("ts").cast("timestamp")
-    e = events(spark, sf, "ts").select(views.run_of().alias("run_id"), F.floor(F.unix_seconds(wall) / 3600).alias("step"), wall.alias("wall_time"))
-    return streams.settled(streams.stream_once_per_step(e, "2 hours"), mode="append").select("run_id", "step")
+    stream, checkpoint = replayed(spark, events_by_time(spark, sf), "wall_time")
+    steps = stream.select("run_id", F.floor(F.unix_seconds("wall_time") / 3600).alias("step"), "wall_time")
+    return streams.settled(streams.stream_once_per_step(steps, "2 hours"), mode="append", checkpoint=checkpoint).select("run_id", "step")
 
 
-def steps(spark, sf):
-    return events(spark, sf).select(views.run_of().alias("run_id"), F.col("event_id").alias("step"), (F.col("value") / 10000).alias("loss"), (F.pmod("event_id", F.lit(97)) / 100.0).alias("quality"))
+def plateaus(spark, sf, changes):
+    """Events arrive up to an hour after their time, out of order, also from one micro-batch to the next."""
+    e = events_by_time(spark, sf).withColumn("arrival", F.col("wall_time") + F.make_dt_interval(secs=F.pmod(F.xxhash64("event_id"), F.lit(3600)).cast("decimal(18,6)")))
+    stream, checkpoint = replayed(spark, e, "arrival", "wall_time")
+    steps = stream.select("run_id", F.col("event_id").alias("step"), (F.col("value") / 10000).alias("loss"), (F.pmod("event_id", F.lit(97)) / 100.0).alias("quality"), "wall_time")
+    return streams.stream_plateau(steps, 25, "2 hours", changes), checkpoint
 
 
 def x4(spark, sf):
-    out = streams.settled(streams.stream_plateau(steps(spark, sf), 25))
-    return out.select("run_id", "step", "state", "counter")
+    out, checkpoint = plateaus(spark, sf, True)
+    return streams.settled(out, mode="append", checkpoint=checkpoint).select("run_id", "step", "state", "counter")
 
 
 X4_METRICS = f"metrics AS (SELECT {views.RUN} AS run_id, row_number() OVER (PARTITION BY {views.RUN} ORDER BY event_id) - 1 AS step, value / 10000 AS value, event_id FROM events)"
 X4 = f"WITH RECURSIVE {X4_METRICS}, {M5} SELECT run_id, event_id AS step, CASE WHEN now THEN 'plateau' ELSE 'progress' END AS state, counter FROM (SELECT *, counter >= 25 AS now, coalesce(lag(counter >= 25) OVER (PARTITION BY run_id ORDER BY step), false) AS was FROM f) JOIN metrics USING (run_id, step) WHERE now <> was"
-X5 = f"""WITH RECURSIVE e AS MATERIALIZED (SELECT {views.RUN} AS run_id, event_id FROM events), a AS (SELECT run_id, min(event_id) AS step FROM e GROUP BY 1 UNION ALL SELECT a.run_id, (SELECT min(event_id) FROM e WHERE e.run_id = a.run_id AND e.event_id > a.step + 1000) AS step FROM a WHERE a.step IS NOT NULL) SELECT * FROM a WHERE step IS NOT NULL"""
+X5 = f"""WITH RECURSIVE {X4_METRICS}, {M5}, p AS MATERIALIZED (SELECT run_id, event_id, counter >= 25 AS plateau FROM f JOIN metrics USING (run_id, step)),
+a AS (SELECT run_id, min(event_id) AS step FROM p WHERE plateau GROUP BY 1 UNION ALL
+  SELECT a.run_id, (SELECT min(p.event_id) FROM p WHERE p.plateau AND p.run_id = a.run_id AND p.event_id > (SELECT min(q.event_id) FROM p q WHERE q.run_id = a.run_id AND q.event_id > a.step + 1000)) AS step FROM a WHERE a.step IS NOT NULL)
+SELECT * FROM a WHERE step IS NOT NULL"""
 
 
 def x5(spark, sf):
-    return streams.settled(streams.stream_rate_limited_alert(steps(spark, sf).select("run_id", "step")))
+    out, checkpoint = plateaus(spark, sf, False)
+    return streams.settled(streams.stream_rate_limited_alert(out), mode="append", checkpoint=checkpoint)
 
 
 def configs(spark, sf):
+    """Accepted changes of two parameters by run and step."""
     s = table(spark, sf, "supplier")
     changes = s.select(F.col("s_suppkey").alias("change_id"), F.when(F.col("s_suppkey") % 2 == 0, "max_lr").otherwise("min_lr").alias("param"), (F.abs("s_acctbal") / 1e7).alias("value"))
-    said = registry.validate_params(changes, {}, dims.param_rules(spark))
-    return said.join(s.select(F.col("s_suppkey").alias("change_id"), F.col("s_nationkey").cast("bigint").alias("run_id")), "change_id").withColumnRenamed("change_id", "step")
+    said = registry.validate_params(changes, {}, dims.param_rules(spark)).where("accepted")
+    keys = s.select(F.col("s_suppkey").alias("change_id"), F.col("s_nationkey").cast("bigint").alias("run_id"), (F.col("s_suppkey") * 50).cast("bigint").alias("step"))
+    return said.join(keys, "change_id").select("run_id", "step", "param", "value", F.timestamp_seconds("step").alias("wall_time"))
 
 
 def x6(spark, sf):
-    path = shared_folder(spark, "with-config")
-    rows = events(spark, sf).select((F.pmod("user_id", F.lit(25))).alias("run_id"), "event_id")
-    schema = "run_id bigint, event_id bigint, max_lr double, min_lr double"
-
-    def write(batch, i):
-        found = [c if c in batch.columns else F.lit(None).cast("double").alias(c) for c in ("run_id", "event_id", "max_lr", "min_lr")]
-        batch.select(*found).write.mode("overwrite").parquet(f"{path}/part={i}")
-
-    streams.stream_with_config(rows, lambda s: configs(s, sf), write, shared_folder(spark, "checkpoint")).awaitTermination()
-    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
+    """A step is a second. The changes come as a stream of their own."""
+    rows = table(spark, sf, "events").select(F.pmod("user_id", F.lit(25)).alias("run_id"), F.col("event_id").alias("step"), "event_type", F.timestamp_seconds("event_id").alias("wall_time"))
+    changes, _ = replayed(spark, configs(spark, sf), "wall_time", "wall_time")
+    metrics, checkpoint = replayed(spark, rows, "wall_time", "wall_time")
+    out = streams.settled(streams.stream_with_config(metrics, changes, "10 minutes"), mode="append", checkpoint=checkpoint)
+    return out.select("run_id", F.col("step").alias("event_id"), "event_type", *[F.try_element_at("config", F.lit(p)).alias(p) for p in ("max_lr", "min_lr")])
 
 
-X6 = """WITH c AS (SELECT s_nationkey AS run_id, CASE WHEN s_suppkey % 2 = 0 THEN 'max_lr' ELSE 'min_lr' END AS param, s_suppkey AS step, abs(s_acctbal) / 1e7 AS value FROM supplier),
-a AS (SELECT run_id, arg_max(value, step) FILTER (param = 'max_lr') AS max_lr, arg_max(value, step) FILTER (param = 'min_lr') AS min_lr FROM c WHERE CASE param WHEN 'max_lr' THEN value BETWEEN 1e-5 AND 1e-3 ELSE value BETWEEN 1e-8 AND 1e-4 END GROUP BY 1)
-SELECT user_id % 25 AS run_id, event_id, max_lr, min_lr FROM events LEFT JOIN a ON a.run_id = user_id % 25"""
+X6 = """WITH c AS (SELECT s_nationkey AS run_id, CASE WHEN s_suppkey % 2 = 0 THEN 'max_lr' ELSE 'min_lr' END AS param, s_suppkey * 50 AS step, abs(s_acctbal) / 1e7 AS value FROM supplier),
+a AS (SELECT * FROM c WHERE CASE param WHEN 'max_lr' THEN value BETWEEN 1e-5 AND 1e-3 ELSE value BETWEEN 1e-8 AND 1e-4 END),
+e AS (SELECT user_id % 25 AS run_id, event_id, event_type FROM events)
+SELECT e.run_id, e.event_id, e.event_type, x.value AS max_lr, n.value AS min_lr
+FROM e ASOF LEFT JOIN (SELECT * FROM a WHERE param = 'max_lr') x ON x.run_id = e.run_id AND e.event_id >= x.step
+ASOF LEFT JOIN (SELECT * FROM a WHERE param = 'min_lr') n ON n.run_id = e.run_id AND e.event_id >= n.step"""
 
 
 def x7(spark, sf):
     path = shared_folder(spark, "new-patches")
-    write = lambda batch, i: batch.write.mode("overwrite").parquet(f"{path}/part={i}")
-    streams.stream_new_patches(lines(spark, sf, 2), write, shared_folder(spark, "checkpoint"), 20_000).awaitTermination()
-    got = spark.read.schema("category string, new_patches bigint, ready boolean").option("recursiveFileLookup", True).parquet(path)
-    return got.groupBy("category").agg(F.sum("new_patches").alias("new_patches"), F.max("ready").alias("ready"))
+    stream, checkpoint = lines(spark, sf)
+    streams.drained(lambda: streams.stream_new_patches(stream, path, checkpoint, 20_000), spark)
+    got = spark.read.schema("category string, new_patches bigint, total bigint, ready boolean").option("recursiveFileLookup", True).parquet(path)
+    return got.groupBy("category").agg(F.sum("new_patches").alias("new_patches"), F.max("total").alias("total"), F.max("ready").alias("ready"))
 
 
 def x8(spark, sf):
-    wall = F.col("ts").cast("timestamp").alias("wall_time")
-    e = events(spark, sf, "ts").select(views.run_of().alias("run_id"), F.lit("loss").alias("tag"), F.col("event_id").alias("step"), "value", wall)
-    out = streams.settled(streams.stream_metric_rollup(e, 1000), ["run_id", "tag", "bucket", "since"])
+    stream, checkpoint = replayed(spark, events_by_time(spark, sf), "wall_time")
+    rows = stream.select("run_id", F.lit("loss").alias("tag"), F.col("event_id").alias("step"), "value", "wall_time")
+    out = streams.settled(streams.stream_metric_rollup(rows, 1000), ["run_id", "tag", "bucket", "since"], checkpoint=checkpoint)
     return out.withColumns({"mean": F.round("mean", 6), "since": F.date_format("since", "yyyy-MM-dd")})
 
 
@@ -334,12 +372,12 @@ QUERIES = {
     "s10_metric_table": (s10, sql("SELECT run_id, tag, step, value FROM metrics", "metrics")),
     "s11_export_log_record": (s11, S11),
     "q5_export_history_csv": (q5, sql(f"SELECT {FIELDS}, quality AS layer FROM ({STATISTICS})", "metrics", "stats")),
-    "x1_stream_status": (x1, "SELECT event_type AS category, max(event_id) AS last_update, arg_max(user_id, event_id) AS user_id, arg_max(props, event_id) AS props FROM events GROUP BY 1"),
-    "x2_stream_category_counts": (lambda s, d: streams.settled(streams.stream_category_counts(lines(s, d)), ["category"]), "SELECT l_returnflag AS category, count(*) AS images FROM lineitem GROUP BY 1"),
+    "x1_stream_status": (x1, X1),
+    "x2_stream_category_counts": (x2, "SELECT l_returnflag AS category, count(*) AS images FROM lineitem GROUP BY 1"),
     "x3_stream_once_per_step": (x3, f"SELECT DISTINCT {views.RUN} AS run_id, epoch_us(ts) // 3600000000 AS step FROM events"),
     "x4_stream_plateau": (x4, X4),
     "x5_stream_rate_limited_alert": (x5, X5),
     "x6_stream_with_config": (x6, X6),
-    "x7_stream_new_patches": (x7, "SELECT l_returnflag AS category, count(*) AS new_patches, count(*) >= 20000 AS ready FROM lineitem GROUP BY 1"),
+    "x7_stream_new_patches": (x7, "SELECT l_returnflag AS category, count(*) AS new_patches, count(*) AS total, count(*) >= 20000 AS ready FROM lineitem GROUP BY 1"),
     "x8_stream_metric_rollup": (x8, f"SELECT {views.RUN} AS run_id, 'loss' AS tag, event_id // 1000 * 1000 AS bucket, strftime(ts, '%Y-%m-%d') AS since, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS greatest, arg_max(value, event_id) AS last, count(*) AS n FROM events GROUP BY ALL"),
 }

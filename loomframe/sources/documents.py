@@ -47,6 +47,15 @@ def read_status(spark: SparkSession, path: str, multiline: bool = True) -> dict[
     }
 
 
+def stream_status_documents(spark: SparkSession, path: str, files_per_batch: int, multiline: bool = True) -> DataFrame:
+    """Status documents as they arrive, a row for each category: category, status, last_update and its counts. A broken
+    document ends up in the corrupt-record column and gives no row."""
+    schema = f"{schemas.STATUS}, _corrupt_record string"
+    docs = spark.readStream.schema(schema).option("multiLine", multiline).option("columnNameOfCorruptRecord", "_corrupt_record").option("maxFilesPerTrigger", files_per_batch).json(path)
+    whole = docs.where("_corrupt_record is null")
+    return whole.select(F.explode("category_stats").alias("category", "s"), "status", "last_update").select("category", "status", "last_update", "s.*")
+
+
 def file_step() -> list:
     """Step and run name from a statistics path: ``Statistik_<step>[_name].json``, or a folder ``step=<step>``."""
     path = F.col("_metadata.file_path")

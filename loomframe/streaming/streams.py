@@ -2,18 +2,24 @@
 
 Each function maps a streaming DataFrame to another; ``settled`` runs one over what there is now and gives the last
 state of every key, for tests and for batch use. State lives in RocksDB where it is written by a state machine.
+
+Rules that depend on the order of steps (plateaus, alerts, values in force) hold their rows back until the watermark has
+passed their time, and then take them in step order: rows may arrive in any order within the lateness. Steps must not
+decrease with time inside a run. Rows behind the watermark are dropped by Spark and counted in the query's progress.
 """
 
 from __future__ import annotations
 
+import json
 import sys
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
 from loomframe.operators import folds
@@ -24,32 +30,42 @@ from loomframe.session import shared_folder
 cloudpickle.register_pickle_by_value(folds)
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER, ROCKSDB = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def settled(stream: DataFrame, keys: list[str] | None = None, mode: str = "update", files_per_batch: int | None = None) -> DataFrame:
-    """Run ``stream`` over its available input; all rows it emitted, or with ``keys`` the last row of each key."""
-    spark = stream.sparkSession
-    path = shared_folder(spark, "stream")
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+def drained(start: Callable[[], StreamingQuery], spark: SparkSession) -> StreamingQuery:
+    """Start a query on its default trigger, with RocksDB as its state store, and stop it when its input is used up."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
     try:
-        query = (
-            stream.writeStream.outputMode(mode)
-            .option("checkpointLocation", shared_folder(spark, "checkpoint"))
-            .trigger(availableNow=True)
-            .foreachBatch(lambda batch, i: batch.withColumn("batch", F.lit(i).cast("bigint")).write.mode("overwrite").parquet(f"{path}/part={i}"))
-            .start()
-        )
-        query.awaitTermination()
+        query = start()
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
     finally:
         if before is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+            spark.conf.unset(PROVIDER)
         else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
-    schema = StructType([*stream.schema.fields, StructField("batch", LongType())])
-    spark.createDataFrame([], schema).write.parquet(f"{path}/part=-1")
-    rows = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
+            spark.conf.set(PROVIDER, before)
+    return query
+
+
+def settled(stream: DataFrame, keys: list[str] | None = None, mode: str = "update", checkpoint: str | None = None) -> DataFrame:
+    """Run ``stream`` over its available input; all rows it emitted, or with ``keys`` the last row of each key."""
+    spark = stream.sparkSession
+    path, schema = shared_folder(spark, "stream"), StructType([*stream.schema.fields, StructField("batch", LongType())])
+    batches = []
+
+    def write(batch: DataFrame, i: int) -> None:
+        batch.withColumn("batch", F.lit(i).cast("bigint")).write.mode("overwrite").parquet(f"{path}/part={i}")
+        batches.append(i)
+
+    def start() -> StreamingQuery:
+        return stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint or shared_folder(spark, "checkpoint")).foreachBatch(write).start()
+
+    drained(start, spark)
+    rows = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path) if batches else spark.createDataFrame([], schema)
     if not keys:
         return rows.drop("batch")
     rest = [c for c in stream.columns if c not in keys]
@@ -58,7 +74,7 @@ def settled(stream: DataFrame, keys: list[str] | None = None, mode: str = "updat
 
 
 def stream_status(stream: DataFrame) -> DataFrame:
-    """The newest status by category, as documents (category, last_update, ...) arrive."""
+    """The newest status by category, as rows (category, last_update, ...) of ``documents.stream_status_documents`` arrive."""
     rest = [c for c in stream.columns if c != "category"]
     return stream.groupBy("category").agg(F.max_by(F.struct(*rest), "last_update").alias("s")).select("category", "s.*")
 
@@ -72,95 +88,206 @@ def stream_once_per_step(stream: DataFrame, late: str = "1 hour") -> DataFrame:
     return stream.withWatermark("wall_time", late).dropDuplicatesWithinWatermark(["run_id", "step"])
 
 
-class PlateauState(StatefulProcessor):
-    """A plateau fold for each run; rows of a batch go in step order, rows behind the state are counted as late."""
+class InOrder(StatefulProcessor):
+    """Holds the rows of a run back until the watermark has passed their time, and takes them in step order then.
+
+    Rows wait as (at, step, *values); one timer, at the earliest of them, wakes a run that gets no further rows.
+    """
+
+    values = ""  # of a waiting row, as DDL
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.fold = handle.getValueState("fold", "best_loss double, best_quality double, ema_loss double, ema_quality double, counter double, step bigint, late bigint, plateau boolean")
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", ", ".join(x for x in ("at bigint, step bigint", self.values) if x))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        old = self.fold.get() if self.fold.exists() else None
-        fold, step, late, was = (Plateau(*old[:5]), old[5], old[6], old[7]) if old else (Plateau(), -1, 0, False)
-        out = []
-        ordered = pd.concat(list(rows)).sort_values("step", kind="stable")  # of one run in one micro-batch
-        for at, loss, quality in zip(ordered["step"], ordered["loss"], ordered["quality"], strict=True):
-            if at <= step:
-                late += 1
-                continue
-            step = int(at)
-            fold.see(loss, quality)
-            now = fold.counter >= self.patience()
-            if now != was:
-                out.append((key[0], step, "plateau" if now else "progress", fold.counter, late))
-            was = now
-        self.fold.update((*fold.state(), step, late, was))
-        yield pd.DataFrame(out, columns=["run_id", "step", "state", "counter", "late"])
+    def waiting_row(self, row) -> tuple:
+        """(at, step, *values) of an input row; at is in milliseconds, 0 where the row has no time."""
+        raise NotImplementedError
 
-    def patience(self) -> int:
-        return 250
+    def take(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
+        """What ``rows``, next in step order, give."""
+        raise NotImplementedError
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        for pdf in rows:
+            self.waiting.appendList([self.waiting_row(r) for r in pdf.itertuples(index=False)])
+        yield self.release(key, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        yield self.release(key, timerValues.getCurrentWatermarkInMs())
+
+    def release(self, key: tuple, now: int) -> pd.DataFrame:
+        rows = list(self.waiting.get()) if self.waiting.exists() else []
+        ready, rest = [r for r in rows if r[0] <= now], [r for r in rows if r[0] > now]
+        if ready:
+            self.waiting.clear()
+            if rest:
+                self.waiting.put(rest)
+        due = min((r[0] for r in rest), default=None)
+        for old in list(self.handle.listTimers()):
+            if old != due:
+                self.handle.deleteTimer(old)
+        if due is not None:
+            self.handle.registerTimer(due)
+        return self.take(key, sorted(ready, key=lambda r: r[1]))
 
     def close(self) -> None:
         pass
 
 
-def with_patience(n: int) -> type:
-    return type("PlateauState", (PlateauState,), {"patience": lambda self: n})
+def millis(t) -> int:
+    return 0 if pd.isna(t) else int(t.value // 1_000_000)
 
 
-def stream_plateau(stream: DataFrame, patience: int = 250) -> DataFrame:
-    """Changes of the plateau state over (run_id, step, loss, quality): run_id, step, state, counter, late."""
-    return stream.groupBy("run_id").transformWithStateInPandas(with_patience(patience)(), "run_id string, step bigint, state string, counter double, late bigint", "Update", "None")
+class PlateauState(InOrder):
+    """A plateau fold for each run; rows that repeat a step count once."""
+
+    values = "loss double, quality double"
+
+    def __init__(self, patience: int, changes: bool):
+        self.patience, self.changes = patience, changes
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.fold = handle.getValueState("fold", "best_loss double, best_quality double, ema_loss double, ema_quality double, counter double, step bigint, plateau boolean")
+
+    def waiting_row(self, row) -> tuple:
+        return millis(row.wall_time), int(row.step), float(row.loss), None if pd.isna(row.quality) else float(row.quality)
+
+    def take(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
+        old = self.fold.get() if self.fold.exists() else None
+        fold, step, was = (Plateau(*old[:5]), old[5], old[6]) if old else (Plateau(), -1, False)
+        out = []
+        for at, now, loss, quality in rows:
+            if now <= step:
+                continue
+            step = now
+            fold.see(loss, quality)
+            plateau = fold.counter >= self.patience
+            if plateau != was or not self.changes:
+                out.append((key[0], step, pd.Timestamp(at, unit="ms"), "plateau" if plateau else "progress", fold.counter))
+            was = plateau
+        if rows:
+            self.fold.update((*fold.state(), step, was))
+        return pd.DataFrame(out, columns=["run_id", "step", "wall_time", "state", "counter"])
+
+
+def stream_plateau(stream: DataFrame, patience: int = 250, late: str = "1 hour", changes: bool = True) -> DataFrame:
+    """The plateau state over (run_id, step, loss, quality, wall_time): run_id, step, wall_time, state, counter; of the
+    steps where it changes, or of all."""
+    out = "run_id string, step bigint, wall_time timestamp, state string, counter double"
+    runs = stream.select("run_id", "step", F.col("loss").cast("double").alias("loss"), F.col("quality").cast("double").alias("quality"), "wall_time").withWatermark("wall_time", late).groupBy("run_id")
+    return runs.transformWithStateInPandas(PlateauState(patience, changes), out, "Append", "EventTime", eventTimeColumnName="wall_time")
 
 
 class AlertState(StatefulProcessor):
-    """Remembers the step of the last alert."""
+    """Whether an alert may go off, and the step of the last. The rows of a batch come after those of all batches before."""
+
+    def __init__(self, gap: int):
+        self.gap = gap
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "step bigint")
+        self.last = handle.getValueState("last", "step bigint, armed boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        last = self.last.get()[0] if self.last.exists() else None
+        last, armed = self.last.get() if self.last.exists() else (0, True)
         out = []
-        for step in pd.concat(list(rows)).sort_values("step", kind="stable")["step"]:
-            if last is None or step - last > self.gap():
-                last = int(step)
+        ordered = pd.concat(list(rows)).sort_values("step", kind="stable")  # what one batch released of a run
+        for step, state in zip(ordered["step"], ordered["state"], strict=True):
+            if armed and state == "plateau":
+                last, armed = int(step), False
                 out.append((key[0], last))
-        if last is not None:
-            self.last.update((last,))
+            elif step - last > self.gap:
+                armed = True
+        self.last.update((last, armed))
         yield pd.DataFrame(out, columns=["run_id", "step"])
 
-    def gap(self) -> int:
-        return 1000
-
     def close(self) -> None:
         pass
 
 
-def stream_rate_limited_alert(stream: DataFrame, gap: int = 1000) -> DataFrame:
-    """Alerts of steps on a plateau (run_id, step), each more than ``gap`` steps after the one before."""
-    state = type("AlertState", (AlertState,), {"gap": lambda self: gap})
-    return stream.groupBy("run_id").transformWithStateInPandas(state(), "run_id string, step bigint", "Update", "None")
+def stream_rate_limited_alert(plateaus: DataFrame, gap: int = 1000) -> DataFrame:
+    """Alerts (run_id, step) over every step of ``stream_plateau``: on the first step of a plateau that finds the alert
+    armed; the first step more than ``gap`` after an alert arms it again, for the steps after it."""
+    return plateaus.groupBy("run_id").transformWithStateInPandas(AlertState(gap), "run_id string, step bigint", "Append", "None")
 
 
-def stream_with_config(stream: DataFrame, configs: Callable[[SparkSession], DataFrame], write: Callable[[DataFrame, int], None], checkpoint: str):
-    """Start a query whose batches are joined with the configuration table, read anew for each batch: the latest
-    accepted value of each parameter of the run (run_id, param, step, value, accepted)."""
+class ConfigState(InOrder):
+    """The versions of every parameter by step, and the rows that wait for theirs."""
 
-    def batch(rows: DataFrame, i: int) -> None:
-        now = configs(rows.sparkSession).where("accepted").groupBy("run_id").pivot("param").agg(F.max_by("value", "step"))
-        write(rows.join(now, "run_id", "left"), i)
+    values = "row string"
 
-    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(batch).start()
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.versions = handle.getMapState("versions", "param string, step bigint", "value double, at bigint")
 
+    def waiting_row(self, row) -> tuple:
+        return millis(row.wall_time), int(row.step), row.row
 
-def stream_new_patches(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, ready_at: int = 1):
-    """Start a query that writes for each batch the new patches by category, and whether they suffice."""
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        for pdf in rows:
+            for r in pdf[pdf["param"].notna()].itertuples(index=False):
+                self.versions.updateValue((r.param, int(r.step)), (float(r.value), millis(r.wall_time)))
+            waiting = [self.waiting_row(r) for r in pdf[pdf["param"].isna()].itertuples(index=False)]
+            if waiting:
+                self.waiting.appendList(waiting)
+        yield self.release(key, timerValues.getCurrentWatermarkInMs())
+
+    def release(self, key: tuple, now: int) -> pd.DataFrame:
+        out = super().release(key, now)
+        for param, versions in self.known().items():  # of those that the watermark has passed, only the newest is still asked for
+            passed = [step for step, _, at in versions if at <= now]
+            for step in passed[:-1]:
+                self.versions.removeKey((param, step))
+        return out
+
+    def known(self) -> dict[str, list[tuple]]:
+        """(step, value, at) by parameter, in step order."""
+        found: dict[str, list[tuple]] = {}
+        for (param, step), (value, at) in self.versions.iterator() if self.versions.exists() else ():
+            found.setdefault(param, []).append((step, value, at))
+        return {param: sorted(v) for param, v in found.items()}
+
+    def take(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
+        known = self.known() if rows else {}
+        steps = {param: [v[0] for v in versions] for param, versions in known.items()}
+        out = []
+        for _, step, row in rows:
+            places = {param: bisect_right(of, step) for param, of in steps.items()}
+            config = {param: known[param][k - 1][1] for param, k in places.items() if k}
+            out.append((key[0], step, row, json.dumps(config)))
+        return pd.DataFrame(out, columns=["run_id", "step", "row", "config"])
+
+
+def stream_with_config(metrics: DataFrame, configs: DataFrame, late: str = "1 hour") -> DataFrame:
+    """``metrics`` (run_id, step, wall_time, ...), a stream, with ``config``: of each parameter the value in force at the
+    row's step, after the stream ``configs`` (run_id, step, param, value, wall_time) of accepted changes. Both are one
+    stream of changes and questions by run; a row waits until the watermark has passed its time, so a change counts
+    whichever of the two comes first."""
+    kept = StructType([f for f in metrics.schema if f.name not in ("run_id", "step")])
+    run = F.col("run_id").cast("string").alias("run_id")
+    asked = metrics.select(run, "step", "wall_time", F.to_json(F.struct(*kept.names)).alias("row"), F.lit(None).cast("string").alias("param"), F.lit(None).cast("double").alias("value"))
+    said = configs.where("param is not null and value is not null").select(run, F.col("step").cast("bigint").alias("step"), "wall_time", F.lit(None).cast("string").alias("row"), "param", F.col("value").cast("double").alias("value"))
+    runs = asked.unionByName(said).withWatermark("wall_time", late).groupBy("run_id")
+    out = runs.transformWithStateInPandas(ConfigState(), "run_id string, step bigint, row string, config string", "Append", "EventTime")
+    row = F.from_json("row", kept, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
+    return out.select(F.col("run_id").cast(metrics.schema["run_id"].dataType).alias("run_id"), "step", row.alias("r"), F.from_json("config", "map<string,double>").alias("config")).select("run_id", "step", "r.*", "config")
+
+
+def stream_new_patches(stream: DataFrame, path: str, checkpoint: str, ready_at: int = 1) -> StreamingQuery:
+    """Start a query that writes for each batch i a table ``path``/batch=i (category, new_patches, total, ready): the
+    patches new since the batch before, all so far, and whether they suffice. A batch that runs again says the same."""
+    schema = "category string, new_patches bigint, total bigint, ready boolean"
 
     def batch(rows: DataFrame, i: int) -> None:
-        counts = rows.groupBy("category").agg(F.count("*").alias("new_patches"))
-        write(counts.withColumn("ready", F.col("new_patches") >= ready_at), i)
-
-    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(batch).start()
+        now = rows.groupBy("category").agg(F.count("*").alias("new_patches")).withColumn("old", F.lit(0).cast("bigint"))
+        if i:
+            before = rows.sparkSession.read.schema(schema).parquet(f"{path}/batch={i - 1}")
+            now = now.unionByName(before.select("category", F.lit(0).cast("bigint").alias("new_patches"), F.col("total").alias("old")))
+        counts = now.groupBy("category").agg(F.sum("new_patches").alias("new_patches"), F.sum(F.col("new_patches") + F.col("old")).alias("total"))
+        counts.withColumn("ready", F.col("total") >= ready_at).write.mode("overwrite").parquet(f"{path}/batch={i}")
+
+    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch).start()
 
 
 def stream_metric_rollup(stream: DataFrame, bucket: int = 100, every: str = "1 day", late: str = "1 hour") -> DataFrame:
