@@ -319,18 +319,23 @@ def x5(spark, sf):
     return streams.settled(streams.stream_rate_limited_alert(out), mode="append", checkpoint=checkpoint)
 
 
+def second(step):
+    """The time of a step. The first is not at the epoch, where watermarks begin."""
+    return F.timestamp_seconds(step + 86400)
+
+
 def configs(spark, sf):
     """Accepted changes of two parameters by run and step."""
     s = table(spark, sf, "supplier")
     changes = s.select(F.col("s_suppkey").alias("change_id"), F.when(F.col("s_suppkey") % 2 == 0, "max_lr").otherwise("min_lr").alias("param"), (F.abs("s_acctbal") / 1e7).alias("value"))
     said = registry.validate_params(changes, {}, dims.param_rules(spark)).where("accepted")
     keys = s.select(F.col("s_suppkey").alias("change_id"), F.col("s_nationkey").cast("bigint").alias("run_id"), (F.col("s_suppkey") * 50).cast("bigint").alias("step"))
-    return said.join(keys, "change_id").select("run_id", "step", "param", "value", F.timestamp_seconds("step").alias("wall_time"))
+    return said.join(keys, "change_id").select("run_id", "step", "param", "value", second(F.col("step")).alias("wall_time"))
 
 
 def x6(spark, sf):
     """A step is a second. The changes come as a stream of their own."""
-    rows = table(spark, sf, "events").select(F.pmod("user_id", F.lit(25)).alias("run_id"), F.col("event_id").alias("step"), "event_type", F.timestamp_seconds("event_id").alias("wall_time"))
+    rows = table(spark, sf, "events").select(F.pmod("user_id", F.lit(25)).alias("run_id"), F.col("event_id").alias("step"), "event_type", second(F.col("event_id")).alias("wall_time"))
     changes, _ = replayed(spark, configs(spark, sf), "wall_time", "wall_time")
     metrics, checkpoint = replayed(spark, rows, "wall_time", "wall_time")
     out = streams.settled(streams.stream_with_config(metrics, changes, "10 minutes"), mode="append", checkpoint=checkpoint)

@@ -5,7 +5,8 @@ state of every key, for tests and for batch use. State lives in RocksDB where it
 
 Rules that depend on the order of steps (plateaus, alerts, values in force) hold their rows back until the watermark has
 passed their time, and then take them in step order: rows may arrive in any order within the lateness. Steps must not
-decrease with time inside a run. Rows behind the watermark are dropped by Spark and counted in the query's progress.
+decrease with time inside a run. Rows behind the watermark (it begins at the epoch) are dropped by Spark and counted in
+the query's progress.
 """
 
 from __future__ import annotations
@@ -235,26 +236,23 @@ class ConfigState(InOrder):
 
     def release(self, key: tuple, now: int) -> pd.DataFrame:
         out = super().release(key, now)
-        for param, versions in self.known().items():  # of those that the watermark has passed, only the newest is still asked for
+        for param, versions in self.known.items():  # of those that the watermark has passed, only the newest is still asked for
             passed = [step for step, _, at in versions if at <= now]
             for step in passed[:-1]:
                 self.versions.removeKey((param, step))
         return out
 
-    def known(self) -> dict[str, list[tuple]]:
-        """(step, value, at) by parameter, in step order."""
-        found: dict[str, list[tuple]] = {}
-        for (param, step), (value, at) in self.versions.iterator() if self.versions.exists() else ():
-            found.setdefault(param, []).append((step, value, at))
-        return {param: sorted(v) for param, v in found.items()}
-
     def take(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
-        known = self.known() if rows else {}
-        steps = {param: [v[0] for v in versions] for param, versions in known.items()}
+        self.known = {}  # (step, value, at) by parameter, in step order
+        for (param, step), (value, at) in self.versions.iterator() if rows else ():
+            self.known.setdefault(param, []).append((step, value, at))
+        for versions in self.known.values():
+            versions.sort()
+        steps = {param: [v[0] for v in versions] for param, versions in self.known.items()}
         out = []
         for _, step, row in rows:
             places = {param: bisect_right(of, step) for param, of in steps.items()}
-            config = {param: known[param][k - 1][1] for param, k in places.items() if k}
+            config = {param: self.known[param][k - 1][1] for param, k in places.items() if k}
             out.append((key[0], step, row, json.dumps(config)))
         return pd.DataFrame(out, columns=["run_id", "step", "row", "config"])
 
@@ -266,9 +264,9 @@ def stream_with_config(metrics: DataFrame, configs: DataFrame, late: str = "1 ho
     whichever of the two comes first."""
     kept = StructType([f for f in metrics.schema if f.name not in ("run_id", "step")])
     run = F.col("run_id").cast("string").alias("run_id")
-    asked = metrics.select(run, "step", "wall_time", F.to_json(F.struct(*kept.names)).alias("row"), F.lit(None).cast("string").alias("param"), F.lit(None).cast("double").alias("value"))
-    said = configs.where("param is not null and value is not null").select(run, F.col("step").cast("bigint").alias("step"), "wall_time", F.lit(None).cast("string").alias("row"), "param", F.col("value").cast("double").alias("value"))
-    runs = asked.unionByName(said).withWatermark("wall_time", late).groupBy("run_id")
+    asked = metrics.select(run, "step", "wall_time", F.to_json(F.struct(*kept.names)).alias("row"), F.lit(None).cast("string").alias("param"), F.lit(None).cast("double").alias("value")).withWatermark("wall_time", late)
+    said = configs.where("param is not null and value is not null").select(run, F.col("step").cast("bigint").alias("step"), "wall_time", F.lit(None).cast("string").alias("row"), "param", F.col("value").cast("double").alias("value")).withWatermark("wall_time", late)
+    runs = asked.unionByName(said).groupBy("run_id")  # the watermark is that of the slower of the two
     out = runs.transformWithStateInPandas(ConfigState(), "run_id string, step bigint, row string, config string", "Append", "EventTime")
     row = F.from_json("row", kept, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
     return out.select(F.col("run_id").cast(metrics.schema["run_id"].dataType).alias("run_id"), "step", row.alias("r"), F.from_json("config", "map<string,double>").alias("config")).select("run_id", "step", "r.*", "config")
