@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from loomframe.session import shared_folder
 
 
-def _ranges(df: DataFrame, order: tuple[Column | str, ...]) -> tuple[DataFrame, str]:
-    """``df`` range-partitioned and stored, with the name of the column that tells the ranges apart, in order."""
+def ranges(df: DataFrame, order: tuple[Column | str, ...], n: int | None = None) -> tuple[DataFrame, str]:
+    """``df`` range-partitioned (``n``: into so many, else by size) and stored, with the name of the column that tells the
+    ranges apart, in order."""
     by = "p" + uuid.uuid4().hex
-    parts = df.repartitionByRange(*order).withColumn(by, F.spark_partition_id())
+    parts = df.repartitionByRange(*([n] if n else []), *order).withColumn(by, F.spark_partition_id())
     path = shared_folder(df.sparkSession, "ranges")
     parts.write.parquet(path)
     return df.sparkSession.read.schema(parts.schema).parquet(path), by
@@ -21,7 +22,7 @@ def _ranges(df: DataFrame, order: tuple[Column | str, ...]) -> tuple[DataFrame,
 
 def numbered(df: DataFrame, *order: Column | str) -> DataFrame:
     """``df`` with ``ordinal``, 0, 1, ... in the given order."""
-    parts, by = _ranges(df, order)
+    parts, by = ranges(df, order)
     counts = parts.groupBy(by).count()
     before = counts.select(F.col(by), (F.sum("count").over(Window.orderBy(by)) - F.col("count")).alias("ordinal_0"))  # a row for each range
     inside = F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1
@@ -30,7 +31,7 @@ def numbered(df: DataFrame, *order: Column | str) -> DataFrame:
 
 def running_sum(df: DataFrame, value: str, key: str, order: str, name: str) -> DataFrame:
     """``df`` with ``name``: the sum of ``value`` over the rows of the same ``key`` before this one in the order."""
-    parts, by = _ranges(df, (key, order))
+    parts, by = ranges(df, (key, order))
     sums = parts.groupBy(key, by).agg(F.sum(value).alias("s"))
     before = sums.select(key, by, (F.sum("s").over(Window.partitionBy(key).orderBy(by)) - F.col("s")).alias(f"{name}_0"))  # a row for each key and range
     inside = F.sum(value).over(Window.partitionBy(key, by).orderBy(order)) - F.col(value)
@@ -39,7 +40,7 @@ def running_sum(df: DataFrame, value: str, key: str, order: str, name: str) -> D
 
 def placed(df: DataFrame, key: str, *order: Column | str) -> DataFrame:
     """``df`` with ``place``: 0, 1, ... in the given order inside each (non-null) ``key``, however many rows that has."""
-    parts, by = _ranges(df, (key, *order))
+    parts, by = ranges(df, (key, *order))
     counts = parts.groupBy(key, by).count()
     before = counts.select(key, by, (F.sum("count").over(Window.partitionBy(key).orderBy(by)) - F.col("count")).alias("place_0"))  # a row for each key and range
     inside = F.row_number().over(Window.partitionBy(key, by).orderBy(*order)) - 1

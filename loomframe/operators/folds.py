@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections import deque
 from dataclasses import astuple, dataclass
+from heapq import heappop, heappush
 
 #: Fixed values. Below each loss level, the share of the best loss that counts as an improvement; above them the last.
 THRESHOLDS = ((0.015, 0.999), (0.020, 0.998), (0.030, 0.997), (0.050, 0.995))
@@ -83,3 +85,66 @@ class RateControl:
                 event = ("divergence", self.rate, new)
                 self.rate, self.best, self.counter, self.resting = new, loss, 0, self.rest
         return event
+
+
+class SlidingQuantile:
+    """The ``q``-quantile, linear between neighbours, of the values among the last ``n`` rows, in log n for each row.
+
+    Two heaps split the values at the quantile: ``low`` ends with the lower neighbour, ``high`` begins with the upper one.
+    A row that leaves, or changes sides, stays in its heap until it comes to the top. Rows without a value take a place
+    among the last ``n`` only; NaN is greater than all.
+    """
+
+    def __init__(self, q: float, n: int):
+        self.q, self.n, self.next = q, n, 0
+        self.rows: deque[int] = deque()
+        self.side: dict[int, bool] = {}  # of rows with a value: whether in ``low``
+        self.low: list[tuple[float, int]] = []
+        self.high: list[tuple[float, int]] = []
+        self.size = {True: 0, False: 0}
+
+    def top(self, low: bool) -> tuple[float, int]:
+        heap = self.low if low else self.high
+        while self.side.get(heap[0][1]) is not low:
+            heappop(heap)
+        return heap[0]
+
+    def put(self, value: float, row: int, low: bool) -> None:
+        heappush(self.low if low else self.high, (-value if low else value, row))
+        self.side[row] = low
+        self.size[low] += 1
+
+    def move(self, low: bool) -> None:
+        """The top of ``low`` (or of ``high``) to the other side."""
+        key, row = self.top(low)
+        heappop(self.low if low else self.high)
+        self.size[low] -= 1
+        self.put(-key if low else key, row, not low)
+
+    def add(self, value: float | None) -> None:
+        if len(self.rows) == self.n:
+            gone = self.side.pop(self.rows.popleft(), None)
+            if gone is not None:
+                self.size[gone] -= 1
+        self.rows.append(self.next)
+        if value is not None:
+            value = math.inf if math.isnan(value) else value
+            self.put(value, self.next, bool(self.size[True]) and value <= -self.top(True)[0])
+        self.next += 1
+        known = self.size[True] + self.size[False]
+        goal = math.floor((known - 1) * self.q) + 1 if known else 0
+        while self.size[True] > goal:
+            self.move(True)
+        while self.size[True] < goal:
+            self.move(False)
+
+    def value(self) -> float | None:
+        known = self.size[True] + self.size[False]
+        if not known:
+            return None
+        at = (known - 1) * self.q
+        lower = -self.top(True)[0]
+        if at == math.floor(at):
+            return lower
+        upper = self.top(False)[0]
+        return lower if lower == upper else (math.floor(at) + 1 - at) * lower + (at - math.floor(at)) * upper

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomframe.functions import columns, dims
+from loomframe.operators.scans import asof
 
 PREVIEW = ("plateau_safety_threshold", "max_lr", "l1_weight_target")
 
@@ -90,11 +91,9 @@ def snapshot_diff(snaps: DataFrame, step1: int, step2: int) -> DataFrame:
 
 def effective_config(steps: DataFrame, snaps: DataFrame) -> DataFrame:
     """For each (run_id, step) the configuration in force: the latest snapshot at or before it."""
-    a = steps.select("run_id", "step", F.lit(1).alias("side"), F.lit(None).cast(snaps.schema["config"].dataType).alias("config"), F.lit(None).cast("bigint").alias("config_step"))
-    b = snaps.select("run_id", "step", F.lit(0).alias("side"), "config", F.col("step").cast("bigint").alias("config_step"))
-    w = Window.partitionBy("run_id").orderBy("step", "side").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("side") == 0, F.struct("config_step", "config")), ignorenulls=True).over(w)
-    return a.unionByName(b).withColumn("l", last).where("side = 1").select("run_id", "step", "l.config_step", "l.config")
+    right = snaps.select("run_id", "step", F.struct(F.col("step").cast("bigint").alias("config_step"), "config").alias("s"))
+    found = asof(steps.select("run_id", "step"), right, ("run_id",), "step", F.col("s"), "l")
+    return found.select("run_id", "step", "l.config_step", "l.config")
 
 
 def config_changes(snaps: DataFrame) -> DataFrame:

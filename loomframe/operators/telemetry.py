@@ -1,22 +1,20 @@
 """Training telemetry over (run_id, tag, step, value): smoothing, trends, plateaus, activity, scores, audits.
 
-Windows run inside one run and tag. Truly sequential rules (exponential means, plateau counters) are folds over one
-series in step order, streamed in batches with a carried state; parallelism is across series.
+Windows run inside one run and tag. Exponential means and merges by step are scans by ranges of a series; truly sequential
+rules (plateau counters) are folds over one series in step order, streamed in batches with a carried state.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
-from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomframe.functions import columns
-from loomframe.operators.folds import Plateau, RateControl
-from loomframe.session import ship
+from loomframe.operators.folds import Plateau, RateControl, SlidingQuantile
+from loomframe.operators.scans import asof, ddl, exponential_mean, in_step_order
 
 SERIES = ("run_id", "tag")
 
@@ -33,45 +31,10 @@ def last_n(n: int, window: Window | None = None) -> Window:
     return (window or series()).rowsBetween(-(n - 1), 0)
 
 
-def in_step_order(rows: DataFrame, keys: tuple[str, ...], schema: str, fold: Callable[[pd.DataFrame, Any], tuple[pd.DataFrame, Any]]) -> DataFrame:
-    """Fold every series of ``rows`` in step order: ``fold`` takes the next rows of a series and its state (None at first)
-    and returns the rows to emit and the state.
-
-    Series are sorted inside partitions and streamed in Arrow batches; only the state is carried, no series is held.
-    """
-    ship(rows.sparkSession)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, state = None, None
-        for pdf in batches:
-            of = list(zip(*(pdf[k] for k in keys), strict=True))
-            cuts = [0, *(i for i in range(1, len(of)) if of[i] != of[i - 1]), len(of)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if a == b:
-                    continue
-                if last != of[a]:
-                    last, state = of[a], None
-                out, state = fold(pdf.iloc[a:b].reset_index(drop=True), state)
-                yield out
-
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "step").mapInPandas(run, schema)
-
-
-def ddl(df: DataFrame, *more: str) -> str:
-    return ", ".join([*(f"{c} {t}" for c, t in df.dtypes), *more])
-
-
 def ema(df: DataFrame, alpha: float = 0.1, start: str = "first") -> DataFrame:
-    """``df`` with ``ema``; it starts from the first value, or with ``start='zero'`` from 0."""
-
-    def fold(pdf: pd.DataFrame, y: float | None) -> tuple[pd.DataFrame, float]:
-        y = 0.0 if y is None and start == "zero" else y
-        before = [] if y is None else [y]
-        means = pd.Series([*before, *pdf["value"]]).ewm(alpha=alpha, adjust=False).mean()[len(before) :]
-        return pdf.assign(ema=means.to_numpy()), float(means.iloc[-1])
-
-    rows = df.select(*SERIES, "step", "value")
-    return in_step_order(rows, SERIES, ddl(rows, "ema double"), fold)
+    """``df`` with ``ema``; it starts from the first value, or with ``start='zero'`` from 0. A series of any length is
+    scanned by ranges of its steps."""
+    return exponential_mean(df.select(*SERIES, "step", "value"), SERIES, alpha, 0.0 if start == "zero" else None)
 
 
 def rolling_mean(df: DataFrame, n: int) -> DataFrame:
@@ -132,17 +95,20 @@ def plateau_divergence_events(df: DataFrame, lr0: float) -> DataFrame:
 
 def adaptive_clip(df: DataFrame, start: float = 1.5, n: int = 500, warm: int = 100) -> DataFrame:
     """``df`` with ``p95`` of the last ``n`` values (from ``warm`` values on) and ``clip``, its running mean."""
-    place = F.row_number().over(series())
-    rows = df.select(*SERIES, "step", "value", F.when(place >= warm, F.percentile("value", 0.95).over(last_n(n))).alias("p95"))
+    rows = df.select(*SERIES, "step", "value")
 
-    def fold(pdf: pd.DataFrame, clip: float | None) -> tuple[pd.DataFrame, float]:
-        clip, out = start if clip is None else clip, []
-        for p in pdf["p95"]:
-            clip = clip if p is None or math.isnan(p) else 0.9 * clip + 0.1 * p
-            out.append(clip)
-        return pdf.assign(clip=out), clip
+    def fold(pdf: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        last, clip = state or (SlidingQuantile(0.95, n), start)
+        p95, clips = [], []
+        for value in pdf["value"]:
+            last.add(None if value is None or math.isnan(value) else value)
+            p = last.value() if last.next >= warm else None
+            clip = clip if p is None else 0.9 * clip + 0.1 * p
+            p95.append(p)
+            clips.append(clip)
+        return pdf.assign(p95=pd.Series(p95, dtype=float), clip=clips), (last, clip)
 
-    return in_step_order(rows, SERIES, ddl(rows, "clip double"), fold)
+    return in_step_order(rows, SERIES, ddl(rows, "p95 double", "clip double"), fold)
 
 
 def peak_layer(activity: DataFrame) -> DataFrame:
@@ -310,14 +276,11 @@ def cooldown_flags(df: DataFrame, n: int = 80) -> DataFrame:
 
 
 def delayed_snapshot(val: DataFrame, metrics: DataFrame, delay: int = 2) -> DataFrame:
-    """Each validation (run_id, step) with the first metric row at least ``delay`` steps later: a union and a window
-    instead of an inequality join."""
-    left = val.select("run_id", F.col("step").alias("val_step"), (F.col("step") + delay).alias("at"), F.lit(None).cast("bigint").alias("metric_step"), F.lit(None).cast("double").alias("value"), F.lit(0).alias("side"))
-    right = metrics.select("run_id", F.lit(None).cast("bigint").alias("val_step"), F.col("step").alias("at"), F.col("step").alias("metric_step"), "value", F.lit(1).alias("side"))
-    ahead = Window.partitionBy("run_id").orderBy("at", "side").rowsBetween(0, Window.unboundedFollowing)
-    first = F.first(F.when(F.col("side") == 1, F.struct("metric_step", "value")), ignorenulls=True).over(ahead)
-    rows = left.unionByName(right).withColumn("f", first).where("side = 0")
-    return rows.select("run_id", "val_step", "f.metric_step", "f.value")
+    """Each validation (run_id, step) with the first metric row at least ``delay`` steps later (of several the least value)."""
+    left = val.select("run_id", F.col("step").alias("val_step"), (F.col("step") + delay).alias("at"))
+    right = metrics.select("run_id", F.col("step").alias("at"), "step", "value")
+    found = asof(left, right, ("run_id",), "at", F.struct(F.col("step").alias("metric_step"), "value"), "f", forward=True, tie=-F.col("value"))
+    return found.select("run_id", "val_step", "f.metric_step", "f.value")
 
 
 def latest_state(metrics: DataFrame) -> DataFrame:
@@ -327,12 +290,10 @@ def latest_state(metrics: DataFrame) -> DataFrame:
 
 
 def val_train_ratio(val: DataFrame, train: DataFrame) -> DataFrame:
-    """Each validation loss over the latest training loss at or before its step."""
-    a = val.select("run_id", "step", F.col("value").alias("val"), F.lit(None).cast("double").alias("train"), F.lit(1).alias("side"))
-    b = train.select("run_id", "step", F.lit(None).cast("double").alias("val"), F.col("value").alias("train"), F.lit(0).alias("side"))
-    w = Window.partitionBy("run_id").orderBy("step", "side").rowsBetween(Window.unboundedPreceding, 0)
-    rows = a.unionByName(b).withColumn("train", F.last("train", ignorenulls=True).over(w)).where("side = 1")
-    return rows.select("run_id", "step", "val", "train", F.try_divide("val", "train").alias("ratio"))
+    """Each validation loss over the latest training loss at or before its step (of several at that step the greatest)."""
+    left = val.select("run_id", "step", F.col("value").alias("val"))
+    found = asof(left, train.where("value is not null"), ("run_id",), "step", F.col("value"), "train", tie=F.col("value"))
+    return found.withColumn("ratio", F.try_divide("val", "train"))
 
 
 def dead_runs(files: DataFrame, metrics: DataFrame, least_mb: float = 0.5, most_mb: float = 20.0, points: int = 15) -> DataFrame:
