@@ -70,9 +70,9 @@ def output_layout(categories: DataFrame, base: str, overrides: dict[str, str] |
     paths = resolve_category_path(categories.select("category").distinct(), overrides)
     kinds = F.array(*[F.struct(F.lit(n).alias("frames"), F.lit(k).alias("kind")) for n in (5, 7) for k in ("gt", "lr", "val_gt", "val_lr")])
     rows = paths.crossJoin(F.broadcast(dims.formats(spark).select("format", "output_dir"))).select("*", F.explode(kinds).alias("k"))
-    split = F.when(F.col("k.kind").startswith("val"), "Val")
-    leaf = F.when(F.col("k.kind").endswith("gt"), "GT").when(F.col("k.frames") == 7, "LR_7frames").otherwise("LR")
-    return rows.select("category", F.concat_ws("/", F.lit(base), "base_path", "output_dir", split, leaf).alias("directory")).distinct()
+    folder = F.when(F.col("k.kind").startswith("val"), "Val").otherwise(F.col("output_dir"))
+    leaf = F.when(F.col("k.kind").endswith("gt"), "GT").when((F.col("k.frames") == 7) & (F.col("k.kind") == "lr"), "LR_7frames").otherwise("LR")
+    return rows.select("category", F.concat_ws("/", F.lit(base), "base_path", folder, leaf).alias("directory")).distinct()
 
 
 def probe_defaults(df: DataFrame) -> DataFrame:

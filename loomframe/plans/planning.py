@@ -251,8 +251,8 @@ SELECT p_partkey, CASE WHEN s AND t THEN 0.3 WHEN s OR t THEN NULL ELSE 1.0 END:
     "c7_resolve_category_path": (c7, """WITH c AS (SELECT r_name AS category FROM region UNION ALL VALUES ('space'), ('toon'), ('en'))
 SELECT category, CASE category WHEN 'en' THEN 'English/Own/Learn' WHEN 'space' THEN 'Space/SpaceModel/Learn' WHEN 'toon' THEN 'Toon/ToonModel/Learn' ELSE upper(category[1]) || lower(category[2:]) || '/' || upper(category[1]) || lower(category[2:]) || 'Model/Learn' END AS base_path FROM c"""),
     "c8_output_layout": (c8, f"""WITH c AS (SELECT DISTINCT lang AS category, CASE lang WHEN 'en' THEN 'English/Own/Learn' ELSE upper(lang[1]) || lower(lang[2:]) || '/' || upper(lang[1]) || lower(lang[2:]) || 'Model/Learn' END AS p FROM documents),
-f(output_dir) AS (VALUES {VALUES([(r[5],) for r in dims.FORMATS])}), k(n, split, gt) AS (VALUES (5, '', true), (5, '', false), (5, 'Val/', true), (5, 'Val/', false), (7, '', true), (7, '', false), (7, 'Val/', true), (7, 'Val/', false))
-SELECT DISTINCT category, '/data/' || p || '/' || output_dir || '/' || split || CASE WHEN gt THEN 'GT' WHEN n = 7 THEN 'LR_7frames' ELSE 'LR' END AS directory FROM c, f, k"""),
+f(output_dir) AS (VALUES {VALUES([(r[5],) for r in dims.FORMATS])})
+SELECT DISTINCT category, unnest(['/data/' || p || '/' || output_dir || '/GT', '/data/' || p || '/' || output_dir || '/LR', '/data/' || p || '/' || output_dir || '/LR_7frames', '/data/' || p || '/Val/GT', '/data/' || p || '/Val/LR']) AS directory FROM c, f"""),
     "c9_first_match_weight": (lambda s, d: titles(s, d).select("p_partkey", columns.first_match_weight(F.col("p_name"), RULES).alias("weight")), "SELECT p_partkey, CASE WHEN contains(lower(p_name), 'widget') THEN 1.0 WHEN contains(lower(p_name), 'bolt') THEN 0.5 WHEN contains(lower(p_name), 'red') THEN 0.25 ELSE 0.1 END::DOUBLE AS weight FROM part"),
     "c10_probe_defaults": (c10, """WITH t AS (SELECT p_partkey, CASE WHEN p_size % 7 = 0 OR p_size % 5 = 0 THEN NULL ELSE p_size * 1000 / 1001.0::DOUBLE END AS fps, CASE WHEN p_size % 11 = 0 THEN NULL ELSE p_retailprice END AS seconds FROM part)
 SELECT p_partkey, round(CASE WHEN fps IS NULL OR seconds IS NULL THEN 23.976::DOUBLE ELSE fps END, 9) AS fps, CASE WHEN fps IS NULL OR seconds IS NULL THEN 3600.0::DOUBLE ELSE seconds END AS seconds FROM t"""),
