@@ -176,9 +176,12 @@ WINDOW = "w AS (SELECT a.video_id, a.frame_no AS frame_idx, (a.frame_no % 3)::IN
 SHRUNK = "AND (i // 8 - y) % 3 = 1 AND (i % 8 - x) % 3 = 1"
 
 
+def stack_of(n: int) -> str:
+    return " || ".join(CROP.format(y="y", x="x", more=SHRUNK, px=f"f[{k + 1}]") for k in range((7 - n) // 2, (7 - n) // 2 + n))
+
+
 def stacked(n: int) -> str:
-    parts = " || ".join(CROP.format(y="y", x="x", more=SHRUNK, px=f"f[{k + 1}]") for k in range((7 - n) // 2, (7 - n) // 2 + n))
-    return sql(f"SELECT video_id, frame_idx, {2 * n} AS height, {parts} AS px FROM w", "frames", recursive=WINDOW)
+    return sql(f"SELECT video_id, frame_idx, {2 * n} AS height, {stack_of(n)} AS px FROM w", "frames", recursive=WINDOW)
 
 
 def i4(spark, sf):

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from loomframe.functions import dims
 from loomframe.operators import history, registry
 from loomframe.plans import views
-from loomframe.plans.monitoring import M5
+from loomframe.plans.monitoring import CROP, M5, WINDOW, stack_of, whole_windows
 from loomframe.plans.views import sql, table
 from loomframe.session import shared_folder
-from loomframe.sources import documents, replay, tables
+from loomframe.sources import documents, media, replay, tables
 from loomframe.streaming import streams
 
 
@@ -185,6 +185,68 @@ S6 = sql(
 )
 
 
+def below(path, base):
+    """A path as it is below the folder ``base``."""
+    mark = base.rsplit("/", 1)[1] + "/"
+    return F.substring_index(path, mark, -1)
+
+
+#: Suffixes of the listing's files by document; some are no media files, case counts.
+SUFFIXES = (".mkv", ".mp4", ".txt", ".avi", ".MKV", ".mov", ".mkv.part")
+
+
+def s1(spark, sf):
+    """Documents as named files, listed."""
+    path = shared_folder(spark, "media")
+    suffix = F.element_at(F.array(*[F.lit(x) for x in SUFFIXES]), (F.pmod("doc_id", F.lit(len(SUFFIXES))) + 1).cast("int"))
+    name = F.concat("lang", F.lit("/"), F.col("source"), F.lit("/{edition-x} "), F.col("doc_id").cast("string"), suffix)
+    media.write_named(table(spark, sf, "documents").select(name.alias("path"), F.encode("text", "utf-8").alias("content")), path)
+    found = documents.scan_media(spark, path)
+    return found.select(below(F.col("path"), path).alias("path"), "name", below(F.col("folder"), path).alias("folder"), "length")
+
+
+S1 = f"""SELECT lang || '/' || source || '/' || f AS path, f AS name, lang || '/' || source AS folder, length FROM (
+SELECT lang, source, '{{edition-x}} ' || doc_id || {list(SUFFIXES)}[doc_id % {len(SUFFIXES)} + 1] AS f, strlen(text) AS length FROM documents) WHERE regexp_matches(f, '\\.(mkv|mp4|avi|mov)$')"""
+
+
+def s7(spark, sf):
+    """Embeddings as grey PNG files; every thirteenth file is broken."""
+    path = shared_folder(spark, "pictures")
+    e = table(spark, sf, "embeddings")
+    image = F.struct(F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("nChannels"), views.bytes_of(F.col("embedding")).alias("data"))
+    files = e.select(F.concat(F.col("label").cast("string"), F.lit("/"), F.col("vec_id").cast("string"), F.lit(".png")).alias("path"), "vec_id", media.as_png(e, image).alias("png"))
+    content = F.when(F.col("vec_id") % 13 == 0, F.encode(F.lit("no image"), "utf-8")).otherwise(F.col("png"))
+    media.write_named(files.select("path", content.alias("content")), path)
+    got = documents.read_images(spark, path)
+    return got.select(below(F.col("origin"), path).alias("path"), "height", "width", "nChannels", F.lower(F.hex("data")).alias("px"))
+
+
+S7 = """SELECT label || '/' || vec_id || '.png' AS path, CASE WHEN bad THEN -1 ELSE 8 END AS height, CASE WHEN bad THEN -1 ELSE 8 END AS width, CASE WHEN bad THEN -1 ELSE 1 END AS nChannels,
+CASE WHEN bad THEN '' ELSE array_to_string(list_transform(embedding, lambda x: printf('%02x', floor(greatest(0, least(1, x::DOUBLE + 0.5)) * 255)::INT)), '') END AS px
+FROM (SELECT *, vec_id % 13 = 0 AS bad FROM embeddings)"""
+
+
+def s8_files(spark, sf):
+    """The three files of every window, as the image decoder reads them back."""
+    path = shared_folder(spark, "patches")
+    video = F.col("video_id")
+    category = F.when(video % 2 == 0, "space").otherwise("other")
+    form = F.when(F.pmod("frame_idx", F.lit(2)) == 0, "small_540").otherwise("medium_169")
+    windows = whole_windows(spark, sf).select("*", category.alias("category"), form.alias("format"), F.concat(F.lit("V: "), video.cast("string")).alias("name"))
+    media.write_patch_files(windows, path, {"space": "Space/Own"})
+    got = documents.read_images(spark, path)
+    return got.select(below(F.col("origin"), path).alias("path"), "height", "width", F.lower(F.hex("data")).alias("px"))
+
+
+S8_FILES = "p AS (SELECT *, CASE WHEN video_id % 2 = 0 THEN 'Space/Own/' ELSE 'Other/OtherModel/Learn/' END || CASE WHEN frame_idx % 2 = 0 THEN 'Patches' ELSE 'Patches_Medium169' END || '/' AS base, '/patch_V__' || video_id || '_idx' || frame_idx || CASE WHEN frame_idx % 2 = 0 THEN '' ELSE '_med169' END || '.png' AS name FROM w)"
+S8_FILES = sql(
+    f"SELECT base || 'GT' || name AS path, 6 AS height, 6 AS width, {CROP.format(y='y', x='x', more='', px='f[4]')} AS px FROM p"
+    f" UNION ALL SELECT base || 'LR' || name, 10, 2, {stack_of(5)} FROM p UNION ALL SELECT base || 'LR_7frames' || name, 14, 2, {stack_of(7)} FROM p",
+    "frames",
+    recursive=f"{WINDOW}, {S8_FILES}",
+)
+
+
 def s8(spark, sf):
     path = shared_folder(spark, "patches")
     tables.write_patches(views.patches(spark, sf), path)
@@ -366,6 +428,9 @@ def x8(spark, sf):
 
 
 QUERIES = {
+    "s1_scan_media": (s1, S1),
+    "s7_read_images": (s7, S7),
+    "s8_patch_files": (s8_files, S8_FILES),
     "s2_generator_config_videos": (lambda s, d: s2(s, d, "videos").select("name", "path", "priority", F.size("categories").alias("n")), sql("SELECT name, path, priority, len(cats)::INT AS n FROM videos", "videos")),
     "s2_generator_config_formats": (lambda s, d: s2(s, d, "formats").groupBy("category", "format").agg(F.count("*").alias("n"), F.sum("weight").alias("weight")), "SELECT 'space' AS category, f AS format, count(*) AS n, count(*) * CASE f WHEN 'small_540' THEN 0.5 ELSE 0.25 END::DOUBLE AS weight FROM documents, (VALUES ('small_540'), ('large_720')) t(f) GROUP BY f"),
     "s2_generator_config_targets": (lambda s, d: s2(s, d, "targets"), "SELECT 'space' AS category, doc_id AS target FROM documents"),

@@ -108,5 +108,5 @@ def read_training_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_images(spark: SparkSession, path: str, drop_invalid: bool = False) -> DataFrame:
-    """Decoded images (BGR); unreadable files have height -1, or are left out."""
-    return spark.read.format("image").option("dropInvalid", drop_invalid).load(path).select("image.*")
+    """Decoded images (BGR) below a folder; unreadable files have height -1, or are left out."""
+    return spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", drop_invalid).load(path).select("image.*")
