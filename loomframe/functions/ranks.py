@@ -39,9 +39,11 @@ def running_sum(df: DataFrame, value: str, key: str, order: str, name: str) -> D
 
 
 def placed(df: DataFrame, key: str, *order: Column | str) -> DataFrame:
-    """``df`` with ``place``: 0, 1, ... in the given order inside each (non-null) ``key``, however many rows that has."""
+    """``df`` with ``place``: 0, 1, ... in the given order inside each ``key`` (nulls are one), however many rows that has."""
     parts, by = ranges(df, (key, *order))
     counts = parts.groupBy(key, by).count()
-    before = counts.select(key, by, (F.sum("count").over(Window.partitionBy(key).orderBy(by)) - F.col("count")).alias("place_0"))  # a row for each key and range
+    first = F.sum("count").over(Window.partitionBy(key).orderBy(by)) - F.col("count")
+    before = counts.select(F.col(key).alias(f"{by}_key"), F.col(by).alias(f"{by}_of"), first.alias("place_0"))  # a row for each key and range
     inside = F.row_number().over(Window.partitionBy(key, by).orderBy(*order)) - 1
-    return parts.withColumn("place", inside).join(before, [key, by]).withColumn("place", F.col("place") + F.col("place_0")).drop(by, "place_0")
+    met = parts.withColumn("place", inside).join(before, F.col(key).eqNullSafe(F.col(f"{by}_key")) & (F.col(by) == F.col(f"{by}_of")))
+    return met.withColumn("place", F.col("place") + F.col("place_0")).select(*df.columns, "place")

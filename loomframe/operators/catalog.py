@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomframe.functions import columns, dims
 from loomframe.functions.draws import u
+from loomframe.functions.ranks import numbered
 
 
 def categorize(df: DataFrame, name: str, folder: str, keywords: dict[str, list[str]] | None = None) -> DataFrame:
@@ -14,18 +15,12 @@ def categorize(df: DataFrame, name: str, folder: str, keywords: dict[str, list[s
     return df.withColumn("categories", columns.categories(F.col(name), F.col(folder), keywords))
 
 
-def processing_order(df: DataFrame, seed: int, key: str = "video_id", slice_rows: int = 100_000) -> DataFrame:
-    """``df`` with ``priority`` (255 if null) and ``position``: by priority, ties in seeded random order.
-
-    Ranks are taken inside slices of the draw and offset by the counts before them, so no task sorts
-    a whole level: a slice has about ``slice_rows`` rows, however many videos there are.
-    """
-    slices = max(1, df.count() // slice_rows)
-    drawn = df.withColumn("priority", F.coalesce("priority", F.lit(255))).withColumn("draw", u(seed, F.col(key))).withColumn("slice", F.floor(F.col("draw") * slices))
-    counts = drawn.groupBy("priority", "slice").count()  # at most 256 x slices rows
-    before = counts.withColumn("before", F.sum("count").over(Window.orderBy("priority", "slice")) - F.col("count")).drop("count")
-    inside = F.row_number().over(Window.partitionBy("priority", "slice").orderBy("draw", key))
-    return drawn.withColumn("inside", inside).join(F.broadcast(before), ["priority", "slice"]).withColumn("position", F.col("before") + F.col("inside")).drop("before", "inside", "slice", "draw")
+def processing_order(df: DataFrame, seed: int, key: str = "video_id") -> DataFrame:
+    """``df`` with ``priority`` (255 if null) and ``position``: by priority, ties in seeded random order. Ranks are counted
+    inside ranges of the order and offset by the rows before them, so no task sorts a whole level."""
+    drawn = df.withColumn("priority", F.coalesce("priority", F.lit(255))).withColumn("draw", u(seed, F.col(key)))
+    ranked = numbered(drawn, "priority", "draw", key)
+    return ranked.withColumn("position", F.col("ordinal") + 1).drop("draw", "ordinal")
 
 
 def priority_histogram(df: DataFrame, top: int = 10) -> DataFrame:

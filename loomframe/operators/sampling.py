@@ -47,16 +47,28 @@ def first_accepted(candidates: DataFrame, max_attempts: int = 10) -> DataFrame:
     )
 
 
+#: Frames of a video that are dealt out together, with copies of the first ones of the next block.
+BLOCK = 64
+
+
 def frame_window(samples: DataFrame, frames: DataFrame, n: int = 7, min_bytes: int = 10000, size: tuple[int, int] = dims.FRAME) -> DataFrame:
-    """Samples (video_id, frame_idx, start_frame) with their ``n`` frames in order; only whole windows of valid frames.
+    """Samples (video_id, frame_idx, start_frame) with their ``n`` frames in order; only whole windows of valid frames, each
+    of which is there once.
 
-    Keys are exploded and equi-joined, so only wanted frames move.
+    Frames are dealt out by blocks of a video, each with the next block's first ``n`` - 1, and a window slides over them:
+    of all frames a tenth moves twice, however many windows hold it.
     """
-    wanted = samples.select("video_id", "frame_idx", F.explode(F.sequence(F.col("start_frame"), F.col("start_frame") + n - 1)).alias("frame_no"), "start_frame")
+    block = max(BLOCK, n - 1)
+    at = F.floor(F.col("frame_no") / block).cast("bigint")
+    near = F.explode(F.when(F.pmod("frame_no", F.lit(block)) < n - 1, F.array(at - 1, at)).otherwise(F.array(at)))
     valid = frames.where((F.col("bytes") > min_bytes) & (F.col("height") == size[0]) & (F.col("width") == size[1]))
-    met = wanted.join(valid, ["video_id", "frame_no"])
-    rows = met.groupBy("video_id", "frame_idx").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("frame_no", "image"))).alias("w"))
-    return rows.where(F.col("n") == n).select("video_id", "frame_idx", F.col("w.frame_no").alias("frame_nos"), F.col("w.image").alias("images"))
+    held = valid.select("video_id", F.col("frame_no").cast("bigint").alias("frame_no"), near.alias("block"), F.struct("frame_no", "image").alias("frame"))
+    asked = samples.select("video_id", F.col("start_frame").cast("bigint").alias("frame_no"), "frame_idx", F.lit(True).alias("asked"))
+    rows = held.unionByName(asked.withColumn("block", at), allowMissingColumns=True)
+    ahead = Window.partitionBy("video_id", "block").orderBy("frame_no").rangeBetween(0, n - 1)
+    met = rows.withColumn("w", F.collect_list("frame").over(ahead)).where("asked").select("video_id", "frame_idx", F.array_sort("w").alias("w"))
+    out = met.select("video_id", "frame_idx", F.col("w.frame_no").alias("frame_nos"), F.col("w.image").alias("images"))
+    return out.where((F.size("frame_nos") == n) & (F.size(F.array_distinct("frame_nos")) == n))
 
 
 def limits(videos: DataFrame, base: int, val_percent: float) -> DataFrame:
@@ -105,7 +117,7 @@ def choose_format(samples: DataFrame, shares: DataFrame, seed: int, key: tuple[s
     whole = F.sum("weight").over(Window.partitionBy("category"))
     bands = shares.select("category", "format", (F.sum("weight").over(order) / whole).alias("hi"), ((F.sum("weight").over(order) - F.col("weight")) / whole).alias("lo"))
     lists = bands.groupBy("category").agg(F.array_sort(F.collect_list(F.struct("hi", "format"))).alias("bands"))
-    drawn = samples.withColumn("draw", u(seed, *[F.col(k) for k in key])).join(F.broadcast(lists), "category", "left")
+    drawn = samples.withColumn("draw", u(seed, *[F.col(k) for k in key])).join(lists, "category", "left")
     hit = F.filter("bands", lambda b: b["hi"] > F.col("draw"))
     last = F.element_at("bands", -1)["format"]
     return drawn.withColumn("format", F.coalesce(F.get(hit, F.lit(0))["format"], last, F.lit("small_540"))).drop("draw", "bands")

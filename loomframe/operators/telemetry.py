@@ -149,7 +149,7 @@ def weight_shares(df: DataFrame, parts: list[str]) -> DataFrame:
 def value_histogram(df: DataFrame, bins: int = 10) -> DataFrame:
     """Counts of values by tag in ``bins`` equal buckets between the tag's extremes; the greatest value is in the last."""
     ends = df.groupBy("tag").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    rows = df.join(F.broadcast(ends), "tag")
+    rows = df.join(ends, "tag")
     bucket = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(bins - 1), F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins))).otherwise(0)
     return rows.where("value is not null").groupBy("tag", bucket.cast("int").alias("bucket")).agg(F.count("*").alias("n"))
 

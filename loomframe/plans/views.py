@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomframe.functions.ranks import placed
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -58,10 +60,9 @@ def bytes_of(values: Column) -> Column:
 
 def frames(spark: SparkSession, sf: str) -> DataFrame:
     """8 x 8 grey frames: video_id (label), frame_no, image, bytes, height, width."""
-    e = table(spark, sf, "embeddings")
-    no = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    e = placed(table(spark, sf, "embeddings").select("label", "vec_id", "embedding"), "label", "vec_id")
     img = F.struct(F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("nChannels"), bytes_of(F.col("embedding")).alias("data"))
-    return e.select(F.col("label").alias("video_id"), no.alias("frame_no"), img.alias("image"), F.lit(64).alias("bytes"), F.lit(8).alias("height"), F.lit(8).alias("width"))
+    return e.select(F.col("label").alias("video_id"), F.col("place").alias("frame_no"), img.alias("image"), F.lit(64).alias("bytes"), F.lit(8).alias("height"), F.lit(8).alias("width"))
 
 
 def image_pairs(spark: SparkSession, sf: str) -> DataFrame:

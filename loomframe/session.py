@@ -33,8 +33,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``; where that is unset (local tests), under a temporary folder."""
+    """A fresh folder under ``spark.checkpoint.dir``. Where that is unset, one under a temporary folder in local mode; a
+    cluster must name a folder that all its machines share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all machines of {master} share")
         base = _own_folders.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="loomframe-"))
     return f"{base.rstrip('/')}/loomframe/{name}-{uuid.uuid4().hex}"

@@ -97,3 +97,26 @@ def test_places_inside_keys(spark):
     want = [(k, o, i) for k in "ab" for i, o in enumerate(sorted((j * 37) % 500 for j in range(500) if ("a" if j % 3 else "b") == k))]
     assert got == sorted(want)
     assert placed(rows.where("false"), "k", "o").collect() == []
+
+
+def test_windows_of_frames_over_block_edges(spark):
+    from loomframe.operators.sampling import frame_window
+
+    frames = [(v, k, 100 if (v, k) != (1, 70) else 5, 8, 8, f"{v}/{k}") for v in (1, 2) for k in range(200)] + [(3, 10, 100, 8, 8, "dup")] + [(3, k, 100, 8, 8, f"3/{k}") for k in range(10, 17)]
+    frames = spark.createDataFrame(frames, "video_id long, frame_no int, bytes int, height int, width int, image string")
+    samples = [(v, 10 * k, k) for v in (1, 2, 4) for k in range(-3, 200)] + [(2, 7, 5), (3, 1, 10), (1, 3, None)]
+    got = sorted(map(str, frame_window(spark.createDataFrame(samples, "video_id long, frame_idx long, start_frame long"), frames, 7, 10, (8, 8)).collect()))
+    want = [(v, i, list(range(k, k + 7)), [f"{v}/{j}" for j in range(k, k + 7)]) for v, i, k in samples if v in (1, 2) and k is not None and 0 <= k <= 193 and not (v == 1 and k <= 70 <= k + 6)]
+    assert got == sorted(f"Row(video_id={v}, frame_idx={i}, frame_nos={n}, images={m})" for v, i, n, m in want)
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace
+
+    from loomframe.session import shared_folder
+
+    session = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master, applicationId="a"))
+    assert shared_folder(session("local[2]"), "x").startswith("file:///")
+    for master in ("yarn", "local-cluster[3,2,1000]", "spark://host:7077"):
+        with pytest.raises(ValueError, match="checkpoint.dir"):
+            shared_folder(session(master), "x")
