@@ -31,10 +31,16 @@ def compare_runs(stats: DataFrame, run1: str, run2: str) -> DataFrame:
     return a.join(b, "step").withColumn("difference", F.col("improvement_2") - F.col("improvement_1"))
 
 
-def flattened(stats: DataFrame, layers: list[str]) -> DataFrame:
-    """``stats`` with the map of layer activities as columns."""
+def layers_of(stats: DataFrame) -> list[str]:
+    """The names of all layers, in order: the columns that a table of them gets."""
+    return sorted(r.layer for r in stats.select(F.explode(F.map_keys("layer_activity_map")).alias("layer")).distinct().collect())
+
+
+def flattened(stats: DataFrame, layers: list[str] | None = None) -> DataFrame:
+    """``stats`` with the map of layer activities as columns, those named or all that are found."""
+    layers = layers_of(stats) if layers is None else layers
     return stats.select(*[c for c in stats.columns if c != "layer_activity_map"], *[F.try_element_at("layer_activity_map", F.lit(k)).alias(k) for k in layers])
 
 
-def export_history_csv(stats: DataFrame, path: str, layers: list[str]) -> None:
+def export_history_csv(stats: DataFrame, path: str, layers: list[str] | None = None) -> None:
     flattened(stats, layers).write.mode("overwrite").option("header", True).csv(path)

@@ -27,7 +27,7 @@ def c2(spark, sf):
 
 def c6(spark, sf):
     v = views.videos(spark, sf)
-    return catalog.availability(v, v.where("video_id % 3 <> 0"))
+    return catalog.availability(v, v.join(table(spark, sf, "labels").select(F.col("doc_id").alias("video_id")), "video_id", "left_semi"))
 
 
 def c7(spark, sf):
@@ -70,7 +70,7 @@ def p5(spark, sf):
 
 
 def p8(spark, sf):
-    done = views.weighted_videos(spark, sf).where("video_id % 2 = 0").select("video_id")
+    done = table(spark, sf, "labels").select(F.col("doc_id").alias("video_id"))
     return sampling.readiness(views.weighted_videos(spark, sf), done, 300)
 
 
@@ -96,7 +96,8 @@ def p11(spark, sf):
 
 def p12(spark, sf):
     v = views.patches(spark, sf).select("video_id", "idx").distinct()
-    return sampling.pending_work(v, v.where("video_id % 4 = 1"), ["video_id", "idx"])
+    done = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("video_id"))
+    return sampling.pending_work(v, done, ["video_id"])
 
 
 def targets(spark, sf):
@@ -247,7 +248,7 @@ SELECT p_partkey, CASE WHEN s AND t THEN 0.3 WHEN s OR t THEN NULL ELSE 1.0 END:
     "c3_processing_order": (lambda s, d: catalog.processing_order(views.videos(s, d).select("video_id", "priority"), 7), sql(f"SELECT video_id, coalesce(priority, 255) AS priority, row_number() OVER (ORDER BY coalesce(priority, 255), {DRAW.format('7, video_id')}, video_id) AS position FROM videos", "videos")),
     "c4_priority_histogram": (lambda s, d: catalog.priority_histogram(views.videos(s, d), 3), sql("""SELECT CASE WHEN k <= 3 THEN priority END AS priority, sum(n)::BIGINT AS videos FROM (SELECT *, row_number() OVER (ORDER BY priority <> 255, priority) AS k FROM (SELECT coalesce(priority, 255) AS priority, count(*) AS n FROM videos GROUP BY 1)) GROUP BY 1""", "videos")),
     "c5_category_distribution": (lambda s, d: catalog.category_distribution(views.videos(s, d)), sql("SELECT category, count(*) AS videos FROM (SELECT unnest(cats) AS category FROM videos) GROUP BY 1", "videos")),
-    "c6_availability": (c6, sql("""SELECT *, CASE WHEN found = 0 THEN 'none' WHEN missing > total * 0.5 THEN 'majority_missing' WHEN missing > 0 THEN 'partial' ELSE 'complete' END AS status FROM (SELECT count(*) AS total, count(*) FILTER (video_id % 3 <> 0) AS found, count(*) FILTER (video_id % 3 = 0) AS missing FROM videos)""", "videos")),
+    "c6_availability": (c6, sql("""SELECT *, CASE WHEN found = 0 THEN 'none' WHEN missing > total * 0.5 THEN 'majority_missing' WHEN missing > 0 THEN 'partial' ELSE 'complete' END AS status FROM (SELECT count(*) AS total, count(*) FILTER (there) AS found, count(*) FILTER (NOT there) AS missing FROM (SELECT video_id IN (SELECT doc_id FROM labels) AS there FROM videos))""", "videos")),
     "c7_resolve_category_path": (c7, """WITH c AS (SELECT r_name AS category FROM region UNION ALL VALUES ('space'), ('toon'), ('en'))
 SELECT category, CASE category WHEN 'en' THEN 'English/Own/Learn' WHEN 'space' THEN 'Space/SpaceModel/Learn' WHEN 'toon' THEN 'Toon/ToonModel/Learn' ELSE upper(category[1]) || lower(category[2:]) || '/' || upper(category[1]) || lower(category[2:]) || 'Model/Learn' END AS base_path FROM c"""),
     "c8_output_layout": (c8, f"""WITH c AS (SELECT DISTINCT lang AS category, CASE lang WHEN 'en' THEN 'English/Own/Learn' ELSE upper(lang[1]) || lower(lang[2:]) || '/' || upper(lang[1]) || lower(lang[2:]) || 'Model/Learn' END AS p FROM documents),
@@ -265,12 +266,12 @@ SELECT video_id, frame_idx, coalesce(bool_or(ok), false) AS success, coalesce(mi
     "p6_val_train_plan": (lambda s, d: sampling.val_train_plan(views.weighted_videos(s, d), 300).withColumn("ts", F.round("ts", 6)), sql("""SELECT video_id, 'Val' AS split, i::INT AS i, round(duration * 0.2::DOUBLE + i * (duration * 0.6::DOUBLE / n_val), 6) AS ts FROM (SELECT *, unnest(range(n_val)) AS i FROM limits)
 UNION ALL SELECT video_id, 'Patches', i::INT, round(i * (duration / "limit"), 6) FROM (SELECT *, unnest(range(n_train)) AS i FROM limits)""", "videos", "weighted_videos", "limits")),
     "p7_weighted_interleave": (lambda s, d: sampling.weighted_interleave(views.weighted_videos(s, d), 300), sql("""SELECT video_id, i, i // chunk AS round, row_number() OVER (ORDER BY i // chunk, weight DESC, name, video_id, i) - 1 AS position FROM (SELECT *, unnest(range(n_train))::INT AS i FROM limits)""", "videos", "weighted_videos", "limits")),
-    "p8_readiness": (p8, sql("SELECT *, done >= needed AS ready FROM (SELECT sum(n_val + least(chunk, n_train))::BIGINT AS needed, count(*) FILTER (video_id % 2 = 0) AS done FROM limits)", "videos", "weighted_videos", "limits")),
+    "p8_readiness": (p8, sql("SELECT *, done >= needed AS ready FROM (SELECT sum(n_val + least(chunk, n_train))::BIGINT AS needed, (SELECT count(*) FROM labels) AS done FROM limits)", "videos", "weighted_videos", "limits")),
     "p9_choose_format": (p9, sql(f"""SELECT video_id, frame_idx, category, CASE category WHEN 'R' THEN CASE WHEN d < 0.5 THEN 'small_540' WHEN d < 0.85 THEN 'medium_169' ELSE 'large_720' END WHEN 'A' THEN CASE WHEN d < 0.65 THEN 'small_540' ELSE 'medium_169' END ELSE 'small_540' END AS format
 FROM (SELECT DISTINCT video_id, idx AS frame_idx, category, {DRAW.format('5, video_id, idx, category')} AS d FROM patches)""", "patches")),
     "p10_crop_offsets": (p10, sql(f"SELECT DISTINCT video_id, idx, floor({DRAW.format(chr(39) + '5' + chr(39) + ', ' + chr(39) + 'y' + chr(39) + ', video_id, idx')} * 676)::INT AS crop_y, floor({DRAW.format(chr(39) + '5' + chr(39) + ', ' + chr(39) + 'x' + chr(39) + ', video_id, idx')} * 1201)::INT AS crop_x FROM patches", "patches")),
     "p11_patch_name": (p11, sql(f"SELECT video_id, 'patch_' || regexp_replace({CLEAN}, '[^a-zA-Z0-9]', '_', 'g') || '_idx' || (video_id % 9) || '_large.png' AS filename FROM videos", "videos")),
-    "p12_pending_work": (p12, sql("SELECT DISTINCT video_id, idx FROM patches WHERE video_id % 4 <> 1", "patches")),
+    "p12_pending_work": (p12, sql("SELECT DISTINCT video_id, idx FROM patches WHERE video_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')", "patches")),
     "j1_pair_train": (lambda s, d: pairing.pair_train(views.names(s, d)[0], views.names(s, d)[1]), sql("SELECT filename FROM gt JOIN val_lr USING (filename)", "gt", "val_lr")),
     "j2_pair_val": (lambda s, d: pairing.pair_val(*views.names(s, d)), sql("SELECT * FROM pairs", "gt", "val_lr", "patch_lr", "pairs")),
     "j3_pairing_report": (lambda s, d: pairing.pairing_report(*views.names(s, d)), sql("SELECT count(*) AS found, count(*) FILTER (origin = 'Val') AS from_val, count(*) FILTER (origin = 'Patches') AS from_patches, count(*) FILTER (origin IS NULL) AS skipped, count(origin) AS loaded FROM pairs", "gt", "val_lr", "patch_lr", "pairs")),

@@ -133,8 +133,8 @@ def s4(spark, sf):
 def q5(spark, sf):
     path = shared_folder(spark, "history")
     s = statistics(spark, sf)
-    history.export_history_csv(s, path, ["Layer1"])
-    schema = history.flattened(s, ["Layer1"]).withColumnRenamed("Layer1", "layer").schema
+    history.export_history_csv(s, path)
+    schema = history.flattened(s).withColumnRenamed("Layer1", "layer").schema
     return spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(path)
 
 
