@@ -47,10 +47,10 @@ def resolve(headers: DataFrame, least: int = LEAST) -> DataFrame:
 def records(rows: DataFrame, date: str) -> Column:
     """A WARC/1.1 record without its closing blank lines, from id, url, digest, payload, refers_to, revisit.
 
-    Record identifiers hold the row's identifier and its payload's digest, so rows that repeat an identifier with other
+    Record identifiers hold the row's identifier (behind ``=``; ``-`` if it is null) and its payload's digest, so rows that repeat an identifier with other
     payloads have records of their own; the date is that of writing.
     """
-    name = lambda c: F.concat(F.lit("<urn:record:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(":"), rows["digest"], F.lit(">"))
+    name = lambda c: F.concat(F.lit("<urn:record:"), F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("-")), F.lit(":"), rows["digest"], F.lit(">"))
     line = lambda key, value: F.concat(F.lit(f"{key}: "), value, F.lit(CRLF))
     url = F.coalesce(F.regexp_replace(rows["url"], r"[\r\n]", " "), F.lit(""))
     revisit = rows["revisit"]
@@ -122,7 +122,7 @@ def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFram
 
     def name(text: str | None) -> str | None:
         found = text[len("<urn:record:") : -1].rpartition(":")[0] if text else None
-        return None if found == "null" else found
+        return found[1:] if found and found[0] == "=" else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
@@ -159,19 +159,22 @@ def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFram
 
 
 def resolved(archive: DataFrame) -> DataFrame:
-    """Archive records with each revisit's full payload length, from the response it refers to."""
+    """Every record of an archive, each revisit with its full payload's length. ``sound`` tells whether a response meets
+    its digest, and of a revisit whether the response it refers to is there and does; the length of one without is null."""
     rows = stored(archive.drop("payload"), "read-records")
     responses = rows.where("record_type = 'response' and sound").groupBy("id", "digest").agg(F.max("bytes").alias("full")).select(F.col("id").alias("to"), F.col("digest").alias("of"), "full")
-    revisits = rows.where("record_type = 'revisit'").join(responses, F.col("refers_to").eqNullSafe(F.col("to")) & (F.col("digest") == F.col("of")))
-    return rows.where("record_type = 'response' and sound").unionByName(revisits.select(*[c for c in rows.columns if c != "bytes"], F.col("full").alias("bytes")))
+    revisits = rows.where("record_type = 'revisit'").join(responses, F.col("refers_to").eqNullSafe(F.col("to")) & (F.col("digest") == F.col("of")), "left")
+    told = {"bytes": F.col("full"), "sound": F.col("full").isNotNull()}
+    return rows.where("record_type = 'response'").unionByName(revisits.select(*[told.get(c, F.col(c)).alias(c) for c in rows.columns]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op2: pages written as archives without repeated payloads, and read back."""
+    """op2: pages written as archives without repeated payloads, and read back; a damaged record fails the query."""
     path = work_folder(spark, "archives")
     write(table(spark, sf_dir, "pages"), path, "page_id", "html")
+    whole = F.when(F.col("sound"), F.col("bytes")).otherwise(F.raise_error(F.concat(F.lit("damaged record of page "), F.coalesce("id", F.lit("null")))).cast("long"))
     return resolved(read(spark, path)).select(
-        F.col("id").cast("long").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", F.col("refers_to").cast("long").alias("refers_to")
+        F.col("id").cast("long").alias("page_id"), whole.alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", F.col("refers_to").cast("long").alias("refers_to")
     )
 
 

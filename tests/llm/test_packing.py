@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+from pathlib import Path
 import random
 import zlib
 
@@ -143,6 +144,24 @@ def test_archives_round_trip(spark):
     assert len(got) == len(rows) == len(pages)
 
 
+def test_damaged_records_are_told(spark):
+    """One byte of the response changes: its own record and those that refer to it are returned, not sound."""
+    pages = [("null", "u", "a" * 300), ("b", "v", "a" * 300), (None, "w", "c" * 200), ("d", "x", "c" * 200), ("e", "y", "e" * 150)]
+    path = work_folder(spark, "archives")
+    warc.write(spark.createDataFrame(pages, "page_id string, url string, html string"), path, "page_id", "html")
+    whole = warc.resolved(warc.read(spark, path)).collect()
+    assert {r.id for r in whole} == {"null", "b", None, "d", "e"} and all(r.sound for r in whole)
+    (file,) = Path(path.removeprefix("file://")).glob("*.gz")
+    data = gzip.decompress(file.read_bytes())
+    at = data.index(b"a" * 300)
+    file.write_bytes(gzip.compress(data[:at] + b"A" + data[at + 1 :]))
+    for crc in file.parent.glob(".*.crc"):
+        crc.unlink()
+    got = {r.id: (r.record_type, r.sound, r.bytes) for r in warc.resolved(warc.read(spark, path)).collect()}
+    assert got["b"] == ("response", False, 300) and got["null"] == ("revisit", False, None)
+    assert sum(sound for _, sound, _ in got.values()) == 3 and len(got) == 5
+
+
 def test_archives_of_an_empty_table(spark):
     path = work_folder(spark, "archives")
     warc.write(spark.createDataFrame([], "page_id long, url string, html string"), path, "page_id", "html")
