@@ -188,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule
     ship(docs.sparkSession)
     some = labels.where("quality is not null and doc_id is not null").select("doc_id", "quality").withColumn("u", draw(SEED, F.col("doc_id"))).orderBy("u", "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("quality", "u", "doc_id", stats(F.col("text")).alias("s"))
-    got = rows.where(~base_failed(F.col("s"))).select("quality", "u", "doc_id", "s.*").limit(2 * sample).toPandas().sort_values(["u", "doc_id", *COUNTS])
+    got = rows.where(~base_failed(F.col("s"))).select("quality", "u", "doc_id", "s.*").orderBy("u", "doc_id", *COUNTS).limit(2 * sample).toPandas()
     bad = got["quality"].to_numpy() == 0
     return learn(got[list(COUNTS)].to_numpy(), bad) if bad.any() and not bad.all() else []
 
