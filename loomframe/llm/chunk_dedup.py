@@ -11,9 +11,9 @@ no run of that length.
 The digest table is aggregated before it is shuffled and joined back on the digest, a join that adaptive execution
 splits where a passage is in a third of all documents. Runs are found inside single documents.
 
-Defined cases: a null text counts as empty; rows that repeat a doc_id with the same text are one document; a repeat
-inside one document alone is none; null doc_ids count as one document; an empty table gives an empty result; further
-columns pass through ``deduplicate``.
+Defined cases: a null text counts as empty; rows that repeat a doc_id are one document, whatever their texts; a repeat
+inside one document alone is none; null doc_ids are one document, which is never the first; an empty table gives an empty
+result; further columns pass through ``deduplicate``.
 """
 
 from __future__ import annotations
@@ -95,9 +95,10 @@ def chunks(docs: DataFrame) -> DataFrame:
 def repeated(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """The chunks of runs of at least ``words`` words that other documents repeat, with ``first`` (the smallest doc_id
     that holds the chunk) and the run's start, end and words."""
-    all_ = chunks(docs)
-    held = all_.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    shared = stored(held.where(~F.col("first").eqNullSafe(F.col("last"))).select("digest", "first"), "shared-chunks")
+    all_ = stored(chunks(docs), "chunks")
+    held = all_.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.bool_or(F.col("doc_id").isNull()).alias("nameless"))
+    several = (F.col("first") != F.col("last")) | (F.col("nameless") & F.col("first").isNotNull())
+    shared = stored(held.where(several).select("digest", "first"), "shared-chunks")
     marked = all_.join(shared, "digest").groupBy("doc_id", "text_hash", "start").agg(F.first("end").alias("end"), F.first("words").alias("words"), F.first("first").alias("first"))
     by_doc = Window.partitionBy("doc_id", "text_hash").orderBy("start")
     gap = F.coalesce(F.lag("end").over(by_doc) < F.col("start"), F.lit(False)).cast("int")

@@ -168,6 +168,50 @@ def test_substring_finds_planted_passages_and_leaves_clean_documents(spark):
     assert len(out) == len(rows)
 
 
+def brute_spans(rows, words=chunk_dedup.WORDS):
+    """Runs of chunks that other documents hold, document by document."""
+    import numpy as np
+
+    cut, held = {}, {}
+    for i, t in set(rows):
+        data = (t or "").encode()
+        ends = chunk_dedup.boundaries(np.frombuffer(data, np.uint8))
+        cut[i, t] = [(a, b, data[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+        for *_, c in cut[i, t]:
+            held.setdefault(c, set()).add(i)
+    out = []
+    for (i, t), parts in cut.items():
+        data = (t or "").encode()
+        run = []
+        for part in [*parts, None]:
+            if part and len(held[part[2]]) > 1:
+                run.append(part)
+                continue
+            if run:
+                begun = sum(1 for k in range(run[0][0], run[-1][1]) if not data[k : k + 1].isspace() and (k == 0 or data[k - 1 : k].isspace()))
+                if begun >= words:
+                    points = [len(data[:x].decode()) for x in (run[0][0], run[-1][1])]
+                    firsts = sorted({min(j for j in held[c] if j is not None) for *_, c in run})
+                    out.append((i, *points, begun, firsts))
+            run = []
+    return sorted(map(str, out))
+
+
+def test_spans_equal_a_walk_of_every_document(spark):
+    passages = [prose(90 + k, n) for k, n in enumerate((80, 40, 30, 200))]
+    rows = [(k, " ".join([prose(200 + k, 20), passages[k % 4], prose(300 + k, 15), passages[(k * 3 + 1) % 4]])) for k in range(12)]
+    rows += [(None, passages[0] + " x"), (5, "é " + passages[0]), (20, passages[1]), (20, passages[1]), (30, prose(5, 80) + " " + prose(5, 80)), (None, prose(6, 90)), (None, prose(6, 90)), (31, None), (32, "")]
+    rows += [(40, prose(8, 60)), (40, prose(8, 60) + " more")]  # one document by its id
+    got = sorted(str((r.doc_id, r.start, r.end, r.n_words, r.first_doc_ids)) for r in chunk_dedup.spans(docs(spark, rows)).collect())
+    assert got == brute_spans(rows) and len(got) > 20
+
+
+@pytest.mark.parametrize(("ids", "found"), [((None, 5), 2), ((4, 5), 2), ((None, None), 0), ((5, 5), 0)])
+def test_repeats_with_null_and_equal_ids(spark, ids, found):
+    rows = [(i, prose(k, 40) + " " + prose(99, 80)) for k, i in enumerate(ids)]
+    assert chunk_dedup.spans(docs(spark, rows)).count() == found
+
+
 def test_chunks_cover_texts_and_resist_insertions(spark):
     import numpy as np
 
