@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,12 +39,15 @@ def running_sum(df: DataFrame, value: str, key: str, order: str, name: str) -> D
     return parts.withColumn(name, inside).join(before, [key, by]).withColumn(name, F.col(name) + F.col(f"{name}_0")).drop(by, f"{name}_0")
 
 
-def placed(df: DataFrame, key: str, *order: Column | str) -> DataFrame:
-    """``df`` with ``place``: 0, 1, ... in the given order inside each ``key`` (nulls are one), however many rows that has."""
-    parts, by = ranges(df, (key, *order))
-    counts = parts.groupBy(key, by).count()
-    first = F.sum("count").over(Window.partitionBy(key).orderBy(by)) - F.col("count")
-    before = counts.select(F.col(key).alias(f"{by}_key"), F.col(by).alias(f"{by}_of"), first.alias("place_0"))  # a row for each key and range
-    inside = F.row_number().over(Window.partitionBy(key, by).orderBy(*order)) - 1
-    met = parts.withColumn("place", inside).join(before, F.col(key).eqNullSafe(F.col(f"{by}_key")) & (F.col(by) == F.col(f"{by}_of")))
+def placed(df: DataFrame, key: str | tuple[str, ...], *order: Column | str, n: int | None = None) -> DataFrame:
+    """``df`` with ``place``: 0, 1, ... in the given order inside each ``key`` (nulls are one), however many rows that has.
+    It is dealt into ``n`` ranges, or by size."""
+    keys = (key,) if isinstance(key, str) else key
+    parts, by = ranges(df, (*keys, *order), n)
+    counts = parts.groupBy(*keys, by).count()
+    first = F.sum("count").over(Window.partitionBy(*keys).orderBy(by)) - F.col("count")
+    before = counts.select(*[F.col(k).alias(f"{by}_{k}") for k in keys], F.col(by).alias(f"{by}_of"), first.alias("place_0"))  # a row for each key and range
+    inside = F.row_number().over(Window.partitionBy(*keys, by).orderBy(*order)) - 1
+    on = [F.col(k).eqNullSafe(F.col(f"{by}_{k}")) for k in keys]
+    met = parts.withColumn("place", inside).join(before, reduce(Column.__and__, on, F.col(by) == F.col(f"{by}_of")))
     return met.withColumn("place", F.col("place") + F.col("place_0")).select(*df.columns, "place")

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomframe.functions.ranks import ranges
+from loomframe.functions.ranks import placed, ranges
 from loomframe.session import shared_folder, ship
 
 
@@ -60,6 +60,78 @@ def asof(left: DataFrame, right: DataFrame, keys: tuple[str, ...], at: str, valu
     return found.where("asof_side = 1").select(*left.columns, name)
 
 
+def last_rows(df: DataFrame, keys: tuple[str, ...], order: str, n: int, terms: Callable[[Column, Column], dict[str, Column]], name: str, earlier: bool = False, chunk: int = 4096) -> DataFrame:
+    """``df`` with the struct ``name``: the sums of ``terms`` over the last ``n`` rows of the key, the row included.
+
+    A key is cut into blocks of ``n`` rows. The last ``n`` rows at the i-th row of a block are its first i and all but the
+    first i of the block before, so they are a sum from the block's start (``own``) and one to the end of that block
+    (``before``, null in the first block): work does not grow with ``n``, and nothing is subtracted. Blocks are dealt out in
+    chunks of about ``chunk`` rows, each with a copy of the block before it (``earlier``: of two), so a key of any length
+    spreads over the tasks.
+
+    ``terms`` takes a row (a struct) and its place in its block and gives the terms by name: finite numbers, never null. ``name.place`` is
+    the place in the key from 0 on; with ``earlier``, ``name.ago`` is ``own`` and ``before`` of the row ``n`` rows back.
+    """
+    tag = "p" + uuid.uuid4().hex
+    place, block, part, mine, back, rev = (f"{tag}_{c}" for c in ("place", "block", "part", "mine", "back", "rev"))
+    per, halo = max(chunk // n, 2), 2 if earlier else 1
+    rows = placed(df.withColumn(tag, F.struct(*df.columns)).select(*keys, order, tag), keys, order, n=tasks(df)).withColumnRenamed("place", place)
+    rows = rows.withColumn(block, F.floor(F.col(place) / n))
+    home = F.floor(F.col(block) / per)
+    to = F.when(F.col(block) % per >= per - halo, F.array(home, home + 1)).otherwise(F.array(home))
+    dealt = rows.withColumn(part, F.explode(to)).withColumns({mine: F.col(part) == home, back: -F.col(block), rev: -F.col(place)})
+    row = {c: F.col(tag)[c] for c in df.columns}
+    found = terms(F.col(tag), F.col(place) - F.col(block) * n)
+    dealt = dealt.withColumns({f"{tag}_t{c}": v for c, v in found.items()}).repartition(tasks(df), *keys, part)
+    inside = Window.partitionBy(*keys, part, back)
+    start, end = (inside.orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (place, rev))
+    backward = Window.partitionBy(*keys, part).orderBy(back, rev)
+    ahead = dealt.withColumn(f"{tag}_own", F.struct(*[F.sum(f"{tag}_t{c}").over(start).alias(c) for c in found]))
+    ahead = ahead.withColumn(f"{tag}_end", F.struct(*[F.sum(f"{tag}_t{c}").over(end).alias(c) for c in found]))
+    # the row n - 1 back is the first of the window; at a block's last row that is the block's own first row
+    last = F.col(place) - F.col(block) * n == n - 1
+    out = ahead.withColumn(f"{tag}_before", F.when(~last, F.lead(f"{tag}_end", n - 1).over(backward)))
+    said = F.struct(F.col(f"{tag}_own").alias("own"), F.col(f"{tag}_before").alias("before"))
+    parts = [F.col(place).alias("place"), F.col(f"{tag}_own").alias("own"), F.col(f"{tag}_before").alias("before")]
+    if earlier:
+        parts.append(F.lead(said, n).over(backward).alias("ago"))
+    done = out.withColumn(f"{tag}_said", F.struct(*parts)).where(mine)
+    return done.select(*[v.alias(c) for c, v in row.items()], F.col(f"{tag}_said").alias(name))
+
+
+def plain_terms(value: Column) -> dict[str, Column]:
+    """Terms of a mean: what is not null is counted, and what is not finite is counted apart, so that it is forgotten
+    when it leaves. A NaN counts as both infinities."""
+    nan, inf = F.isnan(value), float("inf")
+    known = F.when(value.isNotNull(), 1).otherwise(0)
+    up, down = (F.when(nan | (value == F.lit(end)), 1).otherwise(0) for end in (inf, -inf))
+    return {"n": known, "up": up, "down": down, "y": F.when(value.isNull() | (up + down > 0), 0.0).otherwise(value)}
+
+
+def total(of: Column, term: str) -> Column:
+    """A term's sum over the last rows, of a struct of ``own`` and ``before``."""
+    return of["own"][term] + F.coalesce(of["before"][term], F.lit(0))
+
+
+def mean_of(of: Column) -> Column:
+    """The mean of the values of ``plain_terms``, null where there are none."""
+    up, down, n = (total(of, t) for t in ("up", "down", "n"))
+    odd = F.when((up > 0) & (down > 0), float("nan")).when(up > 0, float("inf")).when(down > 0, float("-inf"))
+    return F.when(n > 0, F.coalesce(odd, total(of, "y") / n))
+
+
+def slope_of(of: Column, n: int) -> Column:
+    """The least-squares slope by place of the values of ``plain_terms`` with ``x``, ``xx`` and ``xy`` of places in blocks;
+    null where fewer than two values are known, NaN where one is not finite."""
+    b = {t: F.coalesce(of["before"][t], F.lit(0)) for t in ("n", "y", "x", "xx", "xy")}  # its places lie n lower
+    x = of["own"]["x"] + b["x"] - n * b["n"]
+    xx = of["own"]["xx"] + b["xx"] - 2 * n * b["x"] + n * n * b["n"]
+    xy = of["own"]["xy"] + b["xy"] - n * b["y"]
+    count, y = total(of, "n"), total(of, "y")
+    odd = total(of, "up") + total(of, "down") > 0
+    return F.when(count > 1, F.when(odd, float("nan")).otherwise((count * xy - x * y) / (count * xx - x * x)))
+
+
 def ddl(df: DataFrame, *more: str) -> str:
     return ", ".join([*(f"{c} {t}" for c, t in df.dtypes), *more])
 

@@ -1,12 +1,14 @@
 """Training telemetry over (run_id, tag, step, value): smoothing, trends, plateaus, activity, scores, audits.
 
-Windows run inside one run and tag. Exponential means and merges by step are scans by ranges of a series; truly sequential
-rules (plateau counters) are folds over one series in step order, streamed in batches with a carried state.
+Windows run inside one run and tag. Exponential means, means and slopes of the last rows, and merges by step are scans by
+ranges or chunks of a series; truly sequential rules (plateau counters) are folds over one series in step order, streamed in
+batches with a carried state.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 from loomframe.functions import columns
 from loomframe.operators.folds import Plateau, RateControl, SlidingQuantile
-from loomframe.operators.scans import asof, ddl, exponential_mean, in_step_order
+from loomframe.operators.scans import asof, ddl, exponential_mean, in_step_order, last_rows, mean_of, plain_terms, slope_of
 
 SERIES = ("run_id", "tag")
 
@@ -27,10 +29,6 @@ def by_run() -> Window:
     return Window.partitionBy("run_id").orderBy("step")
 
 
-def last_n(n: int, window: Window | None = None) -> Window:
-    return (window or series()).rowsBetween(-(n - 1), 0)
-
-
 def ema(df: DataFrame, alpha: float = 0.1, start: str = "first") -> DataFrame:
     """``df`` with ``ema``; it starts from the first value, or with ``start='zero'`` from 0. A series of any length is
     scanned by ranges of its steps."""
@@ -38,26 +36,31 @@ def ema(df: DataFrame, alpha: float = 0.1, start: str = "first") -> DataFrame:
 
 
 def rolling_mean(df: DataFrame, n: int) -> DataFrame:
-    return df.withColumn("rolling_mean", F.avg("value").over(last_n(n)))
+    """``df`` with ``rolling_mean`` of the last ``n`` values, fewer at the start; nulls are passed over."""
+    k = "p" + uuid.uuid4().hex
+    rows = last_rows(df, SERIES, "step", n, lambda row, _: plain_terms(row["value"].cast("double")), k)
+    return rows.withColumn("rolling_mean", mean_of(F.col(k))).drop(k)
 
 
 def trend_pct(activity: DataFrame, keys: tuple[str, ...] = ("run_id", "layer_pos")) -> DataFrame:
     """``activity`` with ``trend``: percent change from the ten values before to the last ten; 0 until there are 20."""
-    w = Window.partitionBy(*keys).orderBy("step")
-    now, old = F.avg("value").over(w.rowsBetween(-9, 0)), F.avg("value").over(w.rowsBetween(-19, -10))
-    enough = F.count("*").over(w.rowsBetween(-19, 0)) >= 20
-    return activity.withColumn("trend", F.when(enough, (now - old) / (old + 1e-8) * 100).otherwise(0.0))
+    k = "p" + uuid.uuid4().hex
+    rows = last_rows(activity, keys, "step", 10, lambda row, _: plain_terms(row["value"].cast("double")), k, earlier=True)
+    now, old = mean_of(F.col(k)), mean_of(F.col(k)["ago"])
+    return rows.withColumn("trend", F.when(F.col(k)["place"] >= 19, (now - old) / (old + 1e-8) * 100).otherwise(0.0)).drop(k)
 
 
-def slope(n: int = 100) -> Column:
-    """Least-squares slope of the last ``n`` values by their order, null before there are as many."""
-    place = F.row_number().over(series())
-    return F.when(place >= n, F.regr_slope(F.col("value"), F.col("place")).over(last_n(n)))
+def convergence(df: DataFrame, n: int = 100, dead: float = 5e-5) -> DataFrame:
+    """``df`` with ``slope``, the least-squares slope of the last ``n`` values by their order, null before there are as
+    many, and ``status``."""
+    k = "p" + uuid.uuid4().hex
 
+    def terms(row: Column, place: Column) -> dict[str, Column]:
+        found = plain_terms(row["value"].cast("double"))
+        return found | {"x": found["n"] * place, "xx": found["n"] * place * place, "xy": found["y"] * place}
 
-def convergence(df: DataFrame, n: int = 100, dead: float = 5e-5) -> DataFrame:
-    """``df`` with ``slope`` and ``status``."""
-    out = df.withColumn("place", F.row_number().over(series()).cast("double")).withColumn("slope", slope(n)).drop("place")
+    rows = last_rows(df, SERIES, "step", n, terms, k)
+    out = rows.withColumn("slope", F.when(F.col(k)["place"] >= n - 1, slope_of(F.col(k), n))).drop(k)
     s = F.col("slope")
     return out.withColumn("status", F.when(s.isNull(), "warming up").when(s < -dead, "converging").when(F.abs(s) < dead, "plateauing").otherwise("diverging"))
 
@@ -256,9 +259,11 @@ def validation_rollup(per_image: DataFrame, variant: str = "package") -> DataFra
 def sharpness_decision(df: DataFrame, aggressive: bool = False, n: int = 20) -> DataFrame:
     """``df`` (value: sharpness ratio) with ``mean`` of the last ``n`` and ``decision``."""
     least, blurry = (2, 0.72) if aggressive else (10, 0.75)
-    seen = F.row_number().over(series())
-    out = df.withColumns({"mean": F.avg("value").over(last_n(n)), "seen": seen})
-    return out.withColumn("decision", F.when(F.col("seen") < least, "wait").when(F.col("mean") < blurry, "blurry").when(F.col("mean") > 0.92, "sharp").otherwise("hold")).drop("seen")
+    k = "p" + uuid.uuid4().hex
+    rows = last_rows(df, SERIES, "step", n, lambda row, _: plain_terms(row["value"].cast("double")), k)
+    out = rows.withColumn("mean", mean_of(F.col(k)))
+    wait = F.col(k)["place"] < least - 1
+    return out.withColumn("decision", F.when(wait, "wait").when(F.col("mean") < blurry, "blurry").when(F.col("mean") > 0.92, "sharp").otherwise("hold")).drop(k)
 
 
 def perceptual_band(df: DataFrame) -> DataFrame:

@@ -73,6 +73,85 @@ def test_exponential_means_of_long_short_and_broken_series(spark, start):
         assert (found is None) == (y is None) and (y is None or math.isclose(found, y, rel_tol=1e-11, abs_tol=1e-300)), (run, tag, step)
 
 
+def broken_series():
+    """Rows of METRICS: a long series, short ones, one without a run, and nulls and values that are not finite."""
+    r = random.Random(11)
+    odd = {700: math.nan, 1500: math.inf, 1510: -math.inf, 2500: -math.inf, 9000: 1e12}
+    rows = [("long", "x", 3 * k, odd.get(k, None if r.random() < 0.1 or 4000 <= k < 4300 else r.random())) for k in range(9500)]
+    rows += [("none", "x", k, None) for k in range(150)] + [("flat", "x", k, 5.0) for k in range(130)]
+    rows += [(None, t, k, r.gauss(1e3, 1)) for t in ("x", "y") for k in range(250)]
+    return rows + [(f"s{i}", "x", k, float(k)) for i in range(20) for k in range(i + 1)]
+
+
+def by_series(rows):
+    out = {}
+    for run, tag, step, value in rows:
+        out.setdefault((run, tag), []).append((step, value))
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def same(found, want, digits=1e-9):
+    if found is None or want is None or math.isnan(found) or math.isnan(want):
+        return (found is None) == (want is None) and (found is None or math.isnan(found) == math.isnan(want))
+    return math.isclose(found, want, rel_tol=digits, abs_tol=1e-12)
+
+
+def mean(values):
+    known = [v for v in values if v is not None]
+    return (sum(known) if any(map(math.isinf, known)) else math.fsum(known)) / len(known) if known else None
+
+
+@pytest.mark.parametrize("n", [1, 2, 20, 5000])
+def test_means_of_the_last_rows(spark, n):
+    rows = broken_series()
+    df = spark.createDataFrame(rows, METRICS).repartition(7).withColumn("place", F.lit("kept"))
+    got = {(x.run_id, x.tag, x.step): (x.place, x.rolling_mean) for x in telemetry.rolling_mean(df, n).collect()}
+    assert len(got) == len(rows)
+    for key, values in by_series(rows).items():
+        for k in range(0, len(values), 1 if n <= 20 else 97):
+            place, found = got[*key, values[k][0]]
+            assert place == "kept" and same(found, mean([v for _, v in values[max(0, k - n + 1) : k + 1]])), (key, k)
+
+
+def test_trends_of_the_last_rows(spark):
+    rows = broken_series()
+    df = spark.createDataFrame(rows, METRICS)
+    got = {(x.run_id, x.tag, x.step): x.trend for x in telemetry.trend_pct(df, ("run_id", "tag")).collect()}
+    assert len(got) == len(rows)
+    for key, values in by_series(rows).items():
+        for k, (step, _) in enumerate(values):
+            want = 0.0
+            if k >= 19:
+                now, old = mean([v for _, v in values[k - 9 : k + 1]]), mean([v for _, v in values[k - 19 : k - 9]])
+                want = None if now is None or old is None else (now - old) / (old + 1e-8) * 100
+            assert same(got[*key, step], want, 1e-8), (key, k)
+
+
+def test_slopes_of_the_last_rows(spark):
+    rows = broken_series()
+    out = telemetry.convergence(spark.createDataFrame(rows, METRICS)).collect()
+    got = {(x.run_id, x.tag, x.step): x.slope for x in out}
+    assert len(got) == len(out) == len(rows)
+    for key, values in by_series(rows).items():
+        for k, (step, _) in enumerate(values):
+            known = [(i, v) for i, (_, v) in enumerate(values[k - 99 : k + 1]) if v is not None] if k >= 99 else []
+            want = None
+            if len(known) > 1 and not all(math.isfinite(v) for _, v in known):
+                want = math.nan
+            elif len(known) > 1:
+                mx, my = mean([i for i, _ in known]), mean([v for _, v in known])
+                want = math.fsum((i - mx) * (v - my) for i, v in known) / math.fsum((i - mx) ** 2 for i, _ in known)
+            assert same(got[*key, step], want), (key, k)
+
+
+def test_a_series_spreads_over_tasks_for_its_last_rows(spark):
+    n = 200_000
+    df = spark.range(n).select(F.lit("one").alias("run_id"), F.lit("x").alias("tag"), "id", (F.col("id") * 2.0).alias("value")).withColumnRenamed("id", "step")
+    out = telemetry.convergence(df)
+    assert out.where("step >= 99").agg(F.max(F.abs(F.col("slope") - 2.0))).first()[0] < 1e-9
+    assert out.groupBy(F.spark_partition_id()).count().count() == 8
+
+
 @pytest.mark.parametrize(("q", "n"), [(0.95, 500), (0.5, 7), (0.0, 3), (1.0, 4), (0.95, 1)])
 def test_sliding_quantile(q, n):
     r = random.Random(n)
