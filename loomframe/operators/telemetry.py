@@ -295,10 +295,12 @@ def latest_state(metrics: DataFrame) -> DataFrame:
 
 
 def val_train_ratio(val: DataFrame, train: DataFrame) -> DataFrame:
-    """Each validation loss over the latest training loss at or before its step (of several at that step the greatest)."""
+    """Each validation loss over the latest training loss at or before its step (of several at that step the greatest). Over
+    a loss of zero the ratio is infinite, or NaN for zero over zero."""
     left = val.select("run_id", "step", F.col("value").alias("val"))
     found = asof(left, train.where("value is not null"), ("run_id",), "step", F.col("value"), "train", tie=F.col("value"))
-    return found.withColumn("ratio", F.try_divide("val", "train"))
+    over_zero = F.col("val") * F.pow("train", F.lit(-1.0))  # as IEEE 754 divides, also by a negative zero
+    return found.withColumn("ratio", F.when(F.col("train") == 0, over_zero).otherwise(F.try_divide("val", "train")))
 
 
 def dead_runs(files: DataFrame, metrics: DataFrame, least_mb: float = 0.5, most_mb: float = 20.0, points: int = 15) -> DataFrame:

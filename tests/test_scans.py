@@ -197,3 +197,12 @@ def test_shared_folder_is_asked_for_on_a_cluster():
     for master in ("yarn", "local-cluster[3,2,1000]", "spark://host:7077"):
         with pytest.raises(ValueError, match="checkpoint.dir"):
             shared_folder(session(master), "x")
+
+
+def test_a_ratio_over_a_loss_of_zero(spark):
+    val = [("r", 0, 0.5), ("r", 2, 0.5), ("r", 4, 0.0), ("r", 6, -0.5), ("r", 8, 0.5), ("r", 10, 0.5), ("r", 12, None)]
+    train = [("r", 1, 0.0), ("r", 7, -0.0), ("r", 9, 0.25), ("r", 11, 0.0)]
+    schema = "run_id string, step long, value double"
+    out = telemetry.val_train_ratio(spark.createDataFrame(val, schema), spark.createDataFrame(train, schema)).collect()
+    got = {r.step: "nan" if r.ratio is not None and math.isnan(r.ratio) else r.ratio for r in out}
+    assert got == {0: None, 2: math.inf, 4: "nan", 6: -math.inf, 8: -math.inf, 10: 2.0, 12: None}
