@@ -298,19 +298,21 @@ S11 = sql(
 BATCHES = 4
 
 
-def replayed(spark, rows, order, close=None):
+def replayed(spark, rows, order, end=None):
     """``rows`` as a stream of ``BATCHES`` micro-batches in their order, each read by as many tasks as there are cores, and
-    the checkpoint of its query. With ``close``, a time column, a last row two days after all others moves the watermark
-    past them; it is never due itself."""
+    the checkpoint of its query. The row of ``end``, if given, comes last and moves the watermark."""
     path, checkpoint = shared_folder(spark, "ordered"), shared_folder(spark, "checkpoint")
     tasks = max(2, spark.sparkContext.defaultParallelism)
-    replay.write_ordered(rows, path, BATCHES * tasks - (close is not None), order)
-    if close:
-        end = rows.orderBy(F.col(close).desc_nulls_last()).limit(1)
-        replay.write_ordered(end.withColumn(close, F.col(close) + F.expr("INTERVAL 2 DAYS")), path, 1, order)
+    replay.write_ordered(rows, path, BATCHES * tasks - (end is not None), order)
+    if end is not None:
+        replay.write_ordered(end.select(rows.columns), path, 1, order)
     return replay.read_ordered(spark, path, rows.schema, tasks, checkpoint), checkpoint
 
 
+#: Past every lateness: a row of this time after all others moves the watermark past them, and is never due itself.
+LONG_AFTER = "INTERVAL 2 DAYS"
+
+
 def x1(spark, sf):
     """Status documents of one event each: its own category's counts and those of all; one document is broken."""
     path = shared_folder(spark, "status")
@@ -359,7 +361,8 @@ def x3(spark, sf):
 def plateaus(spark, sf, changes):
     """Events arrive up to an hour after their time, out of order, also from one micro-batch to the next."""
     e = events_by_time(spark, sf).withColumn("arrival", F.col("wall_time") + F.make_dt_interval(secs=F.pmod(F.xxhash64("event_id"), F.lit(3600)).cast("decimal(18,6)")))
-    stream, checkpoint = replayed(spark, e, "arrival", "wall_time")
+    end = e.orderBy(F.col("wall_time").desc_nulls_last()).limit(1).withColumn("wall_time", F.col("wall_time") + F.expr(LONG_AFTER))
+    stream, checkpoint = replayed(spark, e, "arrival", end)
     steps = stream.select("run_id", F.col("event_id").alias("step"), (F.col("value") / 10000).alias("loss"), (F.pmod("event_id", F.lit(97)) / 100.0).alias("quality"), "wall_time")
     return streams.stream_plateau(steps, 25, "2 hours", changes), checkpoint
 
@@ -397,10 +400,14 @@ def configs(spark, sf):
 
 
 def x6(spark, sf):
-    """A step is a second. The changes come as a stream of their own."""
+    """A step is a second. The changes come as a stream of their own. Both end at one time, after the last row of either, in
+    a run of its own: the watermark is that of the slower, also where one ends long before the other or has no row."""
     rows = table(spark, sf, "events").select(F.pmod("user_id", F.lit(25)).alias("run_id"), F.col("event_id").alias("step"), "event_type", second(F.col("event_id")).alias("wall_time"))
-    changes, _ = replayed(spark, configs(spark, sf), "wall_time", "wall_time")
-    metrics, checkpoint = replayed(spark, rows, "wall_time", "wall_time")
+    said = configs(spark, sf)
+    last = rows.select("wall_time").unionByName(said.select("wall_time")).agg((F.max("wall_time") + F.expr(LONG_AFTER)).alias("wall_time")).where("wall_time is not null")
+    end = last.selectExpr("-1L AS run_id", "0L AS step", "wall_time", "'end' AS event_type", "'end' AS param", "0D AS value")
+    changes, _ = replayed(spark, said, "wall_time", end)
+    metrics, checkpoint = replayed(spark, rows, "wall_time", end)
     out = streams.settled(streams.stream_with_config(metrics, changes, "10 minutes"), mode="append", checkpoint=checkpoint)
     return out.select("run_id", F.col("step").alias("event_id"), "event_type", *[F.try_element_at("config", F.lit(p)).alias(p) for p in ("max_lr", "min_lr")])
 

@@ -134,3 +134,19 @@ def test_broken_status_documents_give_no_row(spark, tmp_path, multiline):
         (tmp_path / f"{k}.json").write_text(text)
     out = streams.settled(streams.stream_status(stream_status_documents(spark, str(tmp_path), 2, multiline)), ["category"])
     assert [(r.category, r.last_update, r.images_created) for r in out.collect()] == [("space", "2024-01-01T00:00:05", 50)]
+
+
+@pytest.mark.parametrize("balance", [500.0, 1e9])
+def test_values_in_force_after_changes_that_end_early_or_are_none(spark, tmp_path, balance):
+    import duckdb
+
+    from loomframe.plans import storage
+
+    events, supplier = tmp_path / "events.parquet", tmp_path / "supplier.parquet"
+    spark.range(60).selectExpr("id * 10000 AS event_id", "id % 3 AS user_id", "'view' AS event_type").write.parquet(str(events))
+    spark.range(40).select(F.col("id").alias("s_suppkey"), (F.col("id") % 3).alias("s_nationkey"), F.lit(balance).alias("s_acctbal")).write.parquet(str(supplier))
+    con = duckdb.connect()
+    for name in ("events", "supplier"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    want = sorted(map(repr, con.execute(storage.X6).fetchall()))
+    assert sorted(repr(tuple(r)) for r in storage.x6(spark, str(tmp_path)).collect()) == want
