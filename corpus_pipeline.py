@@ -28,7 +28,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of texts whose five-word shingles are alike by 0.8 or more, that with the smallest doc_id."""
+    """One document of each class of texts whose five-word shingles are alike by 0.8 or more, that with the smallest doc_id:
+    pairs within reach of SimHash and those that it misses, checked exactly."""
     return near_text.deduplicate(docs)
 
 

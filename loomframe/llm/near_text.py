@@ -1,8 +1,10 @@
 """Near duplicates by the Jaccard similarity of five-word shingles: a pair is one from ``SIMILAR`` = 4/5 on.
 
-Candidates come from MinHash signatures of ``BANDS`` bands of ``ROWS`` values: texts that agree on a whole band share a
-cell. A pair of similarity s shares one with probability 1 - (1 - s^5)^24: 0.99993 at 0.8, more above. Every candidate is
-then checked on its exact sets of shingles (64-bit digests), so no pair below 4/5 links.
+Candidates come first from ``simhash``: fingerprints of the same shingles, and the links of its search by segment
+popcounts over grids, within four bits. Pairs of 4/5 often differ in more bits, so MinHash signatures of ``BANDS`` bands of
+``ROWS`` values add to them: texts that agree on a whole band share a cell. A pair of similarity s shares one with
+probability 1 - (1 - s^5)^24: 0.99993 at 0.8, more above. Every candidate of either is then checked on its exact sets of
+shingles (64-bit digests), so no pair below 4/5 links.
 
 In a cell of over ``CELL`` texts pairs are checked where they meet, and only links between texts that no earlier link
 connects are given out: fewer than a task has texts. A text outside the largest class so far is held against all others
@@ -29,6 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomframe.llm import simhash
 from loomframe.llm.common import bounded, keep_rows, lean, stored
 from loomframe.llm.components import components
 from loomframe.session import ship
@@ -75,11 +78,13 @@ def _mapped(docs: DataFrame, columns: str, make: Callable[[list[bytes]], list[pa
 
 
 def _signed(texts: pa.Array) -> list[pa.Array]:
-    bands = []
+    bands, fps = [], []
     for text in texts:
-        raw = signature(shingles(text.as_py())).reshape(BANDS, ROWS)
+        found = shingles(text.as_py())
+        raw = signature(found).reshape(BANDS, ROWS)
         bands.append(np.array([xxhash.xxh64_intdigest(raw[k].tobytes(), k) for k in range(BANDS)], np.uint64).view(np.int64))
-    return [pa.array(bands, pa.list_(pa.int64()))]
+        fps.append(simhash.signed(simhash.majority(found)))
+    return [pa.array(bands, pa.list_(pa.int64())), pa.array(fps, pa.int64())]
 
 
 def _sets(texts: pa.Array) -> list[pa.Array]:
@@ -167,6 +172,16 @@ def _pairs(found: DataFrame) -> DataFrame:
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
 
+def _by_fingerprint(signed: DataFrame) -> DataFrame:
+    """Pairs of texts within reach of ``simhash``: one text of each fingerprint with its others and with those it links to."""
+    texts = stored(signed.select("fp", "text_hash").distinct(), "fingerprints")
+    first = stored(texts.groupBy("fp").agg(F.min("text_hash").alias("text")), "distinct-fingerprints")
+    a, b = (first.select(F.col("fp").alias(c), F.col("text").alias(f"{c}_text")) for c in "ab")
+    near = stored(simhash.links(first.select("fp")), "fingerprint-links").join(a, "a").join(b, "b")
+    same = texts.join(first, "fp").where("text <> text_hash")
+    return near.select(F.col("a_text").alias("a"), F.col("b_text").alias("b")).unionByName(same.select(F.col("text").alias("a"), F.col("text_hash").alias("b")))
+
+
 def _in_small_cells(shared: DataFrame, cell_rows: int) -> DataFrame:
     few = shared.where(F.col("n") <= cell_rows).groupBy("cell").agg(F.collect_list("text_hash").alias("texts"))
     return few.select("texts", F.explode("texts").alias("a")).select("a", F.explode("texts").alias("b"))
@@ -233,7 +248,8 @@ def links(docs: DataFrame, signed: DataFrame, cell_rows: int = CELL, block: int
     """Links between texts whose sets of shingles have the similarity, enough of them to connect every class."""
     shared = shared_cells(signed)
     crowded = shared.where(F.col("n") > cell_rows)
-    found = _checked(docs, stored(_pairs(_in_small_cells(shared, cell_rows)), "candidates"))
+    pairs = _by_fingerprint(signed).unionByName(_in_small_cells(shared, cell_rows))
+    found = _checked(docs, stored(_pairs(pairs), "candidates"))
     first = stored(crowded.groupBy("text_hash").agg(F.max(F.struct("n", "cell")).alias("c")).select("text_hash", "c.*"), "crowded-texts")
     if first.isEmpty():
         return found
@@ -256,7 +272,7 @@ def classes(docs: DataFrame, cell_rows: int = CELL, block: int = BLOCK) -> DataF
     ship(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text"))
-    signed = stored(_mapped(rows, "bands array<long>", _signed), "signatures")
+    signed = stored(_mapped(rows, "bands array<long>, fp long", _signed), "signatures")
     roots = components(stored(links(rows, signed, cell_rows, block), "all-links")).select(F.col("node").alias("text_hash"), "root")
     once = signed.groupBy("text_hash").agg(F.min("doc_id").alias("low"))
     joined = stored(once.join(bounded(roots), "text_hash", "left"), "texts")

@@ -65,6 +65,15 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def majority(digests: np.ndarray) -> int:
+    """Unsigned 64-bit SimHash of a set of 64-bit digests: each bit that is set in over half of them."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(digests), 65536):
+        part = digests[at : at + 65536].astype("<u8", copy=False)
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(digests), bitorder="little").view("<u8")[0])
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, fp) for each row; fp is the fingerprint as a signed long."""
     ship(docs.sparkSession)

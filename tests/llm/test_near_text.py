@@ -6,9 +6,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomframe.llm import near_text
+from loomframe.llm import near_text, simhash
 from test_dedup import docs, prose
 
 
@@ -119,3 +120,20 @@ def test_one_row_of_a_class_stays_whatever_its_ids(spark):
         known = [i for i in ids if i is not None]
         assert len(out) == 3
         assert [i for i, t in out if t in copies] == [min(known) if known else None]
+
+
+def test_pairs_within_reach_of_simhash_are_candidates_of_their_own(spark, monkeypatch):
+    """Without a shared cell, what SimHash reaches still links, after the exact check."""
+    rows = edited()
+    sets = {i: near_text.shingles((t or "").encode()) for i, t in rows}
+    fps = {i: simhash.majority(s) for i, s in sets.items()}
+    monkeypatch.setattr(near_text, "_in_small_cells", lambda shared, n: shared.select(F.col("text_hash").alias("a"), F.col("text_hash").alias("b")))
+    got = {r.doc_id: r.component_id for r in near_text.classes(docs(spark, rows), 10**9).collect()}
+    exact = lambda i, j: 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))
+    pairs = [(i, j) for i in sets for j in sets if i < j and (fps[i] ^ fps[j]).bit_count() <= simhash.REACH and exact(i, j)]
+    low = {i: i for i in sets}
+    for i, j in pairs:
+        a, b = low[i], low[j]
+        low = {k: min(a, b) if v in (a, b) else v for k, v in low.items()}
+    assert len(pairs) > 5
+    assert got == low
