@@ -14,9 +14,10 @@ from __future__ import annotations
 import json
 import sys
 from bisect import bisect_right
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,62 +90,86 @@ def stream_once_per_step(stream: DataFrame, late: str = "1 hour") -> DataFrame:
     return stream.withWatermark("wall_time", late).dropDuplicatesWithinWatermark(["run_id", "step"])
 
 
+#: A block of waiting rows has up to so many.
+HELD = 10_000
+
+
+def packed(rows: pd.DataFrame) -> list[tuple[bytes]]:
+    """``rows`` as blocks for a list state: one state value for many rows, as each one is converted and sent by itself."""
+    out = []
+    for at in range(0, len(rows), HELD):
+        block = pa.RecordBatch.from_pandas(rows.iloc[at : at + HELD], preserve_index=False)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, block.schema) as stream:
+            stream.write_batch(block)
+        out.append((sink.getvalue().to_pybytes(),))
+    return out
+
+
+def unpacked(block: tuple[bytes]) -> pd.DataFrame:
+    return pa.ipc.open_stream(bytes(block[0])).read_pandas()
+
+
 class InOrder(StatefulProcessor):
     """Holds the rows of a run back until the watermark has passed their time, and takes them in step order then.
 
-    Rows wait as (at, step, *values); one timer, at the earliest of them, wakes a run that gets no further rows.
+    Rows wait in blocks of (at, step, ...); one timer, at the earliest of them, wakes a run that gets no further rows.
     """
 
-    values = ""  # of a waiting row, as DDL
-
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", ", ".join(x for x in ("at bigint, step bigint", self.values) if x))
+        self.waiting = handle.getListState("waiting", "rows binary")
 
-    def waiting_row(self, row) -> tuple:
-        """(at, step, *values) of an input row; at is in milliseconds, 0 where the row has no time."""
+    def waiting_rows(self, pdf: pd.DataFrame) -> pd.DataFrame:
+        """(at, step, ...) of input rows; at is in milliseconds, 0 where a row has no time."""
         raise NotImplementedError
 
-    def take(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
+    def take(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         """What ``rows``, next in step order, give."""
         raise NotImplementedError
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        for pdf in rows:
-            self.waiting.appendList([self.waiting_row(r) for r in pdf.itertuples(index=False)])
-        yield self.release(key, timerValues.getCurrentWatermarkInMs())
+        yield self.release(key, timerValues.getCurrentWatermarkInMs(), [self.waiting_rows(pdf) for pdf in rows])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         yield self.release(key, timerValues.getCurrentWatermarkInMs())
 
-    def release(self, key: tuple, now: int) -> pd.DataFrame:
-        rows = list(self.waiting.get()) if self.waiting.exists() else []
-        ready, rest = [r for r in rows if r[0] <= now], [r for r in rows if r[0] > now]
-        if ready:
+    def release(self, key: tuple, now: int, new: Sequence[pd.DataFrame] = ()) -> pd.DataFrame:
+        """Takes the rows that are due, of those that wait and of ``new``; only what is left of them goes to the state."""
+        new = [pdf for pdf in new if len(pdf)]
+        parts = [unpacked(b) for b in self.waiting.get()] if self.waiting.exists() else []
+        rows = pd.concat([*parts, *new], ignore_index=True) if parts or new else pd.DataFrame({"at": [], "step": []})
+        due = rows["at"] <= now
+        ready, rest = rows[due], rows[~due]
+        if parts and len(ready):
             self.waiting.clear()
-            if rest:
-                self.waiting.put(rest)
-        due = min((r[0] for r in rest), default=None)
-        for old in list(self.handle.listTimers()):
-            if old != due:
+            if len(rest):
+                self.waiting.put(packed(rest))
+        elif new:
+            left = pd.concat(new, ignore_index=True)
+            left = left[left["at"] > now]
+            if len(left):
+                self.waiting.appendList(packed(left))
+        first = int(rest["at"].min()) if len(rest) else None
+        timers = list(self.handle.listTimers())
+        for old in timers:
+            if old != first:
                 self.handle.deleteTimer(old)
-        if due is not None:
-            self.handle.registerTimer(due)
-        return self.take(key, sorted(ready, key=lambda r: r[1]))
+        if first is not None and first not in timers:
+            self.handle.registerTimer(first)
+        return self.take(key, ready.sort_values("step", kind="stable"))
 
     def close(self) -> None:
         pass
 
 
-def millis(t) -> int:
-    return 0 if pd.isna(t) else int(t.value // 1_000_000)
+def millis(times: pd.Series) -> pd.Series:
+    return pd.Series(times.to_numpy().astype("datetime64[ns]").astype("int64") // 1_000_000, times.index).where(times.notna(), 0)
 
 
 class PlateauState(InOrder):
     """A plateau fold for each run; rows that repeat a step count once."""
 
-    values = "loss double, quality double"
-
     def __init__(self, patience: int, changes: bool):
         self.patience, self.changes = patience, changes
 
@@ -152,14 +177,16 @@ class PlateauState(InOrder):
         super().init(handle)
         self.fold = handle.getValueState("fold", "best_loss double, best_quality double, ema_loss double, ema_quality double, counter double, step bigint, plateau boolean")
 
-    def waiting_row(self, row) -> tuple:
-        return millis(row.wall_time), int(row.step), float(row.loss), None if pd.isna(row.quality) else float(row.quality)
+    def waiting_rows(self, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"at": millis(pdf["wall_time"]), "step": pdf["step"].astype("int64"), "loss": pdf["loss"].astype(float), "quality": pdf["quality"].astype(float)})
 
-    def take(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
+    def take(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame([], columns=["run_id", "step", "wall_time", "state", "counter"])
         old = self.fold.get() if self.fold.exists() else None
         fold, step, was = (Plateau(*old[:5]), old[5], old[6]) if old else (Plateau(), -1, False)
         out = []
-        for at, now, loss, quality in rows:
+        for at, now, loss, quality in zip(*(rows[c].tolist() for c in ("at", "step", "loss", "quality")), strict=True):
             if now <= step:
                 continue
             step = now
@@ -168,8 +195,7 @@ class PlateauState(InOrder):
             if plateau != was or not self.changes:
                 out.append((key[0], step, pd.Timestamp(at, unit="ms"), "plateau" if plateau else "progress", fold.counter))
             was = plateau
-        if rows:
-            self.fold.update((*fold.state(), step, was))
+        self.fold.update((*fold.state(), step, was))
         return pd.DataFrame(out, columns=["run_id", "step", "wall_time", "state", "counter"])
 
 
@@ -216,41 +242,40 @@ def stream_rate_limited_alert(plateaus: DataFrame, gap: int = 1000) -> DataFrame
 class ConfigState(InOrder):
     """The versions of every parameter by step, and the rows that wait for theirs."""
 
-    values = "row string"
-
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.versions = handle.getMapState("versions", "param string, step bigint", "value double, at bigint")
 
-    def waiting_row(self, row) -> tuple:
-        return millis(row.wall_time), int(row.step), row.row
+    def waiting_rows(self, pdf: pd.DataFrame) -> pd.DataFrame:
+        asked = pdf[pdf["param"].isna()]
+        return pd.DataFrame({"at": millis(asked["wall_time"]), "step": asked["step"].astype("int64"), "row": asked["row"]})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        waiting = []
         for pdf in rows:
-            for r in pdf[pdf["param"].notna()].itertuples(index=False):
-                self.versions.updateValue((r.param, int(r.step)), (float(r.value), millis(r.wall_time)))
-            waiting = [self.waiting_row(r) for r in pdf[pdf["param"].isna()].itertuples(index=False)]
-            if waiting:
-                self.waiting.appendList(waiting)
-        yield self.release(key, timerValues.getCurrentWatermarkInMs())
-
-    def release(self, key: tuple, now: int) -> pd.DataFrame:
-        out = super().release(key, now)
+            said = pdf[pdf["param"].notna()]
+            for param, step, value, at in zip(said["param"], said["step"], said["value"], millis(said["wall_time"]), strict=True):
+                self.versions.updateValue((param, int(step)), (float(value), int(at)))
+            waiting.append(self.waiting_rows(pdf))
+        yield self.release(key, timerValues.getCurrentWatermarkInMs(), waiting)
+
+    def release(self, key: tuple, now: int, new: Sequence[pd.DataFrame] = ()) -> pd.DataFrame:
+        out = super().release(key, now, new)
         for param, versions in self.known.items():  # of those that the watermark has passed, only the newest is still asked for
             passed = [step for step, _, at in versions if at <= now]
             for step in passed[:-1]:
                 self.versions.removeKey((param, step))
         return out
 
-    def take(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
+    def take(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         self.known = {}  # (step, value, at) by parameter, in step order
-        for (param, step), (value, at) in self.versions.iterator() if rows else ():
+        for (param, step), (value, at) in self.versions.iterator() if len(rows) else ():
             self.known.setdefault(param, []).append((step, value, at))
         for versions in self.known.values():
             versions.sort()
         steps = {param: [v[0] for v in versions] for param, versions in self.known.items()}
         out = []
-        for _, step, row in rows:
+        for step, row in zip(rows["step"].tolist(), rows["row"].tolist(), strict=True) if len(rows) else ():
             places = {param: bisect_right(of, step) for param, of in steps.items()}
             config = {param: self.known[param][k - 1][1] for param, k in places.items() if k}
             out.append((key[0], step, row, json.dumps(config)))

@@ -150,3 +150,47 @@ def test_values_in_force_after_changes_that_end_early_or_are_none(spark, tmp_pat
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
     want = sorted(map(repr, con.execute(storage.X6).fetchall()))
     assert sorted(repr(tuple(r)) for r in storage.x6(spark, str(tmp_path)).collect()) == want
+
+
+def test_rows_wait_in_blocks_and_due_rows_do_not_wait():
+    """A state value is converted and sent by itself, so a batch's rows of a run are one, and what is due is none."""
+    import pandas as pd
+
+    class Held(list):
+        def exists(self):
+            return bool(self)
+
+        def get(self):
+            return iter(list(self))
+
+        appendList = list.extend  # noqa: N815
+
+        def put(self, values):
+            self[:] = values
+
+    class Timers(set):
+        listTimers, deleteTimer, registerTimer = set.copy, set.remove, set.add  # noqa: N815
+
+    class Steps(streams.InOrder):
+        def waiting_rows(self, pdf):
+            return pd.DataFrame({"at": streams.millis(pdf["t"]), "step": pdf["step"]})
+
+        def take(self, key, rows):
+            return rows
+
+    class Now:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = lambda: ms  # noqa: N815
+
+    fold = Steps()
+    fold.waiting, fold.handle = Held(), Timers()
+    batch = lambda a, b: pd.DataFrame({"t": pd.to_datetime(range(a, b), unit="ms")[::-1], "step": range(b - 1, a - 1, -1)})
+    give = lambda now, *of: [s for out in fold.handleInputRows(("r",), iter(of), Now(now)) for s in out["step"]]
+    assert give(0, batch(1, 500), batch(500, 1000)) == [] and len(fold.waiting) == 1 and fold.handle == {1}
+    assert give(0, batch(1000, 1500)) == [] and len(fold.waiting) == 2
+    assert give(1700, batch(1500, 2000)) == list(range(1, 1701)) and len(fold.waiting) == 1 and fold.handle == {1701}
+    assert [s for out in fold.handleExpiredTimer(("r",), Now(1999), None) for s in out["step"]] == list(range(1701, 2000))
+    assert not fold.waiting and not fold.handle
+    assert give(3000, batch(2500, 2600)) == list(range(2500, 2600)) and not fold.waiting
+    assert len(give(30_000, batch(5000, 5 + 2 * streams.HELD + 5000))) == 2 * streams.HELD + 5
+    assert give(0, batch(40_000, 40_001 + 2 * streams.HELD)) == [] and len(fold.waiting) == 3
