@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomframe.llm.common import stored, table
-from loomframe.llm.tokens import document_ids, vocabulary_path
+from loomframe.llm.tokens import batch_ids, vocabulary_path
 from loomframe.session import ship
 
 LENGTH, PAD = 4096, 0
@@ -132,9 +132,7 @@ def packed(docs: DataFrame, length: int = LENGTH, path: str | None = None, width
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, kinds, strict=True)], names=names)
 
         for batch in batches:
-            texts = batch.column(1)
-            for i in range(len(texts)):
-                found = document_ids(texts[i].as_py(), path)
+            for i, found in enumerate(batch_ids(batch.column(1), path)):
                 if len(found) and int(found.max()) >> (8 * width):
                     raise ValueError(f"token id {int(found.max())} does not fit into {width} bytes")
                 ids = found.astype(f"<u{width}")

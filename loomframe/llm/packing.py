@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomframe.llm.common import lean, stored, table
-from loomframe.llm.tokens import document_ids, vocabulary_path
+from loomframe.llm.tokens import batch_ids, vocabulary_path
 from loomframe.session import ship
 
 LENGTH = 4096
@@ -39,9 +39,9 @@ def pieces(docs: DataFrame, length: int = LENGTH, path: str | None = None, with_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, row, out = batch.column(1), [], []
-            for i in range(len(texts)):
-                ids = document_ids(texts[i].as_py(), path).astype("<u4")
+            row, out = [], []
+            for i, found in enumerate(batch_ids(batch.column(1), path)):
+                ids = found.astype("<u4")
                 for start in range(0, len(ids), length):
                     part = ids[start : start + length].tobytes()
                     row.append(i)

@@ -9,12 +9,13 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from loomframe.llm import bfd, packing, warc
 from loomframe.llm.common import stored, work_folder
-from loomframe.llm.tokens import document_ids, vocabulary_path
+from loomframe.llm.tokens import WordIds, batch_ids, document_ids, vocabulary_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -45,6 +46,35 @@ def test_ids_are_the_tokenizers(ids):
         assert document_ids((text or "").encode(), vocabulary_path()).tolist() == want
 
 
+@pytest.mark.parametrize("part", [1, 3000, 1 << 21])
+def test_ids_of_a_batch_are_the_tokenizers(ids, part):
+    rows = pa.array([b"before", *[(t or "").encode() for _, t in texts()]], pa.binary())
+    got = [x.tolist() for x in batch_ids(rows.slice(1), vocabulary_path(), part)]
+    assert got == [want for _, want in ids]
+    assert list(batch_ids(rows.slice(0, 0), vocabulary_path(), part)) == []
+
+
+def test_ids_do_not_depend_on_the_caches_size(ids):
+    small = WordIds(vocabulary_path(), words=50)
+    for _ in range(2):
+        for (_, text), (_, want) in zip(texts(), ids, strict=True):
+            (got,) = small(pa.array([(text or "").encode()], pa.binary()))
+            assert got.tolist() == want[:-1]
+
+
+def test_common_words_outlast_a_full_cache():
+    words, learned = WordIds(vocabulary_path(), words=200), []
+    learn = words._learn
+    words._learn = lambda: (learned.extend(words.new), learn())
+    name = lambda n: "".join(chr(97 + int(d)) for d in str(n))
+    for k in range(60):
+        fresh = " ".join("z" + name(100 * k + i) for i in range(30))
+        list(words(pa.array([f"some common words, {fresh}".encode()], pa.binary())))
+        assert len(words.place) <= 300
+    assert len(learned) >= 60 * 30
+    assert [learned.count(w) for w in (b"some", b"common", b"words,")] == [1, 1, 1]
+
+
 @pytest.mark.parametrize("length", [4096, 64])
 @pytest.mark.parametrize("operator", ["shortest", "best-fit"])
 def test_pieces_hold_every_id_once(spark, docs, ids, operator, length):
