@@ -57,6 +57,14 @@ def patch_name(title: Column, idx: Column, suffix: Column) -> Column:
     return F.concat(F.lit("patch_"), safe, F.lit("_idx"), idx.cast("string"), suffix, F.lit(".png"))
 
 
+def round_double(x: Column, places: int) -> Column:
+    """A double rounded as the SQL does it: scaled, to the nearest whole number with halves away from zero, and back. Spark's
+    ``round`` goes by the shortest decimal of ``x`` instead, so it takes a quotient just below a half down. What has no finite
+    scaled value stays as it is."""
+    scaled = x * 10.0**places
+    return F.when(F.abs(scaled) < float("inf"), F.signum(scaled) * F.round(F.abs(scaled)) / 10.0**places).otherwise(x)
+
+
 def mse(a: Column, b: Column) -> Column:
     """Mean squared difference of two arrays of numbers."""
     total = F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x)

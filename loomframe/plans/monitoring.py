@@ -15,7 +15,8 @@ LAYERS = 7
 
 
 def rounded(df, *cols, places: int = 9):
-    return df.withColumns({c: F.round(c, places) for c in cols})
+    kinds = dict(df.dtypes)
+    return df.withColumns({c: columns.round_double(F.col(c), places) if kinds[c] == "double" else F.round(c, places) for c in cols})
 
 
 def series(spark, sf):

@@ -5,9 +5,12 @@ from __future__ import annotations
 import math
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as contract
+from loomframe.functions import columns
 from loomframe.functions.ranks import placed
 from loomframe.operators import registry, scans, telemetry
 from loomframe.operators.folds import SlidingQuantile
@@ -206,3 +209,31 @@ def test_a_ratio_over_a_loss_of_zero(spark):
     out = telemetry.val_train_ratio(spark.createDataFrame(val, schema), spark.createDataFrame(train, schema)).collect()
     got = {r.step: "nan" if r.ratio is not None and math.isnan(r.ratio) else r.ratio for r in out}
     assert got == {0: None, 2: math.inf, 4: "nan", 6: -math.inf, 8: -math.inf, 10: 2.0, 12: None}
+
+
+def test_a_ratio_beside_a_half_is_rounded_as_in_the_sql(spark, tmp_path):
+    """53.23 over 51.2 and the like lie at a half of the last digit, which their quotients in floating point just miss."""
+    vals = [50.03, 53.23, 54.43, 54.93, 25.89, 26.49, 53.13, 3.23, 109.31, 12.5]
+    rows = []
+    for user, val in enumerate(vals):  # the validation at step 10 is the third row, the training loss at step 10 the fourth
+        rows += [(4 * user + k, f"2024-01-01 00:00:0{k}", 150 * user, "view", v) for k, v in enumerate((1.0, 2.0, val, 51.2))]
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double")
+    folder = f"{tmp_path}/events.parquet"
+    events.withColumn("ts", F.to_timestamp_ntz("ts")).write.parquet(folder)
+    got = {(r.run_id, r.step): r.ratio for r in contract.queries()["m27_val_train_ratio"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{folder}/*.parquet')")
+    want = {(r[0], r[1]): r[4] for r in con.execute(contract.oracle_sql()["m27_val_train_ratio"]).fetchall()}
+    assert len(got) == 4 * len(vals)
+    assert got == want
+
+
+def test_doubles_are_rounded_as_duckdb_rounds_them(spark):
+    halves = [(k + 0.5) / 1e9 for k in (0, 3, 127148437, 1039648437, 56021 * 10**9)]
+    near = [math.nextafter(h, way) for h in halves for way in (0, math.inf)]
+    odd = [0.0, -0.0, 5e-324, 1e15 / 3, 1.7e308, math.inf, math.nan]
+    xs = [s * x for x in [*halves, *near, *odd] for s in (1, -1)] + [None]
+    for places in (5, 9):
+        got = spark.createDataFrame([(x,) for x in xs], "x double").select(columns.round_double(F.col("x"), places).alias("r")).collect()
+        want = [duckdb.execute("SELECT round(?::DOUBLE, ?)", [x, places]).fetchone()[0] for x in xs]
+        assert [repr(r.r) for r in got] == [repr(w) for w in want]
