@@ -217,7 +217,7 @@ def s7(spark, sf):
     files = e.select(F.concat(F.col("label").cast("string"), F.lit("/"), F.col("vec_id").cast("string"), F.lit(".png")).alias("path"), "vec_id", media.as_png(e, image).alias("png"))
     content = F.when(F.col("vec_id") % 13 == 0, F.encode(F.lit("no image"), "utf-8")).otherwise(F.col("png"))
     media.write_named(files.select("path", content.alias("content")), path)
-    got = documents.read_images(spark, path)
+    got = documents.read_images(spark, path, png_only=True)
     return got.select(below(F.col("origin"), path).alias("path"), "height", "width", "nChannels", F.lower(F.hex("data")).alias("px"))
 
 
@@ -234,7 +234,7 @@ def s8_files(spark, sf):
     form = F.when(F.pmod("frame_idx", F.lit(2)) == 0, "small_540").otherwise("medium_169")
     windows = whole_windows(spark, sf).select("*", category.alias("category"), form.alias("format"), F.concat(F.lit("V: "), video.cast("string")).alias("name"))
     media.write_patch_files(windows, path, {"space": "Space/Own"})
-    got = documents.read_images(spark, path)
+    got = documents.read_images(spark, path, png_only=True)
     return got.select(below(F.col("origin"), path).alias("path"), "height", "width", F.lower(F.hex("data")).alias("px"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomframe import schemas
+from loomframe.sources import media
 
 #: Fixed values. Suffixes of video files; case counts.
 MEDIA = "*.{mkv,mp4,avi,mov}"
@@ -107,6 +108,9 @@ def read_training_log(spark: SparkSession, path: str) -> DataFrame:
     return log_lines(spark.read.text(path))
 
 
-def read_images(spark: SparkSession, path: str, drop_invalid: bool = False) -> DataFrame:
-    """Decoded images (BGR) below a folder; unreadable files have height -1, or are left out."""
+def read_images(spark: SparkSession, path: str, drop_invalid: bool = False, png_only: bool = False) -> DataFrame:
+    """Decoded images (BGR) below a folder; unreadable files have height -1, or are left out. Spark's image source keeps the
+    status of every file in the driver, about 0.8 KB each; with ``png_only`` files are listed and decoded in tasks."""
+    if png_only:
+        return media.png_images(spark, path, drop_invalid)
     return spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", drop_invalid).load(path).select("image.*")

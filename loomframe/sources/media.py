@@ -3,6 +3,8 @@
 ``NamedFiles`` is a sink with two phases. Tasks write below a staging folder beside the target, every file under a name of
 its own attempt first; once all tasks are done, one rename puts the folder in place. Until then nothing is to be seen at the
 target, and a failed job leaves it as it was. What tasks report is a count, so the driver's part does not grow with files.
+Nor does it as they are read back: ``listed`` lists folders in tasks, where Spark's file sources keep every file's status in
+the driver, and ``png_images`` opens and decodes the files in tasks.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
@@ -28,14 +30,20 @@ from pyspark.sql.types import StructType
 from loomframe.functions import columns, dims
 from loomframe.operators import images
 from loomframe.operators.catalog import resolve_category_path
-from loomframe.session import ship
+from loomframe.session import shared_folder, ship
 
 #: The writer's Python also starts beside the driver, where added files are not seen: its code travels along.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SCHEMA = "path string, content binary"
+LISTING = "path string, length bigint, modificationTime timestamp, is_folder boolean"
+DECODED = "origin string, height int, width int, nChannels int, mode int, data binary"
 #: Fixed values. The three folders of a patch: its target, and the stacks of five and seven input frames.
 PATCH_FOLDERS = (("GT", "gt"), ("LR", "lr"), ("LR_7frames", "lr7"))
+#: Fixed values. Channels by PNG colour type, and the image source's modes by channels.
+PNG_CHANNELS = {0: 1, 2: 3, 6: 4}
+MODES = {1: 0, 3: 16, 4: 24}
+PNG_MARK = b"\x89PNG\r\n\x1a\n"
 
 
 @dataclass
@@ -122,6 +130,120 @@ def write_named(files: DataFrame, base: str, overwrite: bool = False) -> None:
     files.select("path", "content").write.format("named_files").mode("overwrite" if overwrite else "append").option("path", base).save()
 
 
+def arrow_schema(ddl: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
+def listed(spark: SparkSession, base: str) -> DataFrame:
+    """The files below ``base`` (path, relative to it; length, modificationTime). There is a job for each level of folders and
+    each folder is listed by one task; the list is stored, and the driver sees none of it. Names that begin with ``.`` or ``_``
+    are left out, as Spark's sources do."""
+    ship(spark)
+    schema, kept = arrow_schema(LISTING), shared_folder(spark, "listing")
+    level, folders = 0, spark.createDataFrame([("",)], "path string")
+
+    def children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(base.rstrip("/"))
+        for folder in (f for batch in batches for f in batch.column("path").to_pylist()):
+            found = fs.get_file_info(pafs.FileSelector(posixpath.join(root, folder)))
+            for k in range(0, len(found), 10_000):
+                shown = [i for i in found[k : k + 10_000] if not i.base_name.startswith((".", "_"))]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([posixpath.join(folder, i.base_name) for i in shown], pa.string()),
+                    pa.array([i.size for i in shown], pa.int64()),
+                    pa.array([i.mtime_ns and i.mtime_ns // 1000 for i in shown], pa.int64()).cast(schema.field("modificationTime").type),
+                    pa.array([i.type == pafs.FileType.Directory for i in shown], pa.bool_()),
+                ], schema=schema)
+
+    while level == 0 or not folders.isEmpty():
+        folders.repartition(tasks(spark), "path").mapInArrow(children, LISTING).write.parquet(f"{kept}/level={level}")
+        folders = spark.read.schema(LISTING).parquet(f"{kept}/level={level}").where("is_folder").select("path")
+        level += 1
+    return spark.read.schema(f"{LISTING}, level int").parquet(kept).where("not is_folder").drop("is_folder", "level")
+
+
+def tasks(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def png_images(spark: SparkSession, base: str, drop_invalid: bool = False) -> DataFrame:
+    """The PNG files below ``base`` as the image source gives them; files that can't be read, also empty ones (which that source
+    passes over), have height -1, or are left out."""
+    schema = arrow_schema(DECODED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(base.rstrip("/"))
+        rows, size = [], 0
+        for path in (p for batch in batches for p in batch.column("path").to_pylist()):
+            with fs.open_input_stream(posixpath.join(root, path), compression=None) as file:
+                found = png_pixels(file.read())
+            rows.append(dict(zip(schema.names, (f"{base.rstrip('/')}/{path}", *(found or (-1, -1, -1, -1, b""))), strict=True)))
+            size += len(rows[-1]["data"])
+            if len(rows) == 1000 or size > 2**24:
+                yield pa.RecordBatch.from_pylist(rows, schema)
+                rows, size = [], 0
+        yield pa.RecordBatch.from_pylist(rows, schema)
+
+    decoded = listed(spark, base).select("path").repartition(tasks(spark), "path").mapInArrow(run, DECODED)
+    return decoded.where("height >= 0") if drop_invalid else decoded
+
+
+def png_pixels(content: bytes) -> tuple[int, int, int, int, bytes] | None:
+    """Height, width, channels, mode and pixels (grey, BGR or BGR with alpha) of a PNG, or None if it is none or broken. The
+    kinds that ``png_bytes`` writes, with any filter; others are refused."""
+    try:
+        chunks, at = {b"IDAT": b""}, len(PNG_MARK)
+        if not content.startswith(PNG_MARK):
+            return None
+        while b"IEND" not in chunks:
+            length, kind = struct.unpack_from(">I4s", content, at)
+            data, (crc,) = content[at + 8 : at + 8 + length], struct.unpack_from(">I", content, at + 8 + length)
+            if zlib.crc32(kind + data) != crc:
+                return None
+            chunks[kind] = chunks[kind] + data if kind == b"IDAT" else data
+            at += 12 + length
+        w, h, depth, colour, _, _, interlaced = struct.unpack(">IIBBBBB", chunks[b"IHDR"])
+        packed = zlib.decompress(chunks[b"IDAT"])
+    except (struct.error, zlib.error, KeyError):
+        return None
+    if depth != 8 or colour not in PNG_CHANNELS or interlaced or b"tRNS" in chunks:
+        raise ValueError(f"a PNG of depth {depth}, colour type {colour}, interlacing {interlaced}; read it by the image source")
+    c = PNG_CHANNELS[colour]
+    if len(packed) != h * (1 + w * c):
+        return None
+    rows = np.frombuffer(packed, np.uint8).reshape(h, 1 + w * c)
+    if rows[:, 0].max(initial=0) > 4:
+        return None
+    array = unfiltered(rows, c) if rows[:, 0].any() else rows[:, 1:]
+    array = array.reshape(h, w, c)[:, :, [2, 1, 0, 3][:c]] if c > 1 else array
+    return h, w, c, MODES[c], np.ascontiguousarray(array).tobytes()
+
+
+def unfiltered(rows: np.ndarray, c: int) -> np.ndarray:
+    """The bytes of a PNG's rows, of ``c`` bytes a pixel, without their filters: none, left, up, mean of both, Paeth."""
+    out = np.zeros((len(rows) + 1, rows.shape[1] - 1 + c), np.int64)  # a row above and a pixel to the left, of zeros
+    for y, row in enumerate(rows, 1):
+        kind, line, above = row[0], row[1:].astype(np.int64), out[y - 1]
+        if kind == 1:
+            line = line.reshape(-1, c).cumsum(axis=0).ravel()
+        elif kind == 2:
+            line += above[c:]
+        if kind < 3:
+            out[y, c:] = line % 256
+            continue
+        for x in range(c, out.shape[1], c):
+            a, b, corner = out[y, x - c : x], above[x : x + c], above[x - c : x]
+            if kind == 3:
+                guess = (a + b) // 2
+            else:
+                da, db, dc = abs(b - corner), abs(a - corner), abs(a + b - 2 * corner)
+                guess = np.where((da <= db) & (da <= dc), a, np.where(db <= dc, b, corner))
+            out[y, x : x + c] = (line[x - c : x] + guess) % 256
+    return out[1:, c:].astype(np.uint8)
+
+
 def png_bytes(image: dict | None, level: int = 3) -> bytes | None:
     """A PNG of an image struct: grey, BGR or BGR with alpha."""
     if image is None:
@@ -133,7 +255,7 @@ def png_bytes(image: dict | None, level: int = 3) -> bytes | None:
     rows = np.concatenate([np.zeros((h, 1), np.uint8), array.reshape(h, w * c)], axis=1).tobytes()  # no filter on any row
     chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
     head = struct.pack(">IIBBBBB", w, h, 8, kinds[c], 0, 0, 0)
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows, level)) + chunk(b"IEND", b"")
+    return PNG_MARK + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows, level)) + chunk(b"IEND", b"")
 
 
 def as_png(df: DataFrame, image: Column) -> Column:

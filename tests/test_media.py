@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
 from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from loomframe import queries as own
 from loomframe.operators import images
 from loomframe.sources import media
 from loomframe.sources.documents import read_images
@@ -58,3 +61,62 @@ def test_png_is_read_back_by_the_decoder(spark, tmp_path, channels):
     assert (images.pixels(got["b.png"].asDict()) == array).all()
     assert got["torn.png"].height == -1
     assert media.png_bytes(None) is None
+
+
+def filtered(array: np.ndarray, kinds: list[int]) -> bytes:
+    """A PNG whose rows have the given filters."""
+    h, w, c = array.shape
+    rgb = array[:, :, [2, 1, 0, 3][:c]] if c > 1 else array
+    lines, packed = np.zeros((h + 1, (w + 1) * c), int), b""
+    lines[1:, c:] = rgb.reshape(h, w * c)
+    for y, kind in enumerate(kinds, 1):
+        line, left, up, corner = lines[y, c:], lines[y, :-c], lines[y - 1, c:], lines[y - 1, :-c]
+        near = [min((abs(b - k), 0, a), (abs(a - k), 1, b), (abs(a + b - 2 * k), 2, k))[2] for a, b, k in zip(left.tolist(), up.tolist(), corner.tolist(), strict=True)]
+        packed += bytes([kind]) + ((line - [0 * line, left, up, (left + up) // 2, np.array(near)][kind]) % 256).astype(np.uint8).tobytes()
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    head, half, z = struct.pack(">IIBBBBB", w, h, 8, {1: 0, 3: 2, 4: 6}[c], 0, 0, 0), len(packed) // 2, zlib.compressobj()
+    parts = [z.compress(packed[:half]) + z.flush(zlib.Z_SYNC_FLUSH), z.compress(packed[half:]) + z.flush()]
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + b"".join(chunk(b"IDAT", p) for p in parts) + chunk(b"IEND", b"")
+
+
+def test_images_read_in_tasks_are_those_of_the_image_source(spark, tmp_path):
+    files, r = {}, np.random.default_rng(3)
+    for c in (1, 3, 4):
+        array = r.integers(0, 256, (11, 6, c), np.uint8)
+        files[f"{c}/plain.png"] = media.png_bytes(images.image(array))
+        files[f"{c}/deep/er/all.png"] = filtered(array, [0, 1, 2, 3, 4, 4, 3, 2, 1, 0, 4])
+        files[f"{c}/deep/first.png"] = filtered(array[:3], [4, 3, 2])
+    files |= {"torn.png": files["3/plain.png"][:50], "none.png": b"no image", "empty.png": b"", "_left.png": b"", "_out/x.png": files["1/plain.png"]}
+    base = f"file://{tmp_path}/p"
+    media.write_named(rows(spark, files.items()), base)
+
+    def found(**how):
+        return sorted((r.origin.split("/p/")[1], r.height, r.width, r.nChannels, r.mode, bytes(r.data)) for r in read_images(spark, base, **how).collect())
+
+    assert len(found()) == 11
+    assert found(png_only=True) == sorted([*found(), ("empty.png", -1, -1, -1, -1, b"")])
+    assert found(png_only=True, drop_invalid=True) == found(drop_invalid=True)
+    for damaged in (files["3/plain.png"][:-20] + b"x" + files["3/plain.png"][-19:], files["3/plain.png"][:-12]):
+        assert media.png_pixels(damaged) is None
+    with pytest.raises(ValueError, match="interlacing 1"):
+        head = b"IHDR" + struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 1)
+        media.png_pixels(b"\x89PNG\r\n\x1a\n" + struct.pack(">I", 13) + head + struct.pack(">I", zlib.crc32(head)) + files["3/plain.png"][33:])
+
+
+def test_files_are_listed_in_tasks(spark, tmp_path):
+    files = {"a.mkv": b"1", "deep/er/b.png": b"22", "deep/c d": b"", ".x": b"1", "deep/_y": b"1"}
+    media.write_named(rows(spark, files.items()), f"file://{tmp_path}/p")
+    (tmp_path / "p" / "no file").mkdir()
+    got = media.listed(spark, f"file://{tmp_path}/p/").collect()
+    assert {r.path: r.length for r in got} == {"a.mkv": 1, "deep/er/b.png": 2, "deep/c d": 0}
+    now = spark.range(1).select(F.current_timestamp()).collect()[0][0]
+    assert all(0 <= (now - r.modificationTime).total_seconds() < 600 for r in got)
+    media.write_named(rows(spark, []), f"file://{tmp_path}/none")
+    assert media.listed(spark, f"file://{tmp_path}/none").collect() == []
+
+
+def test_the_driver_keeps_no_status_of_patch_files(spark, sf):
+    """The patch files' list does not pass through the driver: no scan of the plan names them."""
+    got = own.queries()["s8_patch_files"](spark, sf)
+    assert got.count() > 0
+    assert not [f for f in got.inputFiles() if f.endswith(".png")]
