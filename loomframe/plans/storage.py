@@ -201,7 +201,7 @@ def s1(spark, sf):
     suffix = F.element_at(F.array(*[F.lit(x) for x in SUFFIXES]), (F.pmod("doc_id", F.lit(len(SUFFIXES))) + 1).cast("int"))
     name = F.concat("lang", F.lit("/"), F.col("source"), F.lit("/{edition-x} "), F.col("doc_id").cast("string"), suffix)
     media.write_named(table(spark, sf, "documents").select(name.alias("path"), F.encode("text", "utf-8").alias("content")), path)
-    found = documents.scan_media(spark, path)
+    found = documents.scan_media(spark, path, in_tasks=True)
     return found.select(below(F.col("path"), path).alias("path"), "name", below(F.col("folder"), path).alias("folder"), "length")
 
 

@@ -9,13 +9,17 @@ from loomframe import schemas
 from loomframe.sources import media
 
 #: Fixed values. Suffixes of video files; case counts.
-MEDIA = "*.{mkv,mp4,avi,mov}"
+MEDIA = ("mkv", "mp4", "avi", "mov")
 
 
-def scan_media(spark: SparkSession, root: str) -> DataFrame:
-    """One row for each video file below ``root``: path, name, folder, length, modificationTime. Contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", MEDIA).load(root)
+def scan_media(spark: SparkSession, root: str, in_tasks: bool = False) -> DataFrame:
+    """One row for each video file below ``root``: path, name, folder, length, modificationTime. Contents are not read. With
+    ``in_tasks`` no listing lies in the driver, and empty files, which Spark's source passes over, are listed too."""
     path = F.col("path")
+    if in_tasks:
+        files = media.listed(spark, root).where(path.rlike(rf"\.({'|'.join(MEDIA)})$")).withColumn("path", F.concat(F.lit(root.rstrip("/") + "/"), path))
+    else:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{{{','.join(MEDIA)}}}").load(root)
     return files.select("path", F.regexp_extract(path, r"([^/]+)$", 1).alias("name"), F.regexp_replace(path, r"/[^/]+$", "").alias("folder"), "length", "modificationTime")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from loomframe import queries as own
 from loomframe.operators import images
 from loomframe.sources import media
-from loomframe.sources.documents import read_images
+from loomframe.sources.documents import read_images, scan_media
 
 
 def tree(base: Path) -> dict[str, bytes]:
@@ -120,3 +120,20 @@ def test_the_driver_keeps_no_status_of_patch_files(spark, sf):
     got = own.queries()["s8_patch_files"](spark, sf)
     assert got.count() > 0
     assert not [f for f in got.inputFiles() if f.endswith(".png")]
+
+
+def test_media_listed_in_tasks_are_those_of_sparks_source(spark, sf, tmp_path):
+    files = {"a.mkv": b"1", "deep/b c.mov": b"22", "deep/d.MP4": b"1", "deep/e.mkv.part": b"1", "mkv": b"1", "none.avi": b"", ".x.mkv": b"1"}
+    media.write_named(rows(spark, files.items()), f"file://{tmp_path}/p")
+
+    def found(root, **how):
+        below = lambda p: p.split(f"{tmp_path}/p", 1)[1]
+        return sorted((below(r.path), r.name, below(r.folder), r.length, r.modificationTime.replace(microsecond=0)) for r in scan_media(spark, root, **how).collect())
+
+    plain = found(f"file://{tmp_path}/p")
+    assert [r[1] for r in plain] == ["a.mkv", "b c.mov"]
+    for root in (f"file://{tmp_path}/p", f"file://{tmp_path}/p/", f"{tmp_path}/p"):
+        got = found(root, in_tasks=True)
+        assert [r for r in got if r[1] != "none.avi"] == plain
+        assert [r[:4] for r in got if r[1] == "none.avi"] == [("/none.avi", "none.avi", "", 0)]
+    assert not own.queries()["s1_scan_media"](spark, sf).inputFiles()[0].endswith((".mkv", ".mp4", ".avi", ".mov"))
