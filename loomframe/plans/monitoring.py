@@ -218,7 +218,8 @@ FROM (
 def i6(spark, sf):
     f = views.frames(spark, sf)
     out = images.to_tensor(f, "image")
-    return out.select("video_id", "frame_no", F.round(F.aggregate("tensor", F.lit(0.0), lambda s, x: s + x), 6).alias("total"), F.round(F.get("tensor", F.lit(9)), 9).alias("tenth"))
+    out = out.select("video_id", "frame_no", F.aggregate("tensor", F.lit(0.0), lambda s, x: s + x).alias("total"), F.get("tensor", F.lit(9)).alias("tenth"))
+    return rounded(rounded(out, "total", places=6), "tenth")
 
 
 def pixel(spark, sf, variant):
@@ -241,12 +242,12 @@ def i9(spark, sf):
     out = images.pixel_losses(views.image_pairs(spark, sf), SHAPE)
     w = F.when(F.col("vec_id") % 2 == 0, F.lit(0.5))
     total = columns.total_loss({"l1": (w, 0.6), "ms": (F.lit(None).cast("double"), 0.2), "grad": (F.lit(None).cast("double"), 0.2), "perceptual": (F.lit(0.1), 0.0)}, {"l1": F.col("l1"), "ms": F.col("ms"), "grad": F.col("grad"), "perceptual": F.lit(None).cast("double")})
-    return out.select("vec_id", F.round(total, 9).alias("total"))
+    return rounded(out.select("vec_id", total.alias("total")), "total")
 
 
 def i12(spark, sf, variant):
     p = images.ssim(images.psnr(views.image_pairs(spark, sf)), SHAPE)
-    return p.select("vec_id", F.round(columns.quality_score(F.col("psnr"), F.col("ssim"), variant), 6).alias("quality"))
+    return rounded(p.select("vec_id", columns.quality_score(F.col("psnr"), F.col("ssim"), variant).alias("quality")), "quality", places=6)
 
 
 def i13(spark, sf):
@@ -334,7 +335,7 @@ SELECT run_id, step, CASE WHEN step < 500 THEN 'Warmup' WHEN step < 600 THEN 'Se
     "m30_log_activity_score": (lambda s, d: series(s, d).select("run_id", "step", columns.log_activity_score(F.col("value") / 10).alias("score")), sql("SELECT run_id, step, greatest(0, least(100, trunc((log10(value / 10 + 1e-9) + 5) * 25)::INT)) AS score FROM metrics", "metrics")),
     "m31_status_labels": (m31, sql("""SELECT run_id, step, CASE WHEN event_id % 400 > 300 THEN 'warning' WHEN event_id % 400 > 150 THEN 'raised' ELSE 'normal' END AS plateau_band, CASE WHEN event_id % 100 >= 70 THEN 'good' WHEN event_id % 100 >= 50 THEN 'fair' ELSE 'poor' END AS quality_band,
 CASE WHEN event_id % 9 - 4 > 2 THEN 'rising' WHEN event_id % 9 - 4 < -2 THEN 'falling' ELSE 'stable' END AS trend_label, CASE WHEN event_id % 5 = 0 THEN 'validating' WHEN event_id % 3 = 0 THEN 'paused' WHEN event_id % 2 = 0 THEN 'training' END AS state FROM metrics""", "metrics")),
-    "i1_scene_diff": (lambda s, d: images.scene_diff(windows(s, d)).select("video_id", "frame_no", F.round("diff", 9).alias("diff"), "stable"), sql("SELECT a.video_id, a.frame_no, round(list_avg(list_transform(list_zip(a.px, b.px), lambda z: abs(z[1] - z[2]))), 9) AS diff, list_avg(list_transform(list_zip(a.px, b.px), lambda z: abs(z[1] - z[2]))) < 45 AS stable FROM frames a JOIN frames b ON a.video_id = b.video_id AND b.frame_no = a.frame_no + 6", "frames")),
+    "i1_scene_diff": (lambda s, d: rounded(images.scene_diff(windows(s, d)).select("video_id", "frame_no", "diff", "stable"), "diff"), sql("SELECT a.video_id, a.frame_no, round(list_avg(list_transform(list_zip(a.px, b.px), lambda z: abs(z[1] - z[2]))), 9) AS diff, list_avg(list_transform(list_zip(a.px, b.px), lambda z: abs(z[1] - z[2]))) < 45 AS stable FROM frames a JOIN frames b ON a.video_id = b.video_id AND b.frame_no = a.frame_no + 6", "frames")),
     "i2_gt_crop": (lambda s, d: images.gt_crop(whole_windows(s, d)).select("video_id", "frame_idx", F.col("gt.height").alias("height"), hexed(None, "gt").alias("px")), sql(f"SELECT video_id, frame_idx, 6 AS height, {CROP.format(y='y', x='x', more='', px='f[4]')} AS px FROM w", "frames", recursive=WINDOW)),
     "i3_lr_stack": (lambda s, d: images.lr_stack(whole_windows(s, d)).select("video_id", "frame_idx", F.col("lr.height").alias("height"), hexed(None, "lr").alias("px")), stacked(5)),
     "i3_lr_stack_7": (lambda s, d: images.lr_stack(whole_windows(s, d), 7).select("video_id", "frame_idx", F.col("lr.height").alias("height"), hexed(None, "lr").alias("px")), stacked(7)),

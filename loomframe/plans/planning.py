@@ -44,7 +44,7 @@ def c10(spark, sf):
     rate = F.when(F.col("p_size") % 7 == 0, F.lit("25/0")).when(F.col("p_size") % 5 == 0, F.lit("n/a")).otherwise(F.concat(F.col("p_size").cast("string"), F.lit("000/1001")))
     df = table(spark, sf, "part").select("p_partkey", rate.alias("avg_frame_rate"), F.when(F.col("p_size") % 11 == 0, F.lit("?")).otherwise(F.col("p_retailprice").cast("string")).alias("duration"))
     out = catalog.probe_defaults(df)
-    return out.select("p_partkey", F.round("fps", 9).alias("fps"), "seconds")
+    return out.select("p_partkey", columns.round_double(F.col("fps"), 9).alias("fps"), "seconds")
 
 
 def grid(spark, sf):
@@ -59,7 +59,7 @@ TRIES = f"SELECT video_id, frame_idx, attempt, duration, fmod(t0 + attempt * 60.
 
 def p4(spark, sf):
     tries = sampling.retry_candidates(grid(spark, sf), 4).withColumn("accepted", F.pmod(F.floor("ts").cast("bigint") + F.col("video_id"), F.lit(3)) == 0)
-    return sampling.first_accepted(tries, 4).withColumn("ts", F.round("ts", 6))
+    return sampling.first_accepted(tries, 4).withColumn("ts", columns.round_double(F.col("ts"), 6))
 
 
 def p5(spark, sf):
@@ -111,13 +111,13 @@ COUNTS = f"""SELECT coalesce(m.category, t.category) AS category, coalesce(image
 
 def a2(spark, sf):
     out = progress.category_progress(progress.category_counts(views.patches(spark, sf), targets(spark, sf)), 50.0)
-    return out.select("category", F.round("percent", 6).alias("percent"), F.round("rate", 6).alias("rate"), F.round("eta", 6).alias("eta"), "status")
+    return out.select("category", columns.round_double(F.col("percent"), 6).alias("percent"), columns.round_double(F.col("rate"), 6).alias("rate"), columns.round_double(F.col("eta"), 6).alias("eta"), "status")
 
 
 def a3(spark, sf):
     c = views.checkpoints(spark, sf).select((F.pmod("step", F.lit(3)) > 0).alias("completed"), F.pmod("step", F.lit(11)).alias("extractions"), (F.pmod("step", F.lit(11)) + F.pmod("step", F.lit(2))).alias("attempts"))
     out = progress.overall_progress(c, 3600.0)
-    return out.select("total", "completed", "extractions", "attempts", *[F.round(x, 6).alias(x) for x in ("percent", "seconds_a_video", "eta", "extraction_rate", "success_rate")])
+    return out.select("total", "completed", "extractions", "attempts", *[columns.round_double(F.col(x), 6).alias(x) for x in ("percent", "seconds_a_video", "eta", "extraction_rate", "success_rate")])
 
 
 def entries_of(spark, sf):
@@ -156,7 +156,7 @@ def k8(spark, sf):
     params = [r[0] for r in dims.PARAM_RULES]
     w = table(spark, sf, "events")
     name = F.element_at(F.array(*[F.lit(p) for p in params]), (F.pmod("event_id", F.lit(len(params))) + 1).cast("int"))
-    changes = w.select(F.col("event_id").alias("change_id"), name.alias("param"), F.round(F.col("value") / F.when(F.col("event_id") % 2 == 0, 1.0).otherwise(500.0), 6).alias("value"))
+    changes = w.select(F.col("event_id").alias("change_id"), name.alias("param"), columns.round_double(F.col("value") / F.when(F.col("event_id") % 2 == 0, 1.0).otherwise(500.0), 6).alias("value"))
     current = {"l1_weight_target": 0.6, "ms_weight_target": 0.2, "grad_weight_target": 0.2}
     return registry.validate_params(changes, current, dims.param_rules(spark))
 
@@ -258,12 +258,12 @@ SELECT DISTINCT category, unnest(['/data/' || p || '/' || output_dir || '/GT', '
     "c10_probe_defaults": (c10, """WITH t AS (SELECT p_partkey, CASE WHEN p_size % 7 = 0 OR p_size % 5 = 0 THEN NULL ELSE p_size * 1000 / 1001.0::DOUBLE END AS fps, CASE WHEN p_size % 11 = 0 THEN NULL ELSE p_retailprice END AS seconds FROM part)
 SELECT p_partkey, round(CASE WHEN fps IS NULL OR seconds IS NULL THEN 23.976::DOUBLE ELSE fps END, 9) AS fps, CASE WHEN fps IS NULL OR seconds IS NULL THEN 3600.0::DOUBLE ELSE seconds END AS seconds FROM t"""),
     "p1_extraction_quota": (lambda s, d: sampling.extraction_quota(views.videos(s, d), 30).select("video_id", "quota"), sql("SELECT video_id, floor(cat_sum * 30)::INT AS quota FROM videos", "videos")),
-    "p2_sample_grid": (lambda s, d: grid(s, d).select("video_id", "frame_idx", F.round("ts", 6).alias("ts")), sql(f"SELECT video_id, frame_idx, round(ts, 6) AS ts FROM ({GRID})", "videos")),
-    "p3_retry_candidates": (lambda s, d: sampling.retry_candidates(grid(s, d), 4).select("video_id", "frame_idx", "attempt", F.round("ts", 6).alias("ts")), sql("", "videos") + f", grid AS ({GRID}) SELECT video_id, frame_idx, attempt, round(ts, 6) AS ts FROM ({TRIES})"),
+    "p2_sample_grid": (lambda s, d: grid(s, d).select("video_id", "frame_idx", columns.round_double(F.col("ts"), 6).alias("ts")), sql(f"SELECT video_id, frame_idx, round(ts, 6) AS ts FROM ({GRID})", "videos")),
+    "p3_retry_candidates": (lambda s, d: sampling.retry_candidates(grid(s, d), 4).select("video_id", "frame_idx", "attempt", columns.round_double(F.col("ts"), 6).alias("ts")), sql("", "videos") + f", grid AS ({GRID}) SELECT video_id, frame_idx, attempt, round(ts, 6) AS ts FROM ({TRIES})"),
     "p4_first_accepted": (p4, sql("", "videos") + f""", grid AS ({GRID}), t AS (SELECT *, (floor(ts)::BIGINT + video_id) % 3 = 0 AS ok FROM ({TRIES}))
 SELECT video_id, frame_idx, coalesce(bool_or(ok), false) AS success, coalesce(min(attempt) FILTER (ok) + 1, 4) AS attempts, round(arg_min(ts, attempt) FILTER (ok), 6) AS ts FROM t GROUP BY 1, 2"""),
     "p5_frame_window": (p5, sql("SELECT a.video_id, a.frame_no AS frame_idx, max(b.frame_no) AS last_frame, count(*)::INT AS n_images FROM frames a JOIN frames b ON a.video_id = b.video_id AND b.frame_no BETWEEN a.frame_no AND a.frame_no + 6 GROUP BY 1, 2 HAVING count(*) = 7", "frames")),
-    "p6_val_train_plan": (lambda s, d: sampling.val_train_plan(views.weighted_videos(s, d), 300).withColumn("ts", F.round("ts", 6)), sql("""SELECT video_id, 'Val' AS split, i::INT AS i, round(duration * 0.2::DOUBLE + i * (duration * 0.6::DOUBLE / n_val), 6) AS ts FROM (SELECT *, unnest(range(n_val)) AS i FROM limits)
+    "p6_val_train_plan": (lambda s, d: sampling.val_train_plan(views.weighted_videos(s, d), 300).withColumn("ts", columns.round_double(F.col("ts"), 6)), sql("""SELECT video_id, 'Val' AS split, i::INT AS i, round(duration * 0.2::DOUBLE + i * (duration * 0.6::DOUBLE / n_val), 6) AS ts FROM (SELECT *, unnest(range(n_val)) AS i FROM limits)
 UNION ALL SELECT video_id, 'Patches', i::INT, round(i * (duration / "limit"), 6) FROM (SELECT *, unnest(range(n_train)) AS i FROM limits)""", "videos", "weighted_videos", "limits")),
     "p7_weighted_interleave": (lambda s, d: sampling.weighted_interleave(views.weighted_videos(s, d), 300), sql("""SELECT video_id, i, i // chunk AS round, row_number() OVER (ORDER BY i // chunk, weight DESC, name, video_id, i) - 1 AS position FROM (SELECT *, unnest(range(n_train))::INT AS i FROM limits)""", "videos", "weighted_videos", "limits")),
     "p8_readiness": (p8, sql("SELECT *, done >= needed AS ready FROM (SELECT sum(n_val + least(chunk, n_train))::BIGINT AS needed, (SELECT count(*) FROM labels) AS done FROM limits)", "videos", "weighted_videos", "limits")),
@@ -307,8 +307,8 @@ SELECT a.run_id, a.step + 3 AS step, b.step AS config_step, CASE WHEN b.step IS
     "k13_merge_defaults": (k13, f"SELECT c_custkey, CASE WHEN key = 'OTHER' THEN 11 ELSE 10 END::INT AS n, CASE WHEN key = 'MAX_STEPS' THEN value ELSE '100000' END AS max_steps, CASE WHEN key = 'OTHER' THEN value END AS other FROM ({USER})"),
     "k13_required_fields": (k13b, f"SELECT c_custkey, array_to_string(list_filter(['LR_EXPONENT', 'WEIGHT_DECAY', 'MAX_STEPS', 'VAL_STEP_EVERY', 'SAVE_STEP_EVERY', 'LOG_TBOARD_EVERY'], lambda x: x IS DISTINCT FROM key), ',') AS missing, false AS valid FROM ({USER})"),
     "k14_hparam_table": (k14, K14),
-    "q1_improvement_history": (lambda s, d: history.improvement_history(views.stats(s, d)).select("run_id", "step", F.round("improvement_pct", 9).alias("improvement_pct"), F.round("quality_pct", 9).alias("quality_pct")), sql("SELECT run_id, step, round(improvement * 100, 9) AS improvement_pct, round(quality_ki * 100, 9) AS quality_pct FROM stats", "metrics", "stats")),
+    "q1_improvement_history": (lambda s, d: history.improvement_history(views.stats(s, d)).select("run_id", "step", columns.round_double(F.col("improvement_pct"), 9).alias("improvement_pct"), columns.round_double(F.col("quality_pct"), 9).alias("quality_pct")), sql("SELECT run_id, step, round(improvement * 100, 9) AS improvement_pct, round(quality_ki * 100, 9) AS quality_pct FROM stats", "metrics", "stats")),
     "q2_best_quality_step": (lambda s, d: history.best_quality_step(views.stats(s, d)), sql("SELECT run_id, arg_max(step, struct_pack(q := quality_ki, s := -step)) AS step, max(quality_ki) AS quality_ki FROM stats GROUP BY 1", "metrics", "stats")),
     "q3_plateau_report": (lambda s, d: history.plateau_report(views.stats(s, d)), sql("SELECT run_id, step, plateau_counter, CASE WHEN boost_available THEN 'boost ready' ELSE 'cooling down' END AS boost FROM stats WHERE plateau_counter > 300", "metrics", "stats")),
-    "q4_compare_runs": (lambda s, d: history.compare_runs(views.stats(s, d), "click-0", "view-0").select("step", *[F.round(c, 9).alias(c) for c in ("improvement_1", "improvement_2", "difference")]), sql("SELECT step, round(a.improvement * 100, 9) AS improvement_1, round(b.improvement * 100, 9) AS improvement_2, round(b.improvement * 100 - a.improvement * 100, 9) AS difference FROM stats a JOIN stats b USING (step) WHERE a.run_id = 'click-0' AND b.run_id = 'view-0'", "metrics", "stats")),
+    "q4_compare_runs": (lambda s, d: history.compare_runs(views.stats(s, d), "click-0", "view-0").select("step", *[columns.round_double(F.col(c), 9).alias(c) for c in ("improvement_1", "improvement_2", "difference")]), sql("SELECT step, round(a.improvement * 100, 9) AS improvement_1, round(b.improvement * 100, 9) AS improvement_2, round(b.improvement * 100 - a.improvement * 100, 9) AS difference FROM stats a JOIN stats b USING (step) WHERE a.run_id = 'click-0' AND b.run_id = 'view-0'", "metrics", "stats")),
 }

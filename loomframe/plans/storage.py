@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomframe.functions import dims
+from loomframe.functions import columns, dims
 from loomframe.operators import history, registry
 from loomframe.plans import views
 from loomframe.plans.monitoring import CROP, M5, WINDOW, stack_of, whole_windows
@@ -116,7 +116,7 @@ def statistics(spark, sf):
     """Saved statistics of each hundred validations, all runs together."""
     s = validations(spark, sf).withColumn("step", (F.floor((F.col("step") - 500) / 50000) * 50000).cast("bigint"))
     greatest = [F.max(c).alias(c) for c in ("plateau", "boost")]
-    return states(s.groupBy("step").agg(*greatest, *[F.round(F.max(c), 6).alias(c) for c in ("quality", "improvement")]))
+    return states(s.groupBy("step").agg(*greatest, *[columns.round_double(F.max(c), 6).alias(c) for c in ("quality", "improvement")]))
 
 
 FIELDS = ", ".join(f"{e} AS {k}" for k, e in STATE.items())
@@ -165,13 +165,13 @@ MESSAGES = [
 def s6(spark, sf):
     path = shared_folder(spark, "logs")
     c = views.checkpoints(spark, sf)
-    parts = {"{s}": F.col("step").cast("string"), "{n}": F.format_string("%07d", "step"), "{q}": F.format_string("%.1f", F.round(F.col("quality") * 100, 1))}
+    parts = {"{s}": F.col("step").cast("string"), "{n}": F.format_string("%07d", "step"), "{q}": F.format_string("%.1f", columns.round_double(F.col("quality") * 100, 1))}
     message = F.element_at(F.array(*[F.lit(m) for _, m in MESSAGES]), (F.col("step") % len(MESSAGES) + 1).cast("int"))
     for mark, value in parts.items():
         message = F.replace(message, F.lit(mark), value)
     line = F.when(F.col("step") % 13 == 0, message).otherwise(F.concat(F.lit("["), F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"), F.lit("] "), message))
     c.select(line.alias("value")).write.text(path)
-    return documents.read_training_log(spark, path).groupBy("kind").agg(F.count("*").alias("lines"), F.count("ts").alias("timed"), F.sum("step").alias("steps"), F.round(F.sum("quality"), 4).alias("quality"))
+    return documents.read_training_log(spark, path).groupBy("kind").agg(F.count("*").alias("lines"), F.count("ts").alias("timed"), F.sum("step").alias("steps"), columns.round_double(F.sum("quality"), 4).alias("quality"))
 
 
 S6_KINDS = [k for k, _ in MESSAGES]
@@ -432,7 +432,7 @@ def x8(spark, sf):
     stream, checkpoint = replayed(spark, events_by_time(spark, sf), "wall_time")
     rows = stream.select("run_id", F.lit("loss").alias("tag"), F.col("event_id").alias("step"), "value", "wall_time")
     out = streams.settled(streams.stream_metric_rollup(rows, 1000), ["run_id", "tag", "bucket", "since"], checkpoint=checkpoint)
-    return out.withColumns({"mean": F.round("mean", 6), "since": F.date_format("since", "yyyy-MM-dd")})
+    return out.withColumns({"mean": columns.round_double(F.col("mean"), 6), "since": F.date_format("since", "yyyy-MM-dd")})
 
 
 QUERIES = {

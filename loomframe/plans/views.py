@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomframe.functions import columns
 from loomframe.functions.ranks import placed
 
 
@@ -35,7 +36,7 @@ def weights(spark: SparkSession, sf: str) -> DataFrame:
 
 def activity(spark: SparkSession, sf: str) -> DataFrame:
     m = metrics(spark, sf)
-    return m.groupBy("run_id", F.floor(F.col("step") / 10).cast("bigint").alias("step"), F.pmod("user_id", F.lit(7)).cast("int").alias("layer_pos")).agg(F.round(F.avg(F.col("value") * 100), 9).alias("value"))
+    return m.groupBy("run_id", F.floor(F.col("step") / 10).cast("bigint").alias("step"), F.pmod("user_id", F.lit(7)).cast("int").alias("layer_pos")).agg(columns.round_double(F.avg(F.col("value") * 100), 9).alias("value"))
 
 
 def videos(spark: SparkSession, sf: str) -> DataFrame:
